@@ -48,7 +48,7 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     renamed = side.withColumnsRenamed({name: f"__r_{name}" for name in on})
     condition = None
     for name in on:
-        test = big[name].eqNullSafe(renamed[f"__r_{name}"])
+        test = F.col(name).eqNullSafe(F.col(f"__r_{name}"))
         condition = test if condition is None else condition & test
     return big.join(renamed, condition, how).drop(*[f"__r_{name}" for name in on])
 
