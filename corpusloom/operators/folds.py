@@ -1,0 +1,61 @@
+"""Sequential folds over one-row-per-dataset tables.
+
+A greedy rule depends on every earlier row, so it cannot be a prefix sum. The table is sorted
+into blocks of bounded size; each block is folded in one task and hands a small state to the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from corpusloom.session import new_run_dir, stable
+from .scale import hot_rows
+
+
+def fold_rows(df: DataFrame, order: Sequence, start, step: Callable, output: str,
+              hot: int | None = None) -> DataFrame:
+    """Run `step(state, row) -> (state, value)` over the rows in `order`; `value` becomes the
+    column declared by `output` (for example `"shard bigint"`). The state must be a flat tuple
+    of numbers."""
+    spark = df.sparkSession
+    limit = hot_rows(spark) if hot is None else hot
+    name = output.split()[0]
+    schema = T.StructType([*df.schema.fields, *T.DataType.fromDDL(output).fields])
+
+    def folder(state):
+        def run(batches):
+            current = state
+            for batch in batches:
+                found = []
+                for row in batch.to_dict("records"):
+                    current, value = step(current, row)
+                    found.append(value)
+                yield batch.assign(**{name: found})
+        return run
+
+    if df.count() <= limit:
+        return df.repartition(1).sortWithinPartitions(*order).mapInPandas(folder(start), schema)
+
+    parts = -(-df.count() // limit) * 2
+    blocks = stable(df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order))
+    blocks = blocks.withColumn("__part", F.spark_partition_id())
+    target = new_run_dir(spark, "fold")
+    state = tuple(start)
+    state_schema = ", ".join(f"s{i} double" for i in range(len(state)))
+    for part in [r[0] for r in blocks.select("__part").distinct().orderBy("__part").collect()]:
+        block = blocks.filter(F.col("__part") == part).drop("__part")
+        block = block.repartition(1).sortWithinPartitions(*order)
+        block.mapInPandas(folder(state), schema).write.mode("append").parquet(target)
+
+        def last(batches, state=state):
+            current = state
+            for batch in batches:
+                for row in batch.to_dict("records"):
+                    current, _ = step(current, row)
+            yield pd.DataFrame([current], columns=[f"s{i}" for i in range(len(current))])
+
+        state = tuple(block.mapInPandas(last, state_schema).first())
+    return spark.read.schema(schema).parquet(target)

@@ -72,18 +72,20 @@ def _combine(how: str, left: Column, right: Column) -> Column:
 
 
 def running(df: DataFrame, groups: Sequence[str], order: Sequence, value, name: str,
-            how: str = "sum", inclusive: bool = True, hot: int | None = None) -> DataFrame:
+            how: str = "sum", inclusive: bool = True, hot: int | None = None,
+            largest: int | None = None) -> DataFrame:
     """Add the running sum, min or max of `value` in `order` inside each group.
 
     `order` must be total inside a group. Above the limit the rows are range-partitioned on
     (group, order), each range keeps a local running value, and the totals of earlier ranges
-    (one row per range and group) are added.
+    (one row per range and group) are added. `largest` is the size of the largest group, if known.
     """
     value = as_col(value)
     fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     end = 0 if inclusive else -1
     limit = hot_rows(df.sparkSession) if hot is None else hot
-    if largest_group(df, groups) <= limit:
+    largest = largest_group(df, groups) if largest is None else largest
+    if largest <= limit:
         spec = _over(groups, order).rowsBetween(W.unboundedPreceding, end)
         result = fold(value).over(spec)
         return df.withColumn(name, F.coalesce(result, F.lit(0)) if how == "sum" else result)
@@ -101,9 +103,9 @@ def running(df: DataFrame, groups: Sequence[str], order: Sequence, value, name:
 
 
 def positions(df: DataFrame, groups: Sequence[str], order: Sequence, name: str,
-              hot: int | None = None) -> DataFrame:
+              hot: int | None = None, largest: int | None = None) -> DataFrame:
     """1-based position of each row in a total `order`, per group or over the whole table."""
-    out = running(df, groups, order, F.lit(1), name, hot=hot)
+    out = running(df, groups, order, F.lit(1), name, hot=hot, largest=largest)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
@@ -128,7 +130,8 @@ def hash_positions(df: DataFrame, groups: Sequence[str], digest: str, name: str,
 
 
 def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: DataFrame,
-                 bound_names: Sequence[str], hot: int | None = None) -> DataFrame:
+                 bound_names: Sequence[str], hot: int | None = None,
+                 largest: int | None = None) -> DataFrame:
     """Digest of the last row inside each bound, per group.
 
     `bounds` has the group columns and one rank per bound name. Only (group, digest) is read,
@@ -137,7 +140,7 @@ def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: Data
     """
     limit = hot_rows(df.sparkSession) if hot is None else hot
     slim = df.select(*groups, digest)
-    largest = largest_group(slim, groups)
+    largest = largest_group(slim, groups) if largest is None else largest
     if largest <= limit:
         ranked = slim.withColumn("__rank", F.row_number().over(_over(groups, [digest])))
         ranked = lookup_join(ranked, bounds, groups)
