@@ -238,3 +238,15 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     """Whole-table quantiles as driver values: `len(columns) * len(probs)` numbers."""
     row = exact_quantiles(df, [], columns, probs, hot=hot).first()
     return {c: list(row[c]) if row[c] is not None else [] for c in columns}
+
+
+def distinct_near(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float]) -> dict[str, int]:
+    """Distinct counts good enough to compare with `thresholds`: a 2% sketch for all columns in one
+    pass, and an exact count only where the sketch lies within 25% of a threshold."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first().asDict()
+    close = [c for c in columns if any(abs(row[c] - t) <= 0.25 * t + 2 for t in thresholds)]
+    if close:
+        row.update(df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in close]).first().asDict())
+    return {c: int(row[c]) for c in columns}
