@@ -13,7 +13,7 @@ from corpusloom.functions.text import MISSING_TOKEN, category, name_tokens, numb
 from . import profile as profiles
 from .features import lookup_tables
 from .infer import ordered_codes, with_code
-from .scale import fit_quantiles, hash_positions, positions
+from .scale import compute_once, fit_quantiles, hash_positions, positions
 
 TEXT_TOKENS = 16
 
@@ -50,12 +50,12 @@ def _cell(df: DataFrame, c: str) -> Column:
     return number_or_null(c, df.schema[c].dataType)
 
 
-def numeric_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]]:
+def numeric_stats(df: DataFrame, columns: Sequence[str], n_rows: int | None = None) -> dict[str, dict[str, float]]:
     """Median as fill value, then mean and population std of the filled column."""
     if not columns:
         return {}
     numbers = df.select(*[_cell(df, c).alias(c) for c in columns])
-    medians = fit_quantiles(numbers, columns, [0.5])
+    medians = fit_quantiles(numbers, columns, [0.5], n_rows=n_rows)
     fill = {c: (medians[c][0] if medians[c] and medians[c][0] is not None else 0.0) for c in columns}
     filled = {c: F.coalesce(F.col(c), F.lit(fill[c])) for c in columns}
     row = numbers.agg(*[F.struct(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).alias(c)
@@ -70,14 +70,15 @@ def build_schema(train: DataFrame, target: str, task: str, numeric: Sequence[str
     features = [*numeric, *categorical]
     prof = profiles.profile_counts(profiles.value_counts(train, features))
     prof = profiles.type_probabilities(prof.withColumn("prefer_numeric", F.col("column").isin(list(numeric))))
-    text = []
-    if categorical:
-        wordy = prof.filter(F.col("column").isin(list(categorical)) & profiles.is_text_feature())
-        text = [r["column"] for r in wordy.select("column").collect()]
+    # one row per column
+    prof = compute_once(prof)
+    wordy = prof.filter(F.col("column").isin(list(categorical)) & profiles.is_text_feature()).select("column").collect()
+    text = [r["column"] for r in wordy]
+    n_rows = prof.agg(F.max("n_rows")).first()[0]
     coded = [c for c in categorical if c not in text]
     classes = [] if task == "regression" else [target]
-    vocabulary = ordered_codes(train, [*coded, *classes], missing=MISSING_TOKEN) if coded or classes else None
-    return FrozenSchema(target, task, numeric_stats(train, numeric), coded, [c for c in categorical if c in text],
+    vocabulary = compute_once(ordered_codes(train, [*coded, *classes], missing=MISSING_TOKEN)) if coded or classes else None
+    return FrozenSchema(target, task, numeric_stats(train, numeric, n_rows), coded, [c for c in categorical if c in text],
                         vocabulary, prof)
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions.text import MISSING_TOKEN, RARE_TOKEN, category, number_or_null
 from .profile import value_counts
-from .scale import small_side, small_side_rows
+from .scale import compute_once, small_side_rows
 
 
 @dataclass
@@ -56,39 +56,45 @@ def _types(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
-def fit_log1p(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns that are non-negative, right-skewed and varied enough."""
-    if not columns:
-        return []
+def numeric_facts(df: DataFrame, columns: Sequence[str], nullable: Sequence[str] = ()) -> tuple[int, dict, dict]:
+    """One pass: row count, null counts of all columns, and shape facts of the numeric ones."""
     types = _types(df)
-    aggs = []
-    for c in columns:
-        x = number_or_null(c, types[c])
+    cells = {c: number_or_null(c, types[c]) for c in columns}
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for c, x in cells.items():
         n = F.count(x)
         aggs.append(F.struct(n.alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
                              corrected_skewness(x, n).alias("skew"),
                              F.approx_count_distinct(x).alias("distinct")).alias(c))
+    aggs += [F.count(c).alias(f"__v_{c}") for c in nullable]
     row = df.agg(*aggs).first()
+    present = {**{c: row[c].n for c in columns}, **{c: row[f"__v_{c}"] for c in nullable}}
+    return row["__n"], {c: row["__n"] - n for c, n in present.items()}, {c: row[c] for c in columns}
+
+
+def _skewed(df: DataFrame, facts: dict) -> list[str]:
+    """Columns that are non-negative, right-skewed and varied enough."""
     chosen = []
-    for c in columns:
-        s = row[c]
+    for c, s in facts.items():
         if s.n < 16 or s.lo is None or s.lo < 0 or s.hi <= 0 or s.skew is None or not s.skew >= 1.0:
             continue
         # a sketch of at most 7 values cannot report 9, so only small sketches need a real count
-        if s.distinct < 9 and df.select(number_or_null(c, types[c]).alias("x")).agg(F.count_distinct("x")).first()[0] < 8:
-            continue
+        if s.distinct < 9:
+            x = number_or_null(c, df.schema[c].dataType)
+            if df.select(x.alias("x")).agg(F.count_distinct("x")).first()[0] < 8:
+                continue
         chosen.append(c)
     return chosen
 
 
+def fit_log1p(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    return _skewed(df, numeric_facts(df, columns)[2])
+
+
 def fit_missing(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    if not columns:
-        return []
-    types = _types(df)
-    numeric = {c: isinstance(types[c], T.NumericType) for c in columns}
-    cell = {c: number_or_null(c, types[c]) if numeric[c] else F.col(c) for c in columns}
-    row = df.agg(*[F.count_if(cell[c].isNull()).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] > 0]
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    _, nulls, _ = numeric_facts(df, numeric, [c for c in columns if c not in numeric])
+    return [c for c in columns if nulls[c] > 0]
 
 
 def fit_categories(df: DataFrame, columns: Sequence[str], n_rows: int | None = None):
@@ -101,6 +107,7 @@ def fit_categories(df: DataFrame, columns: Sequence[str], n_rows: int | None = N
     values = values.groupBy("column", "value").agg(F.sum("cnt").alias("cnt"))
     values = values.select("column", "value", (F.col("cnt") / F.lit(float(max(n, 1)))).alias("frequency"),
                            (F.col("cnt") >= min_count).alias("keep"))
+    values = compute_once(values)
     sums = values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.count_if("keep").alias("kept"))
     found = {r["column"]: (r["distinct"], r["kept"]) for r in sums.collect()}
     collapse = [c for c in columns if c in found and 1 < found[c][1] < found[c][0]]
@@ -111,9 +118,10 @@ def fit_categories(df: DataFrame, columns: Sequence[str], n_rows: int | None = N
 
 def fit_transforms(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> TransformSpec:
     """Fit all transforms: one pass over the numbers and one over the category values."""
-    spec = TransformSpec(missing=fit_missing(train, [*numeric, *categorical]), log1p=fit_log1p(train, numeric))
+    n, nulls, facts = numeric_facts(train, numeric, categorical)
+    spec = TransformSpec(missing=[c for c in [*numeric, *categorical] if nulls[c] > 0], log1p=_skewed(train, facts))
     if categorical:
-        values, spec.collapse, spec.frequency, spec.min_count = fit_categories(train, categorical)
+        values, spec.collapse, spec.frequency, spec.min_count = fit_categories(train, categorical, n)
         used = sorted({*spec.collapse, *spec.frequency})
         spec.values = values.filter(F.col("column").isin(used)) if used else None
     return spec

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corpusloom.functions.text import datetime_or_null, normalize_name
 from .columns import WIDE_IDENTIFIER_NAMES, WIDE_IDENTIFIER_SUFFIXES, keep_scalar_columns
 from .profile import column_profile
-from .scale import lookup_join, positions
+from .scale import compute_once, lookup_join, positions
 
 # Canonical target names and their scores.
 EXACT_TARGET_SCORES = {
@@ -257,6 +257,7 @@ def ordered_codes(df: DataFrame, columns: Sequence[str], missing: str | None = N
             else F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in text.items()])
     values = df.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null").distinct()
+    values = compute_once(values)
     return positions(values, ["column"], ["value"], "code").withColumn("code", F.col("code") - 1)
 
 

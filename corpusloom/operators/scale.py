@@ -41,6 +41,14 @@ def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, df.schema))
 
 
+def compute_once(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Keep a result that is used several times: as a local table if it is small, otherwise as a
+    reliable checkpoint."""
+    limit = small_side_rows(df.sparkSession) if max_rows is None else max_rows
+    rows = df.take(limit + 1)
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else stable(df)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
                 checked: bool = False) -> DataFrame:
     """Null-safe equality join with a lookup table that is broadcast only after a size check."""
@@ -195,7 +203,7 @@ def ordered_windows(df: DataFrame, groups: Sequence[str], order: Sequence, back:
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
-                    probs: Sequence[float], hot: int | None = None) -> DataFrame:
+                    probs: Sequence[float], hot: int | None = None, largest: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles: one row per group, one array per column.
 
     Up to the limit Spark's `percentile` is used, which holds a group's distinct values in one
@@ -204,7 +212,8 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
     """
     limit = hot_rows(df.sparkSession) if hot is None else hot
     slim = df.select(*groups, *columns)
-    if largest_group(slim, groups) <= limit:
+    largest = largest_group(slim, groups) if largest is None else largest
+    if largest <= limit:
         aggs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
         return slim.groupBy(*groups).agg(*aggs) if groups else slim.agg(*aggs)
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
@@ -234,9 +243,9 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                  hot: int | None = None) -> dict[str, list[float]]:
+                  hot: int | None = None, n_rows: int | None = None) -> dict[str, list[float]]:
     """Whole-table quantiles as driver values: `len(columns) * len(probs)` numbers."""
-    row = exact_quantiles(df, [], columns, probs, hot=hot).first()
+    row = exact_quantiles(df, [], columns, probs, hot=hot, largest=n_rows).first()
     return {c: list(row[c]) if row[c] is not None else [] for c in columns}
 
 

@@ -119,7 +119,7 @@ normed as (select name, {norm('name')} as n from names where name <> ''),
 kw as (select * from {values(infer.TARGET_KEYWORD_WEIGHTS, 't(k, w)')}),
 exact as (select * from {values(infer.EXACT_TARGET_SCORES, 't(k, w)')}),
 hits as (select name, sum(w) as total, count(*) as n_hits from normed join kw on contains(n, k) group by name)
-select normed.name, coalesce(exact.w, least(coalesce(hits.total, 0.0), 5.0)) as name_score,
+select normed.name, coalesce(exact.w, least(coalesce(hits.total, 0.0), 5.0))::double as name_score,
   case when exact.w is not null then 0 else coalesce(n_hits, 0) end as n_hits
 from normed left join hits using (name) left join exact on exact.k = n"""
 
@@ -158,7 +158,7 @@ scored as (select *, name_score
 
 
 @query("c9_score_target_candidate", f"""{DOCUMENTS}{_SCORED}
-select col as "column", task_type, round(score, 6) as score, round(name_score, 6) as name_score, n_distinct
+select col as "column", task_type, round(score::double, 6) as score, round(name_score::double, 6) as name_score, n_distinct
 from scored""")
 def c9(spark, sf):
     scored = infer.score_targets(ops.column_profile(table(spark, sf, "documents")))

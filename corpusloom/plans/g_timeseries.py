@@ -10,10 +10,10 @@ from .registry import query, table
 
 def _calendar_sql(ts: str, head: str) -> str:
     pi2 = "2 * pi()"
-    return f"""coalesce(year({ts}), 0) as {head}year, coalesce(month({ts}), 0) as {head}month,
-  coalesce(quarter({ts}), 0) as {head}quarter, coalesce(week({ts}), 0) as {head}week_of_year,
-  coalesce(day({ts}), 0) as {head}day_of_month, coalesce(isodow({ts}) - 1, 0) as {head}day_of_week,
-  coalesce(hour({ts}), 0) as {head}hour, coalesce(minute({ts}), 0) as {head}minute,
+    return f"""coalesce(year({ts}), 0)::int as {head}year, coalesce(month({ts}), 0)::int as {head}month,
+  coalesce(quarter({ts}), 0)::int as {head}quarter, coalesce(week({ts}), 0)::int as {head}week_of_year,
+  coalesce(day({ts}), 0)::int as {head}day_of_month, coalesce(isodow({ts}) - 1, 0)::int as {head}day_of_week,
+  coalesce(hour({ts}), 0)::int as {head}hour, coalesce(minute({ts}), 0)::int as {head}minute,
   coalesce((isodow({ts}) >= 6)::int, 0) as {head}is_weekend, coalesce((day({ts}) = 1)::int, 0) as {head}is_month_start,
   coalesce(({ts}::date = last_day({ts}))::int, 0) as {head}is_month_end,
   round(sin({pi2} * coalesce(month({ts}), 0) / 12), 6) as {head}month_sin, round(cos({pi2} * coalesce(month({ts}), 0) / 12), 6) as {head}month_cos,
@@ -122,7 +122,7 @@ def g6(spark, sf):
 @query("g7_auto_timeseries", f"""
 select event_id, value, lag(value, 1) over (order by ts, event_id) as value_lag1,
   round(avg(value) over (order by ts, event_id rows between 2 preceding and current row), 6) as value_roll3_mean,
-  hour(ts) as ts_hour from events""")
+  hour(ts)::int as ts_hour from events""")
 def g7(spark, sf):
     df = table(spark, sf, "events").select("ts", "value", "event_id")
     out = ops.auto_timeseries(df, ["event_id"], lags=[1], windows=[3], fft_components=0)

@@ -128,7 +128,7 @@ def h12(spark, sf):
 
 @query("h13_inject_drift", """
 with r as (select *, row_number() over (order by o_orderdate, o_orderkey) as rn, count(*) over () as n from orders)
-select o_orderkey, round(o_totalprice + if(rn > n // 2, 100.5, 0), 4) as o_totalprice, o_custkey + if(rn > n // 2, -3.0, 0) as o_custkey from r""")
+select o_orderkey, round(o_totalprice + if(rn > n // 2, 100.5, 0), 4) as o_totalprice, (o_custkey + if(rn > n // 2, -3.0, 0))::double as o_custkey from r""")
 def h13(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.col("o_custkey").cast("double").alias("o_custkey"))
     out = ops.inject_drift(orders, {"o_totalprice": 100.5, "o_custkey": -3.0}, ["o_orderdate", "o_orderkey"])

@@ -180,8 +180,8 @@ def j11(spark, sf):
 
 
 @query("j12_gate_report", f"""
-with {INGEST_SQL} select user_id % 4 as run, count_if(status = 'ok') as n_ok, count_if(status = 'gate_fail') as n_gate_fail,
-  count_if(status not in ('ok', 'gate_fail')) as n_error, round(coalesce(avg(score) filter (where status = 'ok' and score > 0), 0), 6) as mean_score
+with {INGEST_SQL} select user_id % 4 as run, count_if(status = 'ok')::bigint as n_ok, count_if(status = 'gate_fail')::bigint as n_gate_fail,
+  count_if(status not in ('ok', 'gate_fail'))::bigint as n_error, round(coalesce(avg(score) filter (where status = 'ok' and score > 0), 0), 6) as mean_score
 from ing group by 1""")
 def j12(spark, sf):
     report = ops.gate_report(ingested(spark, sf).withColumn("run", F.col("user_id") % 4), ["run"])

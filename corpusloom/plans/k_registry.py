@@ -86,8 +86,8 @@ def k6(spark, sf):
 
 
 @query("k7_status_rollup", f"""
-with {REG_SQL} select source, count_if(status = 'ok') as ok, count_if(status <> 'ok') as fail, count(*) as total from reg group by source
-union all select 'all', count_if(status = 'ok'), count_if(status <> 'ok'), count(*) from reg""")
+with {REG_SQL} select source, count_if(status = 'ok')::bigint as ok, count_if(status <> 'ok')::bigint as fail, count(*) as total from reg group by source
+union all select 'all', count_if(status = 'ok')::bigint, count_if(status <> 'ok')::bigint, count(*) from reg""")
 def k7(spark, sf):
     return ops.status_rollup(records(spark, sf))
 

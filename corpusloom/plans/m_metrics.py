@@ -160,7 +160,7 @@ def m12(spark, sf):
 
 
 @query("m13_throughput", """
-select event_id, round(k / greatest(value, 1), 6) as rate, sum(k) over w as total_rows, round(sum(k) over w / greatest(sum(value) over w, 1), 6) as total_rate
+select event_id, round(k / greatest(value, 1), 6) as rate, (sum(k) over w)::bigint as total_rows, round(sum(k) over w / greatest(sum(value) over w, 1), 6) as total_rate
 from (select *, 100 + event_id % 900 as k from events) window w as (partition by user_id order by event_id)""")
 def m13(spark, sf):
     log = table(spark, sf, "events").select("event_id", "user_id", "value", (100 + F.col("event_id") % 900).alias("rows"))
@@ -186,7 +186,7 @@ def m14(spark, sf):
 
 
 @query("m15_batch_rollup", """
-select coalesce(sum(try_cast(t as bigint)), 0)::bigint as total_rows, count_if(st = 'real') as n_real, count_if(st = 'synthetic') as n_synthetic
+select coalesce(sum(try_cast(t as bigint)), 0)::bigint as total_rows, count_if(st = 'real')::bigint as n_real, count_if(st = 'synthetic')::bigint as n_synthetic
 from (select case when event_id % 9 = 0 then 'n/a' else (event_id % 1000)::varchar end as t, case event_id % 3 when 0 then 'real' when 1 then 'synthetic' else 'other' end as st
   from events where event_type <> 'error')""")
 def m15(spark, sf):

@@ -116,8 +116,7 @@ with b as (select *, row_number() over (partition by user_id order by event_id)
   min(value) over (partition by user_id) as best from events)
 select user_id, any_value(n) as seen, any_value(best) as best, any_value(n) - min(rn) as patience from b where value = best group by user_id""")
 def n11(spark, sf):
-    out = ops.run_available(ops.live_best(events_stream(spark, sf), "user_id", "event_id", "value"), *ops.work_paths(spark, "n11"))
-    return out.groupBy("user_id").agg(F.max_by(F.struct("seen", "best", "patience"), "seen").alias("s")).select("user_id", "s.*")
+    return ops.live_best(events_stream(spark, sf), "user_id", "event_id", "value", *ops.work_paths(spark, "n11"))
 
 
 @query("n12_live_upsert", """

@@ -31,7 +31,7 @@ vocab as (select cat, row_number() over (order by cat) as code from (select dist
 classes as (select event_type, row_number() over (order by event_type) - 1 as y from (select distinct event_type from train)),
 stats as (select {_STATS} from rows where split = 'train')
 select split, count(*) as n, {_z('value')}, {_z('value_log1p')}, {_z('props_frequency')},
-  sum(coalesce(code, 0))::bigint as code_sum, sum(y)::bigint as y_sum, count_if(code is null) as n_unknown
+  sum(coalesce(code, 0))::bigint as code_sum, sum(y)::bigint as y_sum, count_if(code is null)::bigint as n_unknown
 from rows left join vocab using (cat) join classes using (event_type), stats group by split""")
 def x1(spark, sf):
     events = table(spark, sf, "events").select("event_id", "value", "props", "event_type")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,7 +16,7 @@ from corpusloom.operators.infer import Target, resolve_target
 from corpusloom.operators.columns import keep_scalar_columns
 from corpusloom.operators.registry import registry_upsert
 from corpusloom.operators.sampling import fixed_size_sample
-from corpusloom.operators.scale import hash_positions
+from corpusloom.operators.scale import hash_positions, lookup_join
 from corpusloom.session import new_run_dir
 
 
@@ -132,75 +133,93 @@ def live_upsert(stream: DataFrame, key: Sequence[str], order: Sequence[str], pat
     return spark.read.schema(schema).parquet(f"{path}/version={last}")
 
 
-def _batch_times(batches, column: str) -> list[int]:
-    """Sorted times of one key in this batch; only the time column is kept."""
-    parts = [pdf[column].to_numpy() for pdf in batches]
-    return sorted(int(t) for part in parts for t in part)
-
-
 def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """(job, state, at): a job becomes stale when it is silent for longer than `silent_seconds`,
     noticed from the next heartbeat or from the event-time timer, and recovered by the next
-    heartbeat. `at` is the last heartbeat for stale and the new one for recovered."""
+    heartbeat. `at` is the last heartbeat for stale and the new one for recovered.
+
+    Before the shuffle each task keeps only the first and last heartbeat of a job per half
+    silence: what lies between them cannot border a silence. A chatty job thus sends a handful
+    of rows.
+    """
     gap = silent_seconds * 1_000_000
     kind = stream.schema[job].dataType.simpleString()
-    beats = stream.select(job, F.col(ts).cast("timestamp").alias("__ts")).withWatermark("__ts", delay)
-    beats = beats.withColumn("__us", F.unix_micros("__ts"))
+    beats = stream.select(job, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+
+    def thin(batches):
+        for pdf in batches:
+            slot = pdf["us"] // max(gap // 2, 1)
+            ends = pdf.groupby([pdf[job], slot])["us"].agg(["min", "max"])
+            rows = ends.reset_index(level=0).melt(id_vars=job, value_vars=["min", "max"], value_name="us")
+            yield rows[[job, "us"]].drop_duplicates()
+
+    beats = beats.mapInPandas(thin, beats.schema).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
 
     def follow(key, batches, state: GroupState):
-        found: list[tuple] = []
         last, stale = state.get if state.exists else (None, False)
+        gone, back = [], []
         if state.hasTimedOut:
             if not stale:
-                found.append(("stale", last))
-            state.update((last, True))
+                gone.append(last)
+            stale = True
         else:
-            for at in _batch_times(batches, "__us"):
-                if last is not None and at < last:
-                    continue
-                if last is not None and not stale and at - last > gap:
-                    found.append(("stale", last))
+            times = np.unique(np.concatenate([pdf["us"].to_numpy(dtype=np.int64) for pdf in batches]))
+            if last is not None:
+                times = times[times >= last]
+                if stale and len(times):
+                    back.append(int(times[0]))
+                    stale, last = False, None
+            if last is not None:
+                times = np.concatenate([[last], times])
+            breaks = np.flatnonzero(np.diff(times) > gap)
+            gone += times[breaks].tolist()
+            back += times[breaks + 1].tolist()
+            last = int(times[-1]) if len(times) else last
+            if not stale:
+                # the first whole millisecond at which the silence is longer than allowed
+                due = (last + gap) // 1000 + 1
+                if due > state.getCurrentWatermarkMs():
+                    state.setTimeoutTimestamp(due)
+                else:
+                    gone.append(last)
                     stale = True
-                if stale:
-                    found.append(("recovered", at))
-                    stale = False
-                last = at
-            state.update((last, stale))
-            # the first whole millisecond at which the silence is longer than allowed
-            due = (last + gap) // 1000 + 1
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            elif not stale:
-                found.append(("stale", last))
-                state.update((last, True))
-        yield pd.DataFrame([(key[0], s, at) for s, at in found], columns=[job, "state", "at_us"])
+        state.update((last, stale))
+        found = [("stale", at) for at in gone] + [("recovered", at) for at in back]
+        if found:
+            yield pd.DataFrame([(key[0], s, at) for s, at in found], columns=[job, "state", "at_us"])
 
     return beats.groupBy(job).applyInPandasWithState(
         follow, f"`{job}` {kind}, state string, at_us bigint", "last bigint, stale boolean", "append",
         GroupStateTimeout.EventTimeTimeout)
 
 
-def live_best(stream: DataFrame, experiment: str, order: str, value: str) -> DataFrame:
-    """(experiment, seen, best, patience) after each batch: best value so far and the number of
-    rows since it improved. The row with the largest `seen` is current."""
+def live_best(stream: DataFrame, experiment: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
+    """Per experiment: rows seen, best value so far, and rows since it last improved. Rows of a batch
+    are reduced by aggregates, then folded into the table of the batch before."""
+    spark = stream.sparkSession
     kind = stream.schema[experiment].dataType.simpleString()
-    slim = stream.select(experiment, F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"))
+    schema = f"`{experiment}` {kind}, seen bigint, best double, patience bigint"
 
-    def follow(key, batches, state: GroupState):
-        seen, best, patience = state.get if state.exists else (0, float("inf"), 0)
-        rows = pd.concat(list(batches)).sort_values("__o")
-        for v in rows["__v"]:
-            seen += 1
-            if v < best:
-                best, patience = float(v), 0
-            else:
-                patience += 1
-        state.update((seen, best, patience))
-        yield pd.DataFrame([(key[0], seen, best, patience)], columns=[experiment, "seen", "best", "patience"])
-
-    return slim.groupBy(experiment).applyInPandasWithState(
-        follow, f"`{experiment}` {kind}, seen bigint, best double, patience bigint", "seen bigint, best double, patience bigint",
-        "append", GroupStateTimeout.NoTimeout)
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        slim = rows.select(experiment, F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+        best = slim.filter("v is not null").groupBy(experiment).agg(F.min(F.struct("v", "o")).alias("m"))
+        joined = lookup_join(slim, best, [experiment])
+        new = joined.groupBy(experiment).agg(F.count(F.lit(1)).alias("n"), F.first("m.v").alias("low"),
+                                             F.count_if(F.col("m").isNull() | (F.col("o") > F.col("m.o"))).alias("after"))
+        if batch_id == 0:
+            old = spark.createDataFrame([], schema)
+        else:
+            old = spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
+        both = old.join(new, experiment, "full_outer")
+        better = F.col("low").isNotNull() & (F.col("best").isNull() | (F.col("low") < F.col("best")))
+        more = F.coalesce("n", F.lit(0))
+        both.select(experiment, (F.coalesce("seen", F.lit(0)) + more).alias("seen"),
+                    F.when(better, F.col("low")).otherwise(F.col("best")).alias("best"),
+                    F.when(better, F.col("after")).otherwise(F.coalesce("patience", F.lit(0)) + more).alias("patience"),
+                    ).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    last = run_batches(stream, handle, checkpoint)
+    return spark.read.schema(schema).parquet(f"{path}/version={last}")
 
 
 def work_paths(spark: SparkSession, label: str) -> tuple[str, str]:

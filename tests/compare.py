@@ -40,6 +40,15 @@ def kind(value):
     return type(value).__name__
 
 
+# Spark type → DuckDB types that hold the same values
+TYPES = {"bigint": {"BIGINT"}, "int": {"INTEGER"}, "tinyint": {"TINYINT"}, "double": {"DOUBLE"}, "float": {"FLOAT"},
+         "string": {"VARCHAR"}, "boolean": {"BOOLEAN"}, "timestamp_ntz": {"TIMESTAMP"}}
+
+
+def same_type(spark_type: str, duck_type: str) -> bool:
+    return duck_type in TYPES.get(spark_type, {duck_type})
+
+
 def rows_of(records, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
@@ -71,4 +80,9 @@ def compare_query(spark, con, sf_dir, function, sql) -> str:
                 return f"TYPES {order[i]} spark={kind(x)} duck={kind(y)}"
     if not left:
         return "EMPTY"
+    duck_types = {d[0]: str(d[1]).upper() for d in cursor.description}
+    odd = [f"{f.name}:{f.dataType.simpleString()}/{duck_types[f.name]}" for f in df.schema.fields
+           if not same_type(f.dataType.simpleString(), duck_types[f.name])]
+    if odd:
+        return f"TYPES {odd}"
     return f"ok {len(left)}"
