@@ -204,6 +204,8 @@ def resolve_target(df: DataFrame, given: str | None = None, given_task: str | No
         return Target(name, task, source)
     ranked = score_targets(column_profile(flat)).orderBy(F.desc("score"), "position").limit(5)
     top = ranked.select("column", "task_type", "score", "name_score", "reason").collect()
+    if not top:
+        raise ValueError("The table has no rows to infer a target from.")
     first, second = top[0], top[1] if len(top) > 1 else None
     gap = first.score - second.score if second else first.score
     by_name = first.name_score >= 6.0 and (second is None or first.name_score > second.name_score)

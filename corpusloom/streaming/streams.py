@@ -92,7 +92,9 @@ def bootstrap_sample(stream: DataFrame, n: int, key: Sequence[str], path: str, c
         raise ValueError("The stream has no rows to sample.")
     kept = stream.sparkSession.read.schema(stream.select(*flat_columns).schema).option("recursiveFileLookup", True).parquet(path)
     sample = fixed_size_sample(kept, n, key, seed)
-    return sample, resolve_target(sample.drop(*[k for k in key if k != target]), target, task)
+    if sample.isEmpty():
+        raise ValueError("The stream has no rows to sample.")
+    return sample, resolve_target(sample, target, task)
 
 
 def row_counters(stream: DataFrame, batch_size: int, path: str, checkpoint: str) -> DataFrame:
