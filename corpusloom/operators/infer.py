@@ -131,7 +131,7 @@ def infer_task(rule: str) -> Column:
                 .when(distinct <= 20, two_way).otherwise(regression))
     if rule == "D":
         return (F.when(distinct == 2, binary)
-                .when(F.col("prefer_numeric") & (distinct > 20), regression).otherwise(multi))
+                .when((F.col("n_numeric") == valid) & (distinct > 20), regression).otherwise(multi))
     if rule == "E":
         classes = F.col("nominal") | (distinct <= 20)
         return F.when(classes, F.when(distinct <= 2, binary).otherwise(multi)).otherwise(regression)
