@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.hashing import hash_unit, row_hash
@@ -59,27 +62,47 @@ def duplicate_share(df: DataFrame, dataset: Sequence[str], columns: Sequence[str
     return out.select(*dataset, "n_rows", (1 - unique / F.col("n_rows")).alias("duplicate_share"))
 
 
-def max_pairwise_correlation(df: DataFrame, columns: Sequence[str], max_columns: int = 50, seed: int = 0,
-                             pairs_per_pass: int = 200) -> DataFrame:
+def max_pairwise_correlation(df: DataFrame, columns: Sequence[str], max_columns: int = 50, seed: int = 0) -> DataFrame:
     """(left, right, correlation) for every pair of up to 50 numeric columns, over the rows where
-    both are present; null when one of them is constant. One aggregate serves 200 pairs."""
+    both are present; null when one of them is constant there.
+
+    Each task multiplies its centred columns into one small matrix of sums, so the table is read
+    once whatever the number of pairs, and only those sums are shuffled.
+    """
     chosen = list(columns)
     if len(chosen) > max_columns:
-        spark = df.sparkSession
-        names = spark.createDataFrame([(c,) for c in chosen], "name string")
+        names = df.sparkSession.createDataFrame([(c,) for c in chosen], "name string")
         chosen = [r[0] for r in names.orderBy(row_hash(seed, "name")).limit(max_columns).collect()]
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1:]]
-    result = None
-    for start in range(0, len(pairs), pairs_per_pass):
-        cells = []
-        for a, b in pairs[start:start + pairs_per_pass]:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
-            cells.append(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                                  F.try_divide(F.covar_pop(a, b), spread).alias("correlation")))
-        part = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    pairs = [(i, j) for i in range(len(chosen)) for j in range(i + 1, len(chosen))]
+    slim = df.select(*[F.col(c).cast("double").alias(c) for c in chosen])
+    means = np.array([m if m is not None else 0.0 for m in slim.agg(*[F.avg(c) for c in chosen]).first()])
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            here = (~np.isnan(raw)).astype(float)
+            z = np.where(here > 0, raw - means, 0.0)
+            part = np.stack([here.T @ here, z.T @ here, (z * z).T @ here, z.T @ z])
+            total = part if total is None else total + part
+        if total is not None:
+            cells = [[i, j, total[0, i, j], total[1, i, j], total[1, j, i], total[2, i, j], total[2, j, i], total[3, i, j]]
+                     for i, j in pairs]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(cells, columns=["i", "j", "n", "sx", "sy", "qx", "qy", "p"])
+                                             .astype({"i": "int32", "j": "int32"}), preserve_index=False)
+
+    parts = slim.mapInArrow(sums, "i int, j int, n double, sx double, sy double, qx double, qy double, p double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "qx", "qy", "p")])
+
+    def spread(q: str, s: str) -> Column:
+        # what rounding leaves of a constant column counts as no spread
+        v = F.col(q) - F.col(s) * F.col(s) / F.col("n")
+        return F.when((F.col("n") > 0) & (v > F.col(q) * 1e-12), v)
+
+    joint = F.col("p") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    names = F.array(*[F.lit(c) for c in chosen])
+    return total.select(F.get(names, "i").alias("left"), F.get(names, "j").alias("right"),
+                        (joint / F.sqrt(spread("qx", "sx") * spread("qy", "sy"))).alias("correlation"))
 
 
 def gate_verdict(df: DataFrame, dataset: Sequence[str], target: str, task: str, numeric: Sequence[str],

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import datetime_or_null, normalize_name
 from .columns import WIDE_IDENTIFIER_NAMES, WIDE_IDENTIFIER_SUFFIXES, keep_scalar_columns
 from .profile import column_profile
-from .scale import compute_once, lookup_join, positions
+from corpusloom.session import stable
+from .scale import collect_small, lookup_join, positions
 
 # Canonical target names and their scores.
 EXACT_TARGET_SCORES = {
@@ -253,14 +255,30 @@ def guess_target_column(names: DataFrame, dataset: str, position: str, name: str
                                               F.when(plain_last, F.col("l.pick"))).alias("target_column"))
 
 
+def few_codes(spark, values) -> DataFrame:
+    """Codes of a small (column, value) table. Python compares strings by code point, which is the
+    byte order that Spark sorts by."""
+    rows, last = [], None
+    for column, value in sorted(zip(values["column"].to_pylist(), values["value"].to_pylist())):
+        code = code + 1 if column == last else 0
+        last = column
+        rows.append((column, value, code))
+    columns = list(zip(*rows)) if rows else [[], [], []]
+    table = pa.table({"column": pa.array(columns[0], pa.string()), "value": pa.array(columns[1], pa.string()),
+                      "code": pa.array(columns[2], pa.int64())})
+    return spark.createDataFrame(table)
+
+
 def ordered_codes(df: DataFrame, columns: Sequence[str], missing: str | None = None) -> DataFrame:
     """(column, value, code): 0-based place of each value among the column's sorted distinct values."""
     text = {c: F.col(c).cast("string") if missing is None
             else F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in text.items()])
     values = df.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null").distinct()
-    values = compute_once(values)
-    return positions(values, ["column"], ["value"], "code").withColumn("code", F.col("code") - 1)
+    table = collect_small(values)
+    if table is None:
+        return positions(stable(values), ["column"], ["value"], "code").withColumn("code", F.col("code") - 1)
+    return few_codes(df.sparkSession, table)
 
 
 def with_code(df: DataFrame, column: str, codes: DataFrame, output: str, missing: str | None = None) -> DataFrame:

@@ -27,10 +27,14 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def profile_counts(counts: DataFrame) -> DataFrame:
-    """One row per column from `value_counts`: raw counts and the six ratios."""
+def profile_counts(counts: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
+    """One row per column from `value_counts`: raw counts and the six ratios. Cells of the columns
+    named in `numeric` are known to be numbers, so no pattern is tried on them."""
     valid = F.col("value").isNotNull()
-    number = number_or_null("value")
+    typed = F.col("column").isin(list(numeric)) if numeric else F.lit(False)
+    parsed = F.col("value").try_cast("double")
+    number = F.when(typed, F.when(~F.isnan(parsed), parsed)).otherwise(number_or_null("value"))
+    date = F.when(~typed, datetime_or_null("value"))
     weight = F.col("cnt")
     sums = counts.groupBy("column").agg(
         F.sum(weight).alias("n_rows"),
@@ -39,8 +43,7 @@ def profile_counts(counts: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(valid, weight)), F.lit(0)).alias("top_count"),
         F.coalesce(F.sum(F.length("value") * weight), F.lit(0)).alias("n_chars"),
         F.coalesce(F.sum(F.when(number.isNotNull(), weight)), F.lit(0)).alias("n_numeric"),
-        F.coalesce(F.sum(F.when(datetime_or_null("value").isNotNull(), weight)), F.lit(0)).alias("n_datetime"),
-        F.count_distinct(number).alias("n_distinct_numbers"),
+        F.coalesce(F.sum(F.when(date.isNotNull(), weight)), F.lit(0)).alias("n_datetime"),
         F.coalesce(F.bool_and(number - F.floor(number) <= 1e-8), F.lit(False)).alias("integer_like"),
     )
     n, valid_rows = F.col("n_rows"), F.col("n_valid")
@@ -59,7 +62,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in columns if isinstance(types[c], T.NumericType)]
-    profile = profile_counts(value_counts(df, columns))
+    profile = profile_counts(value_counts(df, columns), numeric)
     names = F.array(*[F.lit(c) for c in columns])
     return profile.withColumns({
         "position": F.array_position(names, F.col("column")).cast("int"),

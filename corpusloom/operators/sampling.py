@@ -13,28 +13,52 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusloom.functions.hashing import hash_unit, row_hash
 from .folds import fold_rows
-from .scale import hash_cutoffs, hash_positions, lookup_join, positions, small_side
+from .scale import (collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
+                    small_side)
 
 
 @dataclass(frozen=True)
 class Classes:
-    """Class counts (column `n`) with their number, extremes and sum."""
+    """Class counts (target, n) with their number, extremes and sum. Few classes are also kept as
+    driver rows, so that quotas need no further job."""
 
     counts: DataFrame
     number: int
     smallest: int
     largest: int
     total: int
+    rows: list[tuple] | None = None
 
 
 def class_table(df: DataFrame, target: str) -> Classes:
-    counts = small_side(df.groupBy(target).agg(F.count(F.lit(1)).alias("n")))
+    return _classes(df.groupBy(target).agg(F.count(F.lit(1)).alias("n")), target)
+
+
+def _classes(counts: DataFrame, target: str) -> Classes:
+    table = collect_small(counts)
+    if table is not None:
+        rows = [tuple(r.values()) for r in table.select([target, "n"]).to_pylist()]
+        return _few_classes(counts.sparkSession.createDataFrame(table, counts.schema), rows)
     row = counts.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n")).first()
     return Classes(counts, row[0], row[1] or 0, row[2] or 0, row[3] or 0)
 
 
-def class_quotas(classes: Classes, target: str, size: int) -> DataFrame:
-    """Split `size` over the classes by largest remainder: rows (target, quota)."""
+def _few_classes(counts: DataFrame, rows: list[tuple]) -> Classes:
+    sizes = [n for _, n in rows]
+    return Classes(counts, len(rows), min(sizes, default=0), max(sizes, default=0), sum(sizes), rows)
+
+
+def class_quotas(classes: Classes, target: str, size: int) -> Classes:
+    """Split `size` over the classes by largest remainder; ties go to the smaller class value.
+    Classes without a share drop out."""
+    if classes.rows is not None:
+        shares = [(value, *divmod(size * n, classes.total)) for value, n in classes.rows]
+        spare = size - sum(base for _, base, _ in shares)
+        # nulls first, as in a Spark sort
+        shares.sort(key=lambda s: (-s[2], s[0] is not None, s[0] if s[0] is not None else 0))
+        rows = [(value, base + (place < spare)) for place, (value, base, _) in enumerate(shares)]
+        rows = [r for r in rows if r[1] > 0]
+        return _few_classes(classes.counts.sparkSession.createDataFrame(rows, classes.counts.schema), rows)
     wide = F.col("n").cast("decimal(38,0)") * F.lit(size).cast("decimal(20,0)")
     whole = F.lit(classes.total).cast("decimal(20,0)")
     shares = classes.counts.withColumn("__base", F.floor(wide / whole).cast("bigint"))
@@ -42,7 +66,7 @@ def class_quotas(classes: Classes, target: str, size: int) -> DataFrame:
     spare = size - (shares.agg(F.sum("__base")).first()[0] or 0)
     ranked = positions(shares, [], [F.desc("__rest"), target], "__place", largest=classes.number)
     quota = F.col("__base") + (F.col("__place") <= spare).cast("bigint")
-    return ranked.select(target, quota.alias("quota"))
+    return _classes(compute_once(ranked.select(target, quota.alias("n")).filter("n > 0")), target)
 
 
 def can_stratify(classes: Classes, size: int) -> bool:
@@ -50,34 +74,43 @@ def can_stratify(classes: Classes, size: int) -> bool:
     return classes.smallest >= 2 and size >= classes.number and classes.total - size >= classes.number
 
 
-def _inside(df: DataFrame, rows: DataFrame, target: str | None, digest: str, size: int,
-            total: int | None = None) -> tuple[DataFrame, Column]:
-    """Condition that holds for exactly `size` of `rows`, class-proportional when `target` allows
-    it. No row is shuffled for it: only the digest at each class's quota is looked up, joined to
-    `df`, and compared in place. Returns `df` with the joined cut-off and the condition."""
-    if target is not None:
-        classes = class_table(rows, target)
-        if can_stratify(classes, size):
-            cuts = hash_cutoffs(rows, [target], digest, class_quotas(classes, target, size), ["quota"],
-                                largest=classes.largest)
-            out = lookup_join(df, cuts, [target])
-            return out, F.coalesce(F.col(digest) <= F.col("__cut_quota"), F.lit(False))
-        total = classes.total
-    one = rows.select(digest).withColumn("__all", F.lit(0))
-    bounds = rows.sparkSession.range(1).select(F.lit(0).alias("__all"), F.lit(size).cast("bigint").alias("quota"))
-    cut = hash_cutoffs(one, ["__all"], digest, bounds, ["quota"], largest=total).first()
-    edge = cut["__cut_quota"] if cut else None
-    return df, F.lit(False) if edge is None else F.col(digest) <= F.lit(edge)
+def _cut(df: DataFrame, rows: DataFrame, target: str | None, digest: str, quotas: dict[str, DataFrame | int],
+         largest: int) -> tuple[DataFrame, dict[str, Column]]:
+    """One condition per quota: true for that many of `rows`, smallest digests first, per class of
+    `target` or over all. Only the digest at each quota is looked up; it is joined to `df` (or
+    becomes a literal) and compared in place, so no row is shuffled."""
+    names = list(quotas)
+    if target is None:
+        spark = rows.sparkSession
+        bounds = spark.range(1).select(F.lit(0).alias("__all"), *[F.lit(q).cast("bigint").alias(n) for n, q in quotas.items()])
+        marked = rows.select(digest).withColumn("__all", F.lit(0))
+        cut = hash_cutoffs(marked, ["__all"], digest, F.broadcast(bounds), names, largest=largest).first()
+        edges = {n: cut[f"__cut_{n}"] if cut else None for n in names}
+        return df, {n: F.lit(False) if e is None else F.col(digest) <= F.lit(e) for n, e in edges.items()}
+    bounds = None
+    for name, quota in quotas.items():
+        part = quota.select(target, F.col("n").alias(name))
+        bounds = part if bounds is None else lookup_join(bounds, part, [target])
+    cuts = hash_cutoffs(rows, [target], digest, small_side(bounds), names, largest=largest)
+    out = lookup_join(df, cuts, [target])
+    return out, {n: F.coalesce(F.col(digest) <= F.col(f"__cut_{n}"), F.lit(False)) for n in names}
 
 
 def cap_rows_stratified(df: DataFrame, n: int | None, target: str, task: str, key: Sequence[str],
                         seed: int = 7) -> DataFrame:
     """Exactly `n` rows, class-proportional unless the task is regression."""
-    if n is None or df.count() <= n:
+    if n is None:
         return df
     work = df.withColumn("__digest", row_hash(seed, *key))
-    work, inside = _inside(work, work, target if task != "regression" else None, "__digest", n)
-    return work.filter(inside).drop("__digest", "__cut_quota")
+    classes = class_table(work, target) if task != "regression" else None
+    total = classes.total if classes else df.count()
+    if total <= n:
+        return df
+    if classes and can_stratify(classes, n):
+        work, inside = _cut(work, work, target, "__digest", {"taken": class_quotas(classes, target, n).counts}, classes.largest)
+    else:
+        work, inside = _cut(work, work, None, "__digest", {"taken": n}, total)
+    return work.filter(inside["taken"]).select(*df.columns)
 
 
 def split_table(df: DataFrame, target: str, task: str, key: Sequence[str], seed: int = 7,
@@ -85,24 +118,39 @@ def split_table(df: DataFrame, target: str, task: str, key: Sequence[str], seed:
     """Add `split` = train / val / test with exact sizes, stratified for classification.
 
     Falls back to a plain split when a class is too small. Sizes round up on the held-out side.
+    Test rows are the held-out rows with the smallest digests, so both cuts come from one ranking.
     """
     held = val_fraction + test_fraction
     if val_fraction < 0 or test_fraction < 0 or held >= 1:
         raise ValueError("val_fraction and test_fraction must be >= 0 and sum to less than 1.")
     if held == 0:
         return df.withColumn(label, F.lit("train"))
-    strata = target if task != "regression" else None
     work = df.withColumn("__digest", row_hash(seed, *key))
-    total = df.count()
+    classes = class_table(work, target) if task != "regression" else None
+    total = classes.total if classes else df.count()
     n_held = math.ceil(held * total)
-    work, inside = _inside(work, work, strata, "__digest", n_held, total)
-    work = work.withColumn("__held", inside).drop("__cut_quota")
-    name = F.when(F.col("__held"), "val").otherwise("train")
-    if test_fraction > 0:
-        n_test = math.ceil(test_fraction / held * n_held)
-        work, inside = _inside(work, work.filter("__held"), strata, "__digest", n_test, n_held)
-        name = F.when(~F.col("__held"), "train").when(inside, "test").otherwise("val")
-    return work.withColumn(label, name).drop("__digest", "__held", "__cut_quota")
+    n_test = math.ceil(test_fraction / held * n_held)
+    first = class_quotas(classes, target, n_held) if classes and can_stratify(classes, n_held) else None
+    second = class_quotas(first, target, n_test) if first and n_test and can_stratify(first, n_test) else None
+    if second:
+        work, inside = _cut(work, work, target, "__digest", {"held": first.counts, "test": second.counts}, classes.largest)
+    elif classes is None or not n_test:
+        quotas = {"held": n_held, "test": n_test} if first is None else {"held": first.counts}
+        work, inside = _cut(work, work, target if first else None, "__digest", quotas, classes.largest if first else total)
+        inside.setdefault("test", F.lit(False))
+    else:
+        # one of the two cuts cannot be stratified, so the second works on the rows of the first
+        work, inside = _cut(work, work, target if first else None, "__digest", {"held": first.counts if first else n_held},
+                            classes.largest if first else total)
+        work = work.withColumn("__held", inside["held"]).drop("__cut_held")
+        rows = work.filter("__held")
+        left = first or class_table(rows, target)
+        again = class_quotas(left, target, n_test) if can_stratify(left, n_test) else None
+        work, inside = _cut(work, rows, target if again else None, "__digest", {"test": again.counts if again else n_test},
+                            left.largest if again else n_held)
+        inside["held"] = F.col("__held")
+    name = F.when(~inside["held"], "train").when(inside["test"], "test").otherwise("val")
+    return work.select(*df.columns, name.alias(label))
 
 
 def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -110,8 +158,8 @@ def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42)
     work = df.withColumn("__digest", row_hash(seed, *key))
     if n <= 100_000:
         return work.orderBy("__digest").limit(n).drop("__digest")
-    work, inside = _inside(work, work, None, "__digest", n)
-    return work.filter(inside).drop("__digest")
+    work, inside = _cut(work, work, None, "__digest", {"taken": n}, df.count())
+    return work.filter(inside["taken"]).drop("__digest")
 
 
 def check_episode_sizes(df: DataFrame, dataset: Sequence[str], needed: int) -> None:

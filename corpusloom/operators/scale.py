@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from corpusloom.functions.hashing import as_col, hash_unit
@@ -28,25 +29,26 @@ def small_side_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("corpusloom.smallSideRows", str(SMALL_SIDE_ROWS)))
 
 
-def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast `df` if it has at most `max_rows` rows; otherwise leave the join to AQE.
+def collect_small(df: DataFrame, max_rows: int | None = None) -> pa.Table | None:
+    """The table on the driver if it has at most `max_rows` rows, else None. Never more than
+    `max_rows + 1` rows are fetched."""
+    limit = small_side_rows(df.sparkSession) if max_rows is None else max_rows
+    table = df.limit(limit + 1).toArrow()
+    return table if table.num_rows <= limit else None
 
-    The check reads at most `max_rows + 1` rows and keeps them, so a small table is computed once.
-    """
-    spark = df.sparkSession
-    limit = small_side_rows(spark) if max_rows is None else max_rows
-    rows = df.take(limit + 1)
-    if len(rows) > limit:
-        return df
-    return F.broadcast(spark.createDataFrame(rows, df.schema))
+
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast `df` if it has at most `max_rows` rows; otherwise leave the join to AQE. The rows
+    read for the check are kept as a local table, so a small side is computed once."""
+    table = collect_small(df, max_rows)
+    return df if table is None else F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
 def compute_once(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Keep a result that is used several times: as a local table if it is small, otherwise as a
     reliable checkpoint."""
-    limit = small_side_rows(df.sparkSession) if max_rows is None else max_rows
-    rows = df.take(limit + 1)
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else stable(df)
+    table = collect_small(df, max_rows)
+    return stable(df) if table is None else df.sparkSession.createDataFrame(table, df.schema)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
@@ -142,7 +144,7 @@ def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: Data
                  largest: int | None = None) -> DataFrame:
     """Digest of the last row inside each bound, per group.
 
-    `bounds` has the group columns and one rank per bound name. Only (group, digest) is read,
+    `bounds` has the group columns and one rank per bound name; broadcast it if it is small. Only (group, digest) is read,
     and above the limit only the rows of the bucket that contains a bound are ranked; all other
     rows are merely counted. A row then lies inside a bound iff its digest is not larger.
     """
@@ -151,8 +153,7 @@ def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: Data
     largest = largest_group(slim, groups) if largest is None else largest
     if largest <= limit:
         ranked = slim.withColumn("__rank", F.row_number().over(_over(groups, [digest])))
-        ranked = lookup_join(ranked, bounds, groups)
-        picked = ranked
+        picked = lookup_join(ranked, bounds, groups, checked=True)
     else:
         buckets = -(-largest // limit) * 2
         slim = slim.withColumn("__bucket", F.floor(hash_unit(F.col(digest)) * buckets).cast("int"))
@@ -160,7 +161,7 @@ def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: Data
         sizes = slim.groupBy(*inside).agg(F.count(F.lit(1)).alias("__n"))
         spec = _over(groups, ["__bucket"]).rowsBetween(W.unboundedPreceding, -1)
         sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(spec), F.lit(0)))
-        sizes = lookup_join(sizes, bounds, groups)
+        sizes = lookup_join(sizes, bounds, groups, checked=True)
         hit = None
         for bound in bound_names:
             test = (F.col(bound) > F.col("__before")) & (F.col(bound) <= F.col("__before") + F.col("__n"))

@@ -93,7 +93,10 @@ def test_correlation_limit_and_constants(spark):
     out = gates.max_pairwise_correlation(df, df.columns, max_columns=4)
     assert out.count() == 6
     assert gates.max_pairwise_correlation(df, ["c0", "one"]).first().correlation is None
-    assert gates.max_pairwise_correlation(df, df.columns, pairs_per_pass=4).count() == 21
+    gaps = spark.createDataFrame([(float(i), float(i * i) if i % 3 else None, 7.5 if i % 2 else None) for i in range(60)], "a double, b double, c double")
+    got = {(r.left, r.right): r.correlation for r in gates.max_pairwise_correlation(gaps, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] == pytest.approx(gaps.toPandas()[["a", "b"]].corr().iloc[0, 1])
+    assert got["a", "c"] is None and got["b", "c"] is None
 
 
 def test_structural_order(spark):
