@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.text import normalize_label
+from corpusloom.session import new_run_dir
 from corpusloom.sources.tables import write_artifact
 from .columns import (drop_null_target, is_identifier_name, keep_scalar_columns, normalize_columns,
                       split_numeric_categorical)
@@ -38,11 +39,12 @@ class Prepared:
 def prepare_table(df: DataFrame, key: Sequence[str], target: str | None = None, task: str | None = None,
                   title: str = "table", seed: int = 7, val_fraction: float = 0.1, test_fraction: float = 0.1,
                   max_rows: int | None = None, drop_identifiers: bool = True, feature_engineering: bool = True,
-                  path: str | None = None) -> Prepared:
+                  path: str | None = None, stage: bool = True) -> Prepared:
     """`key` identifies a row and drives the split; it is kept but is not a feature.
 
-    With `path` the split rows are written once and read back, so that fitting and replaying do
-    not repeat the split.
+    The split rows are written once, to `path` or the work folder, and read back: fitting takes
+    several passes, and each then reads only its columns of the training rows. `stage=False`
+    repeats the split in every pass instead. With `path` the result is written, too.
     """
     flat, dropped = keep_scalar_columns(df)
     found: Target = resolve_target(flat.drop(*[k for k in key if k != target]), target, task)
@@ -51,9 +53,10 @@ def prepare_table(df: DataFrame, key: Sequence[str], target: str | None = None,
     rows, renamed = normalize_columns(rows)
     goal, keys = renamed[found.column], [renamed[k] for k in key]
     rows = split_table(rows, goal, found.task_type, keys, seed, val_fraction, test_fraction)
-    if path:
-        rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/split")
-        rows = rows.sparkSession.read.parquet(f"{path}/split")
+    if stage:
+        staged = f"{path or new_run_dir(df.sparkSession, 'prepare')}/split"
+        rows.write.mode("overwrite").partitionBy("split").parquet(staged)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(staged)
     train = rows.filter(F.col("split") == "train").drop("split")
     skip = {*keys, goal, "split"}
     numeric, categorical = split_numeric_categorical(rows.drop(*skip))

@@ -7,6 +7,7 @@ hash bucket or by sort range, so no task ever holds a whole hot group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from corpusloom.session import stable
 
 HOT_ROWS = 1_000_000
 SMALL_SIDE_ROWS = 100_000
+# above this, counting passes beat the value map of `percentile`
+PERCENTILE_ROWS = 200_000
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -245,11 +248,86 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                   hot: int | None = None, n_rows: int | None = None) -> dict[str, list[float]]:
-    """Whole-table quantiles as driver values: `len(columns) * len(probs)` numbers."""
-    row = exact_quantiles(df, [], columns, probs, hot=hot, largest=n_rows).first()
+    """Whole-table quantiles as driver values: `len(columns) * len(probs)` numbers, empty for a
+    column without values."""
+    limit = min(hot_rows(df.sparkSession), PERCENTILE_ROWS) if hot is None else hot
+    n_rows = df.count() if n_rows is None else n_rows
+    if n_rows > limit:
+        return _narrowed_quantiles(df, columns, probs, limit)
+    row = exact_quantiles(df, [], columns, probs, hot=limit, largest=n_rows).first()
     return {c: list(row[c]) if row[c] is not None else [] for c in columns}
 
 
+def _narrowed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int,
+                        buckets: int = 512) -> dict[str, list[float]]:
+    """Exact quantiles without moving the values. Each pass counts the rows per equal-width bucket
+    of the interval that holds a wanted rank, and the interval shrinks to the values of the right
+    bucket, until it has one value or few enough to fetch. A pass shuffles a few numbers per task.
+    """
+    slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    facts = slim.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+                       for c in columns]).first()
+    # (column, rank) → [lowest value, highest value, rows below, rows inside]
+    spans = {}
+    for c in columns:
+        for p in probs if facts[c].n else ():
+            spot = p * (facts[c].n - 1)
+            for rank in {math.floor(spot), math.ceil(spot)}:
+                spans[c, rank] = [facts[c].lo, facts[c].hi, 0, facts[c].n]
+
+    def inside(c: str, lo: float, hi: float) -> Column:
+        return F.col(c).between(F.lit(lo), F.lit(hi))
+
+    while True:
+        wide = sorted({(c, *span) for (c, _), span in spans.items() if span[0] < span[1] and span[3] > limit})
+        if not wide:
+            break
+        cells = []
+        for i, (c, lo, hi, _, _) in enumerate(wide):
+            width = (hi - lo) / buckets
+            place = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            cells.append(F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), place.alias("b"), F.col(c).alias("x"))))
+        found = slim.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).groupBy("e.i", "e.b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi")).collect()
+        for i, (c, lo, hi, below, n) in enumerate(wide):
+            seen, steps = below, []
+            for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["b"]):
+                steps.append([r["lo"], r["hi"], seen, r["n"]])
+                seen += r["n"]
+            for key, span in spans.items():
+                if key[0] == c and span == [lo, hi, below, n]:
+                    spans[key] = next(s for s in steps if s[2] <= key[1] < s[2] + s[3])
+    few = sorted({(c, *span[:3]) for (c, _), span in spans.items() if span[0] < span[1]})
+    values = {}
+    if few:
+        lists = slim.agg(*[F.sort_array(F.collect_list(F.when(inside(c, lo, hi), F.col(c)))).alias(f"v{i}")
+                           for i, (c, lo, hi, _) in enumerate(few)]).first()
+        values = {key: lists[f"v{i}"] for i, key in enumerate(few)}
+
+    def at(c: str, rank: int) -> float:
+        lo, hi, below, _ = spans[c, rank]
+        return lo if lo == hi else values[c, lo, hi, below][rank - below]
+
+    result = {}
+    for c in columns:
+        result[c] = []
+        for p in probs if facts[c].n else ():
+            spot = p * (facts[c].n - 1)
+            low, high = at(c, math.floor(spot)), at(c, math.ceil(spot))
+            result[c].append(low + (high - low) * (spot - math.floor(spot)))
+    return result
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for heavy row-wise work on a small file scan. Fewer files and splits than
+    cores means a small input, whose rows may all sit in one row group; anything larger is left
+    alone. Only for plain scans."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() > cores or len(scan.inputFiles()) >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def distinct_near(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float]) -> dict[str, int]:
     """Distinct counts good enough to compare with `thresholds`: a 2% sketch for all columns in one
     pass, and an exact count only where the sketch lies within 25% of a threshold."""

@@ -34,7 +34,7 @@ select split, count(*) as n, {_z('value')}, {_z('value_log1p')}, {_z('props_freq
   sum(coalesce(code, 0))::bigint as code_sum, sum(y)::bigint as y_sum, count_if(code is null)::bigint as n_unknown
 from rows left join vocab using (cat) join classes using (event_type), stats group by split""")
 def x1(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "value", "props", "event_type")
+    events = table(spark, sf, "events", heavy=True).select("event_id", "value", "props", "event_type")
     prepared = prepare_table(events, ["event_id"], target="event_type", task="multiclass", title="events")
     rows = encode(prepared.rows, prepared.schema, keep=["split"])
     names = list(prepared.schema.numeric)

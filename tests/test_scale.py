@@ -70,11 +70,25 @@ def test_exact_quantiles(spark, skewed):
     for name, part in pdf.groupby("grp"):
         for column in ("x", "t"):
             assert np.allclose(split[name][column], np.quantile(part[column].dropna(), probs))
-    whole = scale.fit_quantiles(skewed, ["x"], probs, hot=10)["x"]
-    assert np.allclose(whole, np.quantile(pdf["x"].dropna(), probs))
+    whole = scale.fit_quantiles(skewed, ["x", "t"], probs, hot=10)
+    assert np.allclose(whole["x"], np.quantile(pdf["x"].dropna(), probs))
+    assert np.allclose(whole["t"], np.quantile(pdf["t"], probs))
+    whole = whole["x"]
     assert np.allclose(whole, scale.fit_quantiles(skewed, ["x"], probs)["x"])
 
 
+@pytest.mark.parametrize("limit", [1, 5, 100])
+def test_narrowed_quantiles(spark, limit):
+    """Heavy tail, ties, nulls, an empty and a constant column."""
+    rows = [(float(10 ** (i % 12)) + i / 7, 3.5 if i % 3 else float(i), None, 2.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "tail double, ties double, empty double, same double")
+    probs = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = scale.fit_quantiles(df, df.columns, probs, hot=limit)
+    for c in ("tail", "ties", "same"):
+        assert np.allclose(got[c], np.quantile(df.toPandas()[c], probs), rtol=1e-12)
+    assert got["empty"] == []
+
+
 def test_lookup_join_above_the_broadcast_limit(spark, skewed, hot):
     lookup = skewed.select("id", (F.col("id") * 2).alias("y"))
     joined = scale.lookup_join(skewed, lookup, ["id"])
