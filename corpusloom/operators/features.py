@@ -153,7 +153,9 @@ def apply_transforms(df: DataFrame, spec: TransformSpec, order: str = "collapse_
     late = order == "collapse_first"
     types = _types(df)
     looked = [c for c in dict.fromkeys([*spec.collapse, *spec.frequency]) if c in df.columns]
-    tables = lookup_tables(spec.values, looked) if looked else {}
+    # of a collapsed column only the kept values matter, and each of those has 1% of the rows
+    values = spec.values.filter(F.col("keep") | ~F.col("column").isin(spec.collapse)) if looked and late else spec.values
+    tables = lookup_tables(values, looked) if looked else {}
     out, replaced, frequencies = df, {}, {}
     for i, c in enumerate(looked):
         side = tables[c].select(F.col("value").alias(f"__v{i}"), F.col("frequency").alias(f"__f{i}"),

@@ -12,7 +12,7 @@ from corpusloom.functions.text import datetime_or_null, normalize_name
 from .columns import WIDE_IDENTIFIER_NAMES, WIDE_IDENTIFIER_SUFFIXES, keep_scalar_columns
 from .profile import column_profile
 from corpusloom.session import stable
-from .scale import collect_small, lookup_join, positions
+from .scale import collect_small, distinct_near, lookup_join, positions
 
 # Canonical target names and their scores.
 EXACT_TARGET_SCORES = {
@@ -349,17 +349,16 @@ def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int |
         df = df.orderBy(*order).limit(sample_rows)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [c for c in df.columns if c not in numeric]
-    row = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(F.col(c)).alias(f"u_{c}") for c in others])
-    usable = F.lit(len(numeric))
-    for c in others:
-        usable = usable + (F.col(f"u_{c}") < 200).cast("int")
-    width = len(df.columns)
-    small = (F.col("n_rows") < 20) | F.lit(width < 2)
-    reason = (F.when(small, F.format_string("too small: (%d, %d)", "n_rows", F.lit(width)))
-              .when(usable < 2, F.format_string("only %d usable columns", usable)).otherwise(""))
-    return row.select((reason == "").alias("ok"), reason.alias("reason"),
-                      F.when(small, 0).otherwise(F.col("n_rows")).cast("bigint").alias("n_rows"),
-                      F.when(small, 0).otherwise(F.lit(width)).cast("bigint").alias("n_cols"))
+    n, width, reason = df.count(), len(df.columns), ""
+    if n < 20 or width < 2:
+        n, width, reason = 0, 0, f"too small: ({n}, {width})"
+    else:
+        distinct = distinct_near(df, others, [200])
+        usable = len(numeric) + sum(distinct[c] < 200 for c in others)
+        if usable < 2:
+            reason = f"only {usable} usable columns"
+    return df.sparkSession.range(1).select(F.lit(reason == "").alias("ok"), F.lit(reason).alias("reason"),
+                                           F.lit(n).cast("bigint").alias("n_rows"), F.lit(width).cast("bigint").alias("n_cols"))
 
 
 def raw_text_values(df: DataFrame, columns: Sequence[str], output: str = "raw_text") -> DataFrame:

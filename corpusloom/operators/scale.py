@@ -117,9 +117,27 @@ def running(df: DataFrame, groups: Sequence[str], order: Sequence, value, name:
 
 def positions(df: DataFrame, groups: Sequence[str], order: Sequence, name: str,
               hot: int | None = None, largest: int | None = None) -> DataFrame:
-    """1-based position of each row in a total `order`, per group or over the whole table."""
-    out = running(df, groups, order, F.lit(1), name, hot=hot, largest=largest)
-    return out.withColumn(name, F.col(name).cast("bigint"))
+    """1-based position of each row in a total `order`, per group or over the whole table.
+
+    Above the limit the rows are range-partitioned and sorted once; a row's place inside its range
+    comes from its row id, and the first place and size of each (range, group) run, a small table,
+    turn it into a position. The rows are not shuffled again.
+    """
+    limit = hot_rows(df.sparkSession) if hot is None else hot
+    largest = largest_group(df, groups) if largest is None else largest
+    if largest <= limit:
+        return df.withColumn(name, F.row_number().over(_over(groups, order)).cast("bigint"))
+    keys = [*groups, *order]
+    parts = stable(df.repartitionByRange(*keys).sortWithinPartitions(*keys))
+    # a row id holds the partition above bit 33 and the place in the partition below
+    parts = parts.withColumn("__id", F.monotonically_increasing_id())
+    parts = parts.withColumns({"__part": F.shiftright("__id", 33), "__place": F.col("__id").bitwiseAND(2**33 - 1)}).drop("__id")
+    inside = ["__part", *groups]
+    runs = parts.groupBy(*inside).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(_over(groups, ["__part"]).rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("__shift", F.coalesce(before, F.lit(0)) - F.col("__first") + 1).drop("__first", "__n")
+    placed = lookup_join(parts, runs, inside)
+    return placed.withColumn(name, (F.col("__place") + F.col("__shift")).cast("bigint")).drop("__part", "__place", "__shift")
 
 
 def hash_positions(df: DataFrame, groups: Sequence[str], digest: str, name: str,
@@ -330,11 +348,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def distinct_near(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float]) -> dict[str, int]:
     """Distinct counts good enough to compare with `thresholds`: a 2% sketch for all columns in one
-    pass, and an exact count only where the sketch lies within 25% of a threshold."""
+    pass, and an exact count only where the sketch lies within 10%, five standard errors, of a
+    threshold."""
     if not columns:
         return {}
     row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first().asDict()
-    close = [c for c in columns if any(abs(row[c] - t) <= 0.25 * t + 2 for t in thresholds)]
+    close = [c for c in columns if any(abs(row[c] - t) <= 0.1 * max(row[c], t) + 2 for t in thresholds)]
     if close:
         row.update(df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in close]).first().asDict())
     return {c: int(row[c]) for c in columns}

@@ -61,6 +61,20 @@ def a4(spark, sf):
     return back.select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("target"))
 
 
+@query("a8_catalog_source", """
+select c_custkey as id, c_name as title, c_mktsegment as task_type, c_nationkey % 2 = 0 as recommended, c_custkey * 10 as est_rows from customer""")
+def a8(spark, sf):
+    """Customers as catalog documents of a hundred records, one JSON document per file."""
+    records = table(spark, sf, "customer").select(
+        F.floor(F.col("c_custkey") / 100).alias("doc"), F.struct(
+            F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("task_type"),
+            (F.col("c_nationkey") % 2 == 0).alias("recommended"), (F.col("c_custkey") * 10).alias("est_rows")).alias("r"))
+    docs = records.groupBy("doc").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list("r").alias("datasets"))).alias("value"))
+    root = new_run_dir(spark, "catalog")
+    docs.write.partitionBy("doc").text(root)
+    return ops.catalog_source(spark, root, "id bigint, title string, task_type string, recommended boolean, est_rows bigint")
+
+
 @query("a7_log_source_sink", """
 select 'json' as kind, event_id::varchar as event_id, nullif(event_type, 'view') as event_type, null::varchar as extra from events
 union all select 'tsv', event_id::varchar, case when event_type = 'view' then '' else event_type end, '' from events""")

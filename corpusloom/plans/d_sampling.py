@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.hashing import row_hash
 from corpusloom.operators import sampling as ops
 from .registry import query, table
 from .sqltext import unit

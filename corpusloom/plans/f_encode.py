@@ -8,7 +8,6 @@ from corpusloom.functions.hashing import hash_token
 from corpusloom.functions.text import SPACE_CLASS, tokenize_text
 from corpusloom.operators import encode as ops, sampling
 from corpusloom.operators.infer import ordered_codes
-from corpusloom.operators.profile import profile_vector
 from .c_profile import schema_text_sql
 from .d_sampling import split_sql
 from .e_features import EV_SQL, sample_events

@@ -42,13 +42,35 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
-    """Call `handle(rows, batch_id)` per micro-batch until the input is used up; returns the last
-    batch id. A batch may be handled again after a failure, so `handle` must overwrite."""
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-             .foreachBatch(handle).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else -1
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Call `handle(rows, batch_id)` per micro-batch until the input is used up. A batch may be
+    handled again after a failure, so `handle` must overwrite."""
+    (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+     .foreachBatch(handle).trigger(availableNow=True).start().awaitTermination())
+
+
+class LiveTable:
+    """A small table that every micro-batch replaces. Two folders take turns, so the result of the
+    batch before stays readable while a batch is written or repeated."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+        self.stored = T.StructType([*schema.fields, T.StructField("__batch", T.LongType())])
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        stamped = rows.select(*self.schema.names).withColumn("__batch", F.lit(batch_id).cast("bigint"))
+        stamped.write.mode("overwrite").parquet(f"{self.path}/slot={batch_id % 2}")
+
+    def before(self, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        stored = self.spark.read.schema(self.stored).parquet(f"{self.path}/slot={(batch_id - 1) % 2}")
+        return stored.select(*self.schema.names)
+
+    def current(self) -> DataFrame:
+        stored = self.spark.read.schema(self.stored).parquet(self.path)
+        last = stored.agg(F.max("__batch")).first()[0]
+        return stored.filter(F.col("__batch") == F.lit(last)).select(*self.schema.names)
 
 
 def stream_transform(stream: DataFrame, spec: TransformSpec) -> DataFrame:
@@ -88,9 +110,11 @@ def bootstrap_sample(stream: DataFrame, n: int, key: Sequence[str], path: str, c
     def handle(rows: DataFrame, batch_id: int) -> None:
         fixed_size_sample(rows.select(*flat_columns), n, key, seed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    if run_batches(stream, handle, checkpoint) < 0:
-        raise ValueError("The stream has no rows to sample.")
-    kept = stream.sparkSession.read.schema(stream.select(*flat_columns).schema).option("recursiveFileLookup", True).parquet(path)
+    spark, schema = stream.sparkSession, stream.select(*flat_columns).schema
+    # an empty first part, so that the folder exists even if the stream has no rows
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=none")
+    run_batches(stream, handle, checkpoint)
+    kept = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
     sample = fixed_size_sample(kept, n, key, seed)
     if sample.isEmpty():
         raise ValueError("The stream has no rows to sample.")
@@ -105,15 +129,10 @@ def row_counters(stream: DataFrame, batch_size: int, path: str, checkpoint: str)
 
 
 def latest_result(aggregated: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Complete result of a streaming aggregate, replaced at every batch under its batch id."""
-    spark = aggregated.sparkSession
-    schema = aggregated.schema
-
-    def handle(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    last = run_batches(aggregated, handle, checkpoint, mode="complete")
-    return spark.read.schema(schema).parquet(f"{path}/version={last}")
+    """Complete result of a streaming aggregate, replaced at every batch."""
+    result = LiveTable(aggregated.sparkSession, path, aggregated.schema)
+    run_batches(aggregated, result.write, checkpoint, mode="complete")
+    return result.current()
 
 
 def live_dashboard(stream: DataFrame, status: str, path: str, checkpoint: str) -> DataFrame:
@@ -122,17 +141,16 @@ def live_dashboard(stream: DataFrame, status: str, path: str, checkpoint: str) -
 
 
 def live_upsert(stream: DataFrame, key: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> DataFrame:
-    """Latest row per key. Every batch merges into a new version, named by its batch id, so a
-    repeated batch gives the same table."""
-    spark, schema = stream.sparkSession, stream.schema
+    """Latest row per key. Every batch merges into the result of the batch before, so a repeated
+    batch gives the same table."""
+    result = LiveTable(stream.sparkSession, path, stream.schema)
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}"))
-        registry_upsert(rows, key, order).select(*schema.names).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        newest = registry_upsert(rows, key, order).select(*result.schema.names)
+        result.write(registry_upsert(result.before(batch_id).unionByName(newest), key, order), batch_id)
 
-    last = run_batches(stream, handle, checkpoint)
-    return spark.read.schema(schema).parquet(f"{path}/version={last}")
+    run_batches(stream, handle, checkpoint)
+    return result.current()
 
 
 def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int, delay: str = "0 seconds") -> DataFrame:
@@ -198,9 +216,8 @@ def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int,
 def live_best(stream: DataFrame, experiment: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
     """Per experiment: rows seen, best value so far, and rows since it last improved. Rows of a batch
     are reduced by aggregates, then folded into the table of the batch before."""
-    spark = stream.sparkSession
-    kind = stream.schema[experiment].dataType.simpleString()
-    schema = f"`{experiment}` {kind}, seen bigint, best double, patience bigint"
+    result = LiveTable(stream.sparkSession, path, T.StructType([
+        stream.schema[experiment], *T.DataType.fromDDL("seen bigint, best double, patience bigint").fields]))
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         slim = rows.select(experiment, F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
@@ -208,20 +225,16 @@ def live_best(stream: DataFrame, experiment: str, order: str, value: str, path:
         joined = lookup_join(slim, best, [experiment])
         new = joined.groupBy(experiment).agg(F.count(F.lit(1)).alias("n"), F.first("m.v").alias("low"),
                                              F.count_if(F.col("m").isNull() | (F.col("o") > F.col("m.o"))).alias("after"))
-        if batch_id == 0:
-            old = spark.createDataFrame([], schema)
-        else:
-            old = spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
-        both = old.join(new, experiment, "full_outer")
+        both = result.before(batch_id).join(new, experiment, "full_outer")
         better = F.col("low").isNotNull() & (F.col("best").isNull() | (F.col("low") < F.col("best")))
         more = F.coalesce("n", F.lit(0))
-        both.select(experiment, (F.coalesce("seen", F.lit(0)) + more).alias("seen"),
-                    F.when(better, F.col("low")).otherwise(F.col("best")).alias("best"),
-                    F.when(better, F.col("after")).otherwise(F.coalesce("patience", F.lit(0)) + more).alias("patience"),
-                    ).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        patience = F.when(better, F.col("after")).otherwise(F.coalesce("patience", F.lit(0)) + more)
+        result.write(both.select(experiment, (F.coalesce("seen", F.lit(0)) + more).alias("seen"),
+                                 F.when(better, F.col("low")).otherwise(F.col("best")).alias("best"),
+                                 patience.alias("patience")), batch_id)
 
-    last = run_batches(stream, handle, checkpoint)
-    return spark.read.schema(schema).parquet(f"{path}/version={last}")
+    run_batches(stream, handle, checkpoint)
+    return result.current()
 
 
 def work_paths(spark: SparkSession, label: str) -> tuple[str, str]:

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import datetime_or_null, number_or_null, tokenize_text

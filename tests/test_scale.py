@@ -1,7 +1,6 @@
 """The paths for hot groups must give the same rows as plain windows."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import Window as W, functions as F
 

@@ -78,6 +78,8 @@ def test_upsert_and_counters_over_restarts(spark):
         counter = ops.row_counters(ops.stream_source(spark, source, df.schema), 4, counts, count_checkpoint).first()
     assert sorted(tuple(r) for r in latest.collect()) == sorted((o % 7, o, o * 2) for o in range(83, 90))
     assert (counter.rows_seen, counter.global_step) == (90, 23)
+    again = ops.live_upsert(ops.stream_source(spark, source, df.schema), ["k"], ["o"], target, checkpoint)
+    assert again.count() == 7
 
 
 def test_bounded_triggers(spark):
