@@ -80,7 +80,7 @@ from ev join props_v p on p.v = props join user_text_v u on u.v = user_text""")
 def e4(spark, sf):
     df = sample_events(spark, sf)
     values, _, frequency, _ = ops.fit_categories(df, ["props", "user_text", "event_type"])
-    out = ops.apply_transforms(df, ops.TransformSpec(frequency=frequency, values=values))
+    out = _with_frequencies(ops.apply_transforms(df, ops.TransformSpec(frequency=frequency, values=values)))
     return out.select("event_id", *[F.round(f"{c}_frequency", 8).alias(f"{c}_frequency") for c in ("props", "user_text")])
 
 
@@ -91,14 +91,22 @@ select event_id, round(value, 4) as value, if((select collapses from bucket_s),
   (value is null)::tinyint as value_is_missing,
   (case when (select collapses from bucket_s) then 0 when bucket is null then 1 else 0 end)::tinyint as bucket_is_missing,
   round(ln(1 + greatest(coalesce(value, 0), 0)), 6) as value_log1p,
-  round(case when (select collapses from props_s) and not p.keep then 0.0 else p.f end, 8) as props_frequency,
-  round(case when (select collapses from user_text_s) and not u.keep then 0.0 else u.f end, 8) as user_text_frequency
+  case when (select d >= 32 or d / (select count(*) from ev) >= 0.2 from props_s)
+    then round(case when (select collapses from props_s) and not p.keep then 0.0 else p.f end, 8) end as props_frequency,
+  case when (select d >= 32 or d / (select count(*) from ev) >= 0.2 from user_text_s)
+    then round(case when (select collapses from user_text_s) and not u.keep then 0.0 else u.f end, 8) end as user_text_frequency
 from ev join bucket_v b on b.v = coalesce(bucket, '__MISSING__') join props_v p on p.v = props
 join user_text_v u on u.v = user_text"""
 
 
+def _with_frequencies(df):
+    """Frequency columns are there only if the fit asks for them."""
+    absent = [c for c in ("props_frequency", "user_text_frequency") if c not in df.columns]
+    return df.withColumns({c: F.lit(None).cast("double") for c in absent}) if absent else df
+
+
 def _shape(df):
-    return df.select("event_id", F.round("value", 4).alias("value"), "bucket", "props", "event_type",
+    return _with_frequencies(df).select("event_id", F.round("value", 4).alias("value"), "bucket", "props", "event_type",
                      "value_is_missing", "bucket_is_missing", F.round("value_log1p", 6).alias("value_log1p"),
                      F.round("props_frequency", 8).alias("props_frequency"),
                      F.round("user_text_frequency", 8).alias("user_text_frequency"))

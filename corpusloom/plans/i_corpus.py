@@ -35,9 +35,10 @@ def corpus(spark, sf):
 
 @query("i1_encode_fixed_width_prepared", """
 with src as (select *, 'N' || c_nationkey as nation, coalesce(nullif(c_mktsegment, 'BUILDING'), 'nan') as seg from customer)
-select c_custkey, c_nationkey::float as feat_0, c_acctbal::float as feat_1, (dense_rank() over (order by nation) - 1)::float as feat_2,
-  null::float as feat_3, null::float as feat_63, (dense_rank() over (order by seg) - 1)::float as target, 'multiclass' as task_type,
-  count(*) over ()::bigint as n_samples from src""")
+select c_custkey, if(wordy, c_nationkey, dense_rank() over (order by c_name) - 1)::float as feat_0,
+  if(wordy, c_acctbal, c_nationkey)::float as feat_1, if(wordy, dense_rank() over (order by nation) - 1, c_acctbal)::float as feat_2,
+  if(wordy, null, dense_rank() over (order by nation) - 1)::float as feat_3, null::float as feat_63, (dense_rank() over (order by seg) - 1)::float as target, 'multiclass' as task_type,
+  count(*) over ()::bigint as n_samples from src, (select count(distinct c_name) > 200 as wordy from customer)""")
 def i1(spark, sf):
     customer = table(spark, sf, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal",
