@@ -305,8 +305,9 @@ def _narrowed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[f
             width = (hi - lo) / buckets
             place = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
             cells.append(F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), place.alias("b"), F.col(c).alias("x"))))
-        found = slim.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).groupBy("e.i", "e.b").agg(
-            F.count(F.lit(1)).alias("n"), F.min("e.x").alias("lo"), F.max("e.x").alias("hi")).collect()
+        long = slim.select(F.explode(F.array(*cells)).alias("e")).filter("e is not null").select("e.*")
+        found = long.groupBy("i", "b").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         for i, (c, lo, hi, below, n) in enumerate(wide):
             seen, steps = below, []
             for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["b"]):
