@@ -9,12 +9,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from corpusloom.functions.hashing import hash_unit, row_hash
 from .folds import fold_rows
 from .scale import (collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
-                    small_side)
+                    rows_to_local, small_side)
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ def class_quotas(classes: Classes, target: str, size: int) -> Classes:
         shares.sort(key=lambda s: (-s[2], s[0] is not None, s[0] if s[0] is not None else 0))
         rows = [(value, base + (place < spare)) for place, (value, base, _) in enumerate(shares)]
         rows = [r for r in rows if r[1] > 0]
-        return _few_classes(classes.counts.sparkSession.createDataFrame(rows, classes.counts.schema), rows)
+        return _few_classes(rows_to_local(classes.counts.sparkSession, rows, classes.counts.schema), rows)
     wide = F.col("n").cast("decimal(38,0)") * F.lit(size).cast("decimal(20,0)")
     whole = F.lit(classes.total).cast("decimal(20,0)")
     shares = classes.counts.withColumn("__base", F.floor(wide / whole).cast("bigint"))
@@ -74,7 +74,7 @@ def can_stratify(classes: Classes, size: int) -> bool:
     return classes.smallest >= 2 and size >= classes.number and classes.total - size >= classes.number
 
 
-def _cut(df: DataFrame, rows: DataFrame, target: str | None, digest: str, quotas: dict[str, DataFrame | int],
+def _cut(df: DataFrame, rows: DataFrame, target: str | None, digest: str, quotas: dict[str, Classes | int],
          largest: int) -> tuple[DataFrame, dict[str, Column]]:
     """One condition per quota: true for that many of `rows`, smallest digests first, per class of
     `target` or over all. Only the digest at each quota is looked up; it is joined to `df` (or
@@ -87,15 +87,26 @@ def _cut(df: DataFrame, rows: DataFrame, target: str | None, digest: str, quotas
         cut = hash_cutoffs(marked, ["__all"], digest, F.broadcast(bounds), names, largest=largest).first()
         edges = {n: cut[f"__cut_{n}"] if cut else None for n in names}
         return df, {n: F.lit(False) if e is None else F.col(digest) <= F.lit(e) for n, e in edges.items()}
-    bounds = None
-    for name, quota in quotas.items():
-        part = quota.select(target, F.col("n").alias(name))
-        bounds = part if bounds is None else lookup_join(bounds, part, [target])
-    cuts = hash_cutoffs(rows, [target], digest, small_side(bounds), names, largest=largest)
+    cuts = hash_cutoffs(rows, [target], digest, _bounds(quotas, target), names, largest=largest)
     out = lookup_join(df, cuts, [target])
     return out, {n: F.coalesce(F.col(digest) <= F.col(f"__cut_{n}"), F.lit(False)) for n in names}
 
 
+def _bounds(quotas: dict[str, Classes], target: str) -> DataFrame:
+    """(target, one column per quota); a class without a share has null."""
+    tables = list(quotas.values())
+    if all(t.rows is not None for t in tables):
+        shares = [dict(t.rows) for t in tables]
+        rows = [(value, *[s.get(value) for s in shares]) for value in shares[0]]
+        fields = [tables[0].counts.schema[target], *[T.StructField(n, T.LongType()) for n in quotas]]
+        return F.broadcast(rows_to_local(tables[0].counts.sparkSession, rows, T.StructType(fields)))
+    bounds = None
+    for name, table in quotas.items():
+        part = table.counts.select(target, F.col("n").alias(name))
+        bounds = part if bounds is None else lookup_join(bounds, part, [target])
+    return small_side(bounds)
+
+
 def cap_rows_stratified(df: DataFrame, n: int | None, target: str, task: str, key: Sequence[str],
                         seed: int = 7) -> DataFrame:
     """Exactly `n` rows, class-proportional unless the task is regression."""
@@ -107,7 +118,7 @@ def cap_rows_stratified(df: DataFrame, n: int | None, target: str, task: str, ke
     if total <= n:
         return df
     if classes and can_stratify(classes, n):
-        work, inside = _cut(work, work, target, "__digest", {"taken": class_quotas(classes, target, n).counts}, classes.largest)
+        work, inside = _cut(work, work, target, "__digest", {"taken": class_quotas(classes, target, n)}, classes.largest)
     else:
         work, inside = _cut(work, work, None, "__digest", {"taken": n}, total)
     return work.filter(inside["taken"]).select(*df.columns)
@@ -133,20 +144,20 @@ def split_table(df: DataFrame, target: str, task: str, key: Sequence[str], seed:
     first = class_quotas(classes, target, n_held) if classes and can_stratify(classes, n_held) else None
     second = class_quotas(first, target, n_test) if first and n_test and can_stratify(first, n_test) else None
     if second:
-        work, inside = _cut(work, work, target, "__digest", {"held": first.counts, "test": second.counts}, classes.largest)
+        work, inside = _cut(work, work, target, "__digest", {"held": first, "test": second}, classes.largest)
     elif classes is None or not n_test:
-        quotas = {"held": n_held, "test": n_test} if first is None else {"held": first.counts}
+        quotas = {"held": n_held, "test": n_test} if first is None else {"held": first}
         work, inside = _cut(work, work, target if first else None, "__digest", quotas, classes.largest if first else total)
         inside.setdefault("test", F.lit(False))
     else:
         # one of the two cuts cannot be stratified, so the second works on the rows of the first
-        work, inside = _cut(work, work, target if first else None, "__digest", {"held": first.counts if first else n_held},
+        work, inside = _cut(work, work, target if first else None, "__digest", {"held": first if first else n_held},
                             classes.largest if first else total)
         work = work.withColumn("__held", inside["held"]).drop("__cut_held")
         rows = work.filter("__held")
         left = first or class_table(rows, target)
         again = class_quotas(left, target, n_test) if can_stratify(left, n_test) else None
-        work, inside = _cut(work, rows, target if again else None, "__digest", {"test": again.counts if again else n_test},
+        work, inside = _cut(work, rows, target if again else None, "__digest", {"test": again if again else n_test},
                             left.largest if again else n_held)
         inside["held"] = F.col("__held")
     name = F.when(~inside["held"], "train").when(inside["test"], "test").otherwise("val")

@@ -11,7 +11,8 @@ import math
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.hashing import as_col, hash_unit
 from corpusloom.session import stable
@@ -40,6 +41,13 @@ def collect_small(df: DataFrame, max_rows: int | None = None) -> pa.Table | None
     return table if table.num_rows <= limit else None
 
 
+def rows_to_local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver rows as a local table, which joins need no job to read."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast `df` if it has at most `max_rows` rows; otherwise leave the join to AQE. The rows
     read for the check are kept as a local table, so a small side is computed once."""

@@ -111,7 +111,7 @@ def j8(spark, sf):
 
 
 _SCORES = """s as (select user_id, if(user_id % 2 = 0, 'regression', 'binary') as task_type,
-  round(if(user_id % 2 = 0, avg(value) / 10 - 2, avg(value) / 25), 4) as score from events group by user_id)"""
+  round(if(user_id % 2 = 0, avg(value) / 9.7 - 2, avg(value) / 24.7), 4) as score from events group by user_id)"""
 
 
 @query("j9_utility_floor", f"""
@@ -122,7 +122,7 @@ def j9(spark, sf):
     even = F.col("user_id") % 2 == 0
     scores = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("m")).select(
         "user_id", F.when(even, "regression").otherwise("binary").alias("task_type"),
-        F.round(F.when(even, F.col("m") / 10 - 2).otherwise(F.col("m") / 25), 4).alias("score"))
+        F.round(F.when(even, F.col("m") / 9.7 - 2).otherwise(F.col("m") / 24.7), 4).alias("score"))
     return ops.utility_floor(scores)
 
 
