@@ -12,6 +12,9 @@ from .hashing import as_col, hash_token
 MISSING_TOKEN = "__MISSING__"
 RARE_TOKEN = "__RARE__"
 
+# Longest text that is its own key.
+KEY_LENGTH = 64
+
 # A number as a whole cell; keeps Java-only spellings such as '1d' out.
 NUMBER_PATTERN = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 # A date, with or without a time of day. Bare years and integers do not count.
@@ -70,6 +73,14 @@ def category(c) -> Column:
     return F.coalesce(as_col(c).cast("string"), F.lit(MISSING_TOKEN))
 
 
+def value_key(c) -> Column:
+    """What stands for a cell in value counts and lookups: the text itself, or its md5 when it is
+    long, so that free text is not shuffled as a key. Long numbers stay as they are."""
+    c = as_col(c)
+    plain = (F.length(c) <= KEY_LENGTH) | c.rlike(NUMBER_PATTERN)
+    return F.when(plain, c).otherwise(F.concat(F.lit("md5:"), F.md5(c)))
+
+
 def datetime_or_null(c) -> Column:
     """Timestamp for `yyyy-MM-dd`, `yyyy/MM/dd` and `MM/dd/yyyy`, each with an optional time."""
     text = as_col(c).cast("string")

@@ -9,14 +9,15 @@ from dataclasses import dataclass, field
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from corpusloom.functions.text import MISSING_TOKEN, RARE_TOKEN, category, number_or_null
+from corpusloom.functions.text import MISSING_TOKEN, RARE_TOKEN, category, number_or_null, value_key
 from .profile import value_counts
 from .scale import collect_small, compute_once, small_side_rows
 
 
 @dataclass
 class TransformSpec:
-    """What was fitted. `values` holds (column, value, frequency, keep) for every category."""
+    """What was fitted. `values` holds (column, value, frequency, keep) for every category; a long
+    text is represented by its key."""
 
     missing: list[str] = field(default_factory=list)
     log1p: list[str] = field(default_factory=list)
@@ -160,11 +161,11 @@ def apply_transforms(df: DataFrame, spec: TransformSpec, order: str = "collapse_
     for i, c in enumerate(looked):
         side = tables[c].select(F.col("value").alias(f"__v{i}"), F.col("frequency").alias(f"__f{i}"),
                                 F.col("keep").alias(f"__k{i}"))
-        out = out.withColumn(f"__c{i}", category(c)).join(side, F.col(f"__c{i}") == F.col(f"__v{i}"), "left")
+        out = out.withColumn(f"__c{i}", value_key(category(c))).join(side, F.col(f"__c{i}") == F.col(f"__v{i}"), "left")
         kept = F.coalesce(F.col(f"__k{i}"), F.lit(False))
         share = F.coalesce(F.col(f"__f{i}"), F.lit(0.0))
         if c in spec.collapse:
-            replaced[c] = F.when(kept, F.col(f"__c{i}")).otherwise(F.lit(RARE_TOKEN))
+            replaced[c] = F.when(kept, category(c)).otherwise(F.lit(RARE_TOKEN))
             share = F.when(kept, share).otherwise(F.lit(0.0)) if late else share
         frequencies[c] = share
     new: dict[str, Column] = {}

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpusloom.functions.text import datetime_or_null, name_tokens, number_or_null
+from corpusloom.functions.text import datetime_or_null, name_tokens, number_or_null, value_key
 
 # Feature types in the order that breaks ties.
 TYPE_NAMES = ("numeric", "categorical", "text", "identifier", "datetime")
@@ -15,12 +15,14 @@ RATIO_NAMES = ("missing_ratio", "unique_ratio", "top_frequency_ratio", "avg_stri
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, cnt) over the string form of every cell. Equal values meet in the map-side
-    combine, so a value that fills a third of the table costs one row per task."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                      for c in columns])
-    long = df.select(F.explode(cells).alias("cell")).select("cell.column", "cell.value")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    """(column, value, length, cnt) over the string form of every cell; long text is represented
+    by its key. Equal values meet in the map-side combine, so a value that fills a third of the
+    table costs one row per task."""
+    text = {c: F.col(c).cast("string") for c in columns}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), value_key(x).alias("value"), F.length(x).alias("length"))
+                      for c, x in text.items()])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.*")
+    return long.groupBy("column", "value", "length").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -41,7 +43,7 @@ def profile_counts(counts: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
         F.coalesce(F.sum(F.when(valid, weight)), F.lit(0)).alias("n_valid"),
         F.count_if(valid).alias("n_distinct"),
         F.coalesce(F.max(F.when(valid, weight)), F.lit(0)).alias("top_count"),
-        F.coalesce(F.sum(F.length("value") * weight), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.sum(F.col("length") * weight), F.lit(0)).alias("n_chars"),
         F.coalesce(F.sum(F.when(number.isNotNull(), weight)), F.lit(0)).alias("n_numeric"),
         F.coalesce(F.sum(F.when(date.isNotNull(), weight)), F.lit(0)).alias("n_datetime"),
         F.coalesce(F.bool_and(number - F.floor(number) <= 1e-8), F.lit(False)).alias("integer_like"),

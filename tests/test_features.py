@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import encode, features
+from corpusloom.operators import encode, features, profile
 from corpusloom.operators.prepare import prepare_table
 from corpusloom.session import new_run_dir
 from corpusloom.sources.tables import read_artifact
@@ -107,3 +107,19 @@ def test_batches(spark):
     df = spark.range(100)
     out = encode.assemble_batches(df, 32, ["id"], collect=["id"]).orderBy("batch_id").collect()
     assert [len(r.id) for r in out] == [32, 32, 32, 4] and out[1].id[0] == 32
+
+
+def test_long_text_values(spark):
+    """Long cells are counted and looked up by key, and come back as they were."""
+    words = ["w" * 200, "w" * 199 + "x", "9" * 80, "short"]
+    df = spark.createDataFrame([(i, words[i % 4] if i % 10 else f"rare {i} " + "y" * 90) for i in range(400)], "id int, t string")
+    prof = profile.column_profile(df, ["t"]).first()
+    assert (prof.n_distinct, prof.n_chars) == (44, sum(len(r.t) for r in df.collect()))
+    assert prof.n_numeric == sum(r.t == words[2] for r in df.collect())
+    spec = features.fit_transforms(df, [], ["t"])
+    assert spec.collapse == ["t"] and spec.frequency == ["t"]
+    out = features.apply_transforms(df, spec)
+    assert {r.t for r in out.collect()} == {*words, "__RARE__"}
+    counts = {r.t: r["count"] / 400 for r in df.groupBy("t").count().collect()}
+    for r in out.filter("t <> '__RARE__'").select("t", "t_frequency").distinct().collect():
+        assert r.t_frequency == pytest.approx(counts[r.t])
