@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.functions.clock import epoch_micros
 from .folds import fold_rows
 from .registry import first_per_key
 from .scale import lookup_join, positions, running
@@ -134,7 +135,8 @@ def assert_new_keys(queue: DataFrame, added: DataFrame, key: str = "dataset_id")
 def evict_to_budget(files: DataFrame, now: Column, budget: float, path: str = "path", size: str = "size",
                     modified: str = "modified") -> DataFrame:
     """Mark entries for removal, largest age times size first, until the rest fits."""
-    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(modified).cast("timestamp"))) / F.lit(1e6)
+    kind = files.schema[modified].dataType
+    age = (epoch_micros(now, kind) - epoch_micros(modified, kind)) / F.lit(1e6)
     score = F.greatest(age, F.lit(1.0)) * F.greatest(F.col(size), F.lit(1))
     scored = files.withColumn("score", score)
     total = scored.agg(F.sum(size)).first()[0] or 0
@@ -147,10 +149,11 @@ def job_state(jobs: DataFrame, registry: DataFrame, now: Column, stale_after_sec
     """State of each job before a cycle: complete, failed, cooldown, recovered or runnable.
     A running job with an old heartbeat is stale, and a stale job is recovered unless it cools down."""
     out = jobs.join(registry, key, "left")
-    clock = F.unix_micros(now.cast("timestamp"))
-    age = clock - F.unix_micros(F.col("heartbeat_at").cast("timestamp"))
+    kind = registry.schema["heartbeat_at"].dataType
+    clock = epoch_micros(now, kind)
+    age = clock - epoch_micros("heartbeat_at", kind)
     stale = (F.col("status") == "stale") | ((F.col("status") == "running") & (age > F.lit(stale_after_seconds * 1_000_000).cast("bigint")))
-    cooling = F.unix_micros(F.col("cooldown_until").cast("timestamp")) > clock
+    cooling = epoch_micros("cooldown_until", kind) > clock
     state = (F.when(F.coalesce("current_step", F.lit(0)) >= F.col("max_total_steps"), "complete")
              .when(F.col("status") == "failed", "failed").when(cooling, "cooldown")
              .when(stale, "recovered").otherwise("runnable"))
@@ -158,9 +161,10 @@ def job_state(jobs: DataFrame, registry: DataFrame, now: Column, stale_after_sec
 
 
 def failure_state(jobs: DataFrame, now: Column) -> DataFrame:
-    """After a failed cycle: one failure more, failed or waiting, and when it may run again."""
+    """After a failed cycle: one failure more, failed or waiting, and when it may run again (a
+    wall-clock time, as `now` is)."""
     count = F.coalesce("failure_count", F.lit(0)) + 1
-    pause = F.greatest(F.col("retry_backoff_seconds"), F.lit(0)).cast("bigint")
-    until = F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + pause * 1_000_000)
+    pause = F.greatest(F.col("retry_backoff_seconds"), F.lit(0)).cast("decimal(18,6)")
+    until = now.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), pause)
     return jobs.withColumns({"status": F.when(count >= F.col("max_retries"), "failed").otherwise("retry_wait"),
                              "failure_count": count, "cooldown_until": until})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from corpusloom.functions.clock import epoch_micros
 from corpusloom.functions.text import number_or_null
 from .columns import drop_empty_and_constant, drop_identifiers_by_value
 from .folds import fold_rows
@@ -70,7 +71,7 @@ def _plan_raw(df: DataFrame, features: Sequence[str], n: int) -> list[tuple[str,
 
 def _cell(df: DataFrame, c: str, kind: str) -> Column:
     if kind == "datetime":
-        return F.unix_timestamp(F.col(c).cast("timestamp")).cast("double")
+        return epoch_micros(c, df.schema[c].dataType) / F.lit(1e6)
     return number_or_null(c, df.schema[c].dataType)
 
 

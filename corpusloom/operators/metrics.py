@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corpusloom.functions.clock import epoch_micros
 from .scale import lookup_join, running
 
 
@@ -88,7 +89,8 @@ def reconcile_stale(jobs: DataFrame, now: Column, stale_after_seconds: int = 300
     is_running = F.col("status") == "running"
     beat = F.col("heartbeat_at")
     orphan = is_running & beat.isNull()
-    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(beat.cast("timestamp"))
+    kind = jobs.schema["heartbeat_at"].dataType
+    age = epoch_micros(now, kind) - epoch_micros(beat, kind)
     late = is_running & (age > F.lit(stale_after_seconds * 1_000_000).cast("bigint"))
     error = F.coalesce(F.nullif(F.col("last_error"), F.lit("")), F.lit("Missing heartbeat for running job."))
     return jobs.withColumns({

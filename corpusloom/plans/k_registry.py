@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.clock import epoch_micros
 from corpusloom.operators import registry as ops
 from .registry import query, table
 
@@ -32,7 +33,7 @@ with {REG_SQL} select dataset_id, arg_max(status, (ts, event_id)) as status, max
   epoch_us(min(ts)) as created_us from (select *, max(ts) over (partition by dataset_id) as m from reg) group by dataset_id""")
 def k1(spark, sf):
     out = ops.registry_upsert(records(spark, sf), ["dataset_id"], ["ts", "event_id"], created="ts")
-    return out.select("dataset_id", "status", "event_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"))
+    return out.select("dataset_id", "status", "event_id", epoch_micros("created_at", out.schema["created_at"].dataType).alias("created_us"))
 
 
 @query("k2_new_candidates", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 350000)")

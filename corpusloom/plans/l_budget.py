@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.clock import epoch_micros
 from corpusloom.operators import budget as ops
 from .registry import query, table
 
@@ -222,4 +223,4 @@ def l16(spark, sf):
         "event_id", F.nullif(F.col("event_id") % 5, F.lit(4)).alias("failure_count"), F.lit(3).alias("max_retries"),
         (F.col("event_id") % 100 - 20).alias("retry_backoff_seconds"))
     out = ops.failure_state(df, F.lit(NOW))
-    return out.select("event_id", "status", "failure_count", F.unix_micros("cooldown_until").alias("cooldown_us"))
+    return out.select("event_id", "status", "failure_count", epoch_micros("cooldown_until", out.schema["cooldown_until"].dataType).alias("cooldown_us"))

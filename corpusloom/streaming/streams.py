@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.functions.clock import epoch_micros
 from corpusloom.functions.hashing import row_hash
 from corpusloom.operators.encode import FrozenSchema, encode
 from corpusloom.operators.features import TransformSpec, apply_transforms
@@ -164,7 +165,7 @@ def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int,
     """
     gap = silent_seconds * 1_000_000
     kind = stream.schema[job].dataType.simpleString()
-    beats = stream.select(job, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    beats = stream.select(job, epoch_micros(ts, stream.schema[ts].dataType).alias("us"))
 
     def thin(batches):
         for pdf in batches:
