@@ -6,12 +6,11 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions.text import MISSING_TOKEN, RARE_TOKEN, category, number_or_null, value_key
 from .profile import value_counts
-from .scale import collect_small, compute_once, small_side_rows
+from .scale import collect_small, compute_once, rows_to_local, small_side_rows
 
 
 @dataclass
@@ -134,12 +133,15 @@ def lookup_tables(values: DataFrame, columns: Sequence[str]) -> dict[str, DataFr
     otherwise each column stays a filtered table and the join is left to AQE."""
     spark = values.sparkSession
     limit = small_side_rows(spark)
-    table = collect_small(values.filter(F.col("column").isin(list(columns))), limit)
-    if table is None:
+    rows = collect_small(values.filter(F.col("column").isin(list(columns))), limit)
+    if rows is None:
         return {c: values.filter(F.col("column") == c).drop("column") for c in columns}
     rest = T.StructType([f for f in values.schema.fields if f.name != "column"])
-    parts = {c: table.filter(pc.equal(table["column"], c)).drop_columns("column") for c in columns}
-    return {c: F.broadcast(spark.createDataFrame(part, rest)) for c, part in parts.items()}
+    spot = values.columns.index("column")
+    parts: dict[str, list[tuple]] = {c: [] for c in columns}
+    for r in rows:
+        parts[r["column"]].append(tuple(v for i, v in enumerate(r) if i != spot))
+    return {c: F.broadcast(rows_to_local(spark, part, rest)) for c, part in parts.items()}
 
 
 def apply_transforms(df: DataFrame, spec: TransformSpec, order: str = "collapse_first") -> DataFrame:

@@ -36,10 +36,11 @@ def fold_rows(df: DataFrame, order: Sequence, start, step: Callable, output: str
                 yield batch.assign(**{name: found})
         return run
 
-    if df.count() <= limit:
+    n = df.count()
+    if n <= limit:
         return df.repartition(1).sortWithinPartitions(*order).mapInPandas(folder(start), schema)
 
-    parts = -(-df.count() // limit) * 2
+    parts = -(-n // limit) * 2
     blocks = stable(df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order))
     blocks = blocks.withColumn("__part", F.spark_partition_id())
     target = new_run_dir(spark, "fold")

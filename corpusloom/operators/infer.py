@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import datetime_or_null, normalize_name
 from .columns import WIDE_IDENTIFIER_NAMES, WIDE_IDENTIFIER_SUFFIXES, keep_scalar_columns
 from .profile import column_profile
 from corpusloom.session import stable
-from .scale import collect_small, distinct_near, lookup_join, positions
+from .scale import collect_small, distinct_near, lookup_join, positions, rows_to_local, top_rows
 
 # Canonical target names and their scores.
 EXACT_TARGET_SCORES = {
@@ -255,18 +254,15 @@ def guess_target_column(names: DataFrame, dataset: str, position: str, name: str
                                               F.when(plain_last, F.col("l.pick"))).alias("target_column"))
 
 
-def few_codes(spark, values) -> DataFrame:
-    """Codes of a small (column, value) table. Python compares strings by code point, which is the
+def few_codes(spark, values: Sequence[tuple]) -> DataFrame:
+    """Codes of a few (column, value) rows. Python compares strings by code point, which is the
     byte order that Spark sorts by."""
     rows, last = [], None
-    for column, value in sorted(zip(values["column"].to_pylist(), values["value"].to_pylist())):
+    for column, value in sorted(tuple(v) for v in values):
         code = code + 1 if column == last else 0
         last = column
         rows.append((column, value, code))
-    columns = list(zip(*rows)) if rows else [[], [], []]
-    table = pa.table({"column": pa.array(columns[0], pa.string()), "value": pa.array(columns[1], pa.string()),
-                      "code": pa.array(columns[2], pa.int64())})
-    return spark.createDataFrame(table)
+    return rows_to_local(spark, rows, T.DataType.fromDDL("column string, value string, code bigint"))
 
 
 def ordered_codes(df: DataFrame, columns: Sequence[str], missing: str | None = None) -> DataFrame:
@@ -275,10 +271,10 @@ def ordered_codes(df: DataFrame, columns: Sequence[str], missing: str | None = N
             else F.coalesce(F.col(c).cast("string"), F.lit(missing)) for c in columns}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in text.items()])
     values = df.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null").distinct()
-    table = collect_small(values)
-    if table is None:
+    rows = collect_small(values)
+    if rows is None:
         return positions(stable(values), ["column"], ["value"], "code").withColumn("code", F.col("code") - 1)
-    return few_codes(df.sparkSession, table)
+    return few_codes(df.sparkSession, rows)
 
 
 def with_code(df: DataFrame, column: str, codes: DataFrame, output: str, missing: str | None = None) -> DataFrame:
@@ -346,7 +342,7 @@ def classify_domain(df: DataFrame, text: str, output: str = "domain") -> DataFra
 def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int | None = 5000) -> DataFrame:
     """One row: ok, reason, n_rows, n_cols. `sample_rows=None` checks the whole table."""
     if sample_rows is not None:
-        df = df.orderBy(*order).limit(sample_rows)
+        df = top_rows(df, list(order), sample_rows)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [c for c in df.columns if c not in numeric]
     n, width, reason = df.count(), len(df.columns), ""

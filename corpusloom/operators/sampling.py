@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from corpusloom.functions.hashing import hash_unit, row_hash
 from .folds import fold_rows
 from .scale import (collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
-                    rows_to_local, small_side)
+                    rows_to_local, small_side, top_rows)
 
 
 @dataclass(frozen=True)
@@ -35,10 +35,10 @@ def class_table(df: DataFrame, target: str) -> Classes:
 
 
 def _classes(counts: DataFrame, target: str) -> Classes:
-    table = collect_small(counts)
-    if table is not None:
-        rows = [tuple(r.values()) for r in table.select([target, "n"]).to_pylist()]
-        return _few_classes(counts.sparkSession.createDataFrame(table, counts.schema), rows)
+    rows = collect_small(counts.select(target, "n"))
+    if rows is not None:
+        rows = [tuple(r) for r in rows]
+        return _few_classes(rows_to_local(counts.sparkSession, rows, counts.select(target, "n").schema), rows)
     row = counts.agg(F.count(F.lit(1)), F.min("n"), F.max("n"), F.sum("n")).first()
     return Classes(counts, row[0], row[1] or 0, row[2] or 0, row[3] or 0)
 
@@ -168,7 +168,7 @@ def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42)
     """`n` rows without replacement: a top-k for small `n`, digest cut-off for large `n`."""
     work = df.withColumn("__digest", row_hash(seed, *key))
     if n <= 100_000:
-        return work.orderBy("__digest").limit(n).drop("__digest")
+        return top_rows(work, ["__digest"], n).drop("__digest")
     work, inside = _cut(work, work, None, "__digest", {"taken": n}, df.count())
     return work.filter(inside["taken"]).drop("__digest")
 

@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.hashing import as_col, hash_unit
@@ -33,16 +33,19 @@ def small_side_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("corpusloom.smallSideRows", str(SMALL_SIDE_ROWS)))
 
 
-def collect_small(df: DataFrame, max_rows: int | None = None) -> pa.Table | None:
-    """The table on the driver if it has at most `max_rows` rows, else None. Never more than
-    `max_rows + 1` rows are fetched."""
+def collect_small(df: DataFrame, max_rows: int | None = None) -> list[Row] | None:
+    """The rows on the driver if there are at most `max_rows`, else None. `take` reads partitions
+    step by step, so a large table stops early and never sends more than `max_rows + 1` rows."""
     limit = small_side_rows(df.sparkSession) if max_rows is None else max_rows
-    table = df.limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit else None
+    rows = df.take(limit + 1)
+    return rows if len(rows) <= limit else None
 
 
 def rows_to_local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A few driver rows as a local table, which joins need no job to read."""
+    plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType)
+    if not all(isinstance(f.dataType, plain) for f in schema.fields):
+        return spark.createDataFrame(rows, schema)
     columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
     arrow = to_arrow_schema(schema)
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
@@ -51,15 +54,25 @@ def rows_to_local(spark: SparkSession, rows: Sequence[tuple], schema: T.StructTy
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast `df` if it has at most `max_rows` rows; otherwise leave the join to AQE. The rows
     read for the check are kept as a local table, so a small side is computed once."""
-    table = collect_small(df, max_rows)
-    return df if table is None else F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+    rows = collect_small(df, max_rows)
+    return df if rows is None else F.broadcast(rows_to_local(df.sparkSession, rows, df.schema))
 
 
 def compute_once(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Keep a result that is used several times: as a local table if it is small, otherwise as a
     reliable checkpoint."""
-    table = collect_small(df, max_rows)
-    return stable(df) if table is None else df.sparkSession.createDataFrame(table, df.schema)
+    rows = collect_small(df, max_rows)
+    return stable(df) if rows is None else rows_to_local(df.sparkSession, rows, df.schema)
+
+
+def top_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
+    """First `n` rows in a total `order`. On a large table the best rows of all tasks are first
+    reduced in 256 parts, so that no single task gets `n` rows from every task."""
+    if df.count() > hot_rows(df.sparkSession):
+        parts = df.withColumn("__salt", F.spark_partition_id() % 256)
+        place = F.row_number().over(W.partitionBy("__salt").orderBy(*order))
+        df = parts.withColumn("__rn", place).filter(F.col("__rn") <= n).drop("__salt", "__rn")
+    return df.orderBy(*order).limit(n)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",

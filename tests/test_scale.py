@@ -117,6 +117,11 @@ def test_fold_in_blocks(spark):
         assert sorted(tuple(r) for r in fold_rows(sizes, ["k"], (0, 0), step, "shard bigint", hot=limit).select("k", "shard").collect()) == expected
 
 
+def test_top_rows(spark, skewed, hot):
+    best = scale.top_rows(skewed.repartition(6), [F.desc("t"), "id"], 70)
+    assert [r.id for r in best.collect()] == [r.id for r in sorted(skewed.collect(), key=lambda r: (-r.t, r.id))[:70]]
+
+
 def test_distinct_near(spark, skewed):
     df = skewed.withColumn("few", F.col("id") % 7)
     assert scale.distinct_near(df, ["few", "id"], [7, 300])["few"] == 7
