@@ -7,7 +7,7 @@ keys. Answers meet the block's texts again in a cogroup. The texts are shuffled
 name the same exchange, which Spark reuses.
 
 With b bytes of text, blocks * buckets packed rows are exchanged. Block sizes grow with the square
-root of the input between two limits, so at 100 TB rows still hold some kilobytes each.
+root of the input between two limits, so at 100 TB a row still stands for half a kilobyte of text.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a block: at least, and at most (a single longer text is a block on its own).
-BLOCK_BYTES = (8 << 20, 512 << 20)
+BLOCK_BYTES = (4 << 20, 256 << 20)
 #: Bytes of text for each packed row that a block sends, and the least number of blocks.
-ROW_BYTES, LEAST_BLOCKS = 2 << 10, 32
+ROW_BYTES, LEAST_BLOCKS = 512, 32
 
 
 def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:

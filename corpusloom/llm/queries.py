@@ -1,7 +1,8 @@
 """All queries of this package and their SQL checks."""
 
 from corpusloom.llm import (  # noqa: F401  (importing registers the queries)
-    byte_bpe, decontaminate, lm_score, quality_rules, simhash_dedup, suffix_dedup)
+    byte_bpe, decontaminate, grade_model, lm_score, preference_format, quality_rules, simhash_dedup, suffix_dedup,
+    token_rollups, url_filter)
 from corpusloom.llm.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -33,6 +33,8 @@ from corpusloom.llm.base import query, table
 from corpusloom.llm.blocks import count_blocks, in_blocks
 
 WIDTH, GRAM = 200, 24
+#: Bytes of segments that are indexed at once; segments of one anchor stay together.
+INDEX_BYTES = 1 << 20
 #: From this many different segments on, an anchor's windows are dealt one by one.
 HOT_SEGMENTS = 256
 REPEATS, SHIP, HOT = 1, 2, 4
@@ -284,24 +286,37 @@ def ship(buckets: int, width: int):
         cuts = np.searchsorted(plain, b.cuts)
         keys = np.sort(b.window_hashes(hot))
         key_cuts = A.range_cuts(keys, buckets)
-        out: dict[str, list] = {"bucket": [], "lengths": [], "alone": [], "data": [], "keys": []}
+        out: dict[str, list] = {"bucket": [], "anchors": [], "lengths": [], "data": [], "keys": []}
         for i in range(buckets):
             pairs = plain[cuts[i]:cuts[i + 1]]
             own = keys[key_cuts[i]:key_cuts[i + 1]]
             if not len(pairs) and not len(own):
                 continue
             data, lengths = b.text_of(pairs)
-            for name, value in (("bucket", i), ("lengths", lengths), ("alone", status[pairs] & REPEATS == 0),
-                                ("data", data), ("keys", own)):
+            for name, value in (("bucket", i), ("anchors", b.anchor[pairs]), ("lengths", lengths), ("data", data),
+                                ("keys", own)):
                 out[name].append(value)
         block = answers.column("block")[0].as_py() if answers.num_rows else -1
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32()),
                          "block": pa.array([block] * len(out["bucket"]), pa.int32()),
-                         **{n: A.binary(out[n]) for n in ("lengths", "alone", "data", "keys")}})
+                         **{n: A.binary(out[n]) for n in ("anchors", "lengths", "data", "keys")}})
     return run
 
 
-SHIPPED = "bucket int, block int, lengths binary, alone binary, data binary, keys binary"
+SHIPPED = "bucket int, block int, anchors binary, lengths binary, data binary, keys binary"
+
+
+def collections(anchors: np.ndarray, lengths: np.ndarray):
+    """Segments in sets of about INDEX_BYTES; segments of one anchor are in one set."""
+    order = np.argsort(anchors, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = anchors[order][1:] != anchors[order][:-1]
+    size = np.cumsum(lengths[order])
+    # the set of an anchor follows from the bytes before its first segment
+    before = (size - lengths[order])[np.flatnonzero(new)] // INDEX_BYTES
+    number = before[np.cumsum(new) - 1] if len(order) else size
+    for a, z in zip(np.flatnonzero(np.diff(number, prepend=-1)), np.append(np.flatnonzero(np.diff(number)) + 1, len(order))):
+        yield order[a:z]
 
 
 def match(width: int):
@@ -309,10 +324,15 @@ def match(width: int):
         """Marks of all windows of the shipped segments, and of the shipped hot windows."""
         lengths, cuts = gathered(shipped.column("lengths"), np.int64)
         data, _ = gathered(shipped.column("data"), np.uint8)
-        place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        is_window = place <= np.repeat(lengths, lengths) - width
-        marked = (RunIndex(data, lengths).matching_statistics() >= width)[is_window]
+        anchors, _ = gathered(shipped.column("anchors"), np.uint64)
+        begin = np.cumsum(lengths) - lengths
         windows = np.concatenate([[0], np.cumsum(lengths - width + 1)])
+        marked = np.zeros(windows[-1], bool)
+        for some in collections(anchors, lengths):
+            own = lengths[some]
+            reach = RunIndex(data[ranges(begin[some], own)], own).matching_statistics()
+            local = np.cumsum(own) - own
+            marked[ranges(windows[:-1][some], own - width + 1)] = reach[ranges(local, own - width + 1)] >= width
         keys, key_cuts = gathered(shipped.column("keys"), np.uint64)
         _, starts, group = A.groups_of(keys)
         twice = np.bincount(group, minlength=len(starts))[group] > 1 if len(keys) else np.zeros(0, bool)
@@ -355,36 +375,45 @@ def cut(buckets: int, width: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(docs, buckets, width)
         at = repeated_starts(b, answers, buckets)
-        delta = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(delta, at, 1)
-        np.subtract.at(delta, at + width, 1)
-        removed = np.cumsum(delta[:-1]) > 0
-        begin = removed.copy()
-        begin[1:] &= ~removed[:-1]
-        inner = b.offsets[(b.offsets > 0) & (b.offsets < len(removed))]
-        begin[inner] = removed[inner]
-        sums, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (removed, begin))
-        kept, digest, texts = [], [], []
-        for a, z in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist()):
-            left = b.data[a:z][~removed[a:z]] if sums[z] > sums[a] else b.data[a:z]
-            kept.append(left.tobytes())
-            digest.append(hashlib.sha256(kept[-1]).hexdigest())
-            texts.append(kept[-1] if sums[z] == sums[a] else whole_characters(b.data[a:z], removed[a:z]))
+        doc = np.searchsorted(b.offsets, at, "right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] > at[:-1] + width) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        begin, text = at[first], doc[first]
+        end = at[np.append(first[1:], len(at)) - 1] + width if len(at) else begin
+        texts = docs.num_rows
+        spans = np.bincount(text, minlength=texts)
+        removed = np.bincount(text, weights=end - begin, minlength=texts).astype(np.int64)
+        own = np.searchsorted(text, np.arange(texts + 1))
+        digest, kept = [], []
+        for i in range(texts):
+            body = b.data[b.offsets[i]:b.offsets[i + 1]]
+            cuts = [(x - b.offsets[i], y - b.offsets[i]) for x, y in zip(begin[own[i]:own[i + 1]], end[own[i]:own[i + 1]])]
+            digest.append(hashlib.sha256(without(body, cuts)).hexdigest())
+            kept.append(without(body, [whole_characters(body, x, y) for x, y in cuts]))
         return pa.table({
             "row": docs.column("row"), "n_bytes": pa.array(np.diff(b.offsets)),
-            "n_removed": pa.array((sums[b.offsets[1:]] - sums[b.offsets[:-1]]).astype(np.int64)),
-            "n_spans": pa.array((spans[b.offsets[1:]] - spans[b.offsets[:-1]]).astype(np.int64)),
-            "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(texts, pa.binary())})
+            "n_removed": pa.array(removed), "n_spans": pa.array(spans.astype(np.int64)),
+            "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
     return run
 
 
-def whole_characters(data: np.ndarray, removed: np.ndarray) -> bytes:
-    """Text without the characters all of whose bytes are removed."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(lead) or lead[0]:
-        lead = np.concatenate([[0], lead])
-    gone = np.logical_and.reduceat(removed, lead)
-    return data[~np.repeat(gone, np.diff(np.append(lead, len(data))))].tobytes()
+def without(body: np.ndarray, cuts: list) -> bytes:
+    """Bytes outside the cuts, which ascend."""
+    parts, at = [], 0
+    for x, y in cuts:
+        parts.append(body[at:x].tobytes())
+        at = max(at, y)
+    return b"".join(parts) + body[at:].tobytes()
+
+
+def whole_characters(body: np.ndarray, x: int, y: int) -> tuple[int, int]:
+    """The part of a cut that takes whole characters only."""
+    while x < y and body[x] & 0xC0 == 0x80:
+        x += 1
+    while y > x and y < len(body) and body[y] & 0xC0 == 0x80:
+        y -= 1
+    return x, y
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text: str = "text",
