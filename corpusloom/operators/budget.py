@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.clock import epoch_micros
-from .folds import fold_rows
 from .registry import first_per_key
-from .scale import lookup_join, positions, running
+from .scale import compute_once, lookup_join, positions, running
 
 TASK_ORDER = ("binary", "multiclass", "regression")
 QUEUE_COLUMNS = ("dataset_id", "prepared_dir", "task_type", "steps_per_cycle")
@@ -60,13 +59,27 @@ def round_robin(queue: DataFrame, task: str = "task_type", priority: str = "prio
 
 
 def greedy_budget(queue: DataFrame, order: Sequence, size: str, budget: float, output: str = "selected") -> DataFrame:
-    """Take an entry when it still fits, skip it otherwise. What was taken before decides, so this
-    is a fold over one row per entry."""
-    def step(state, row):
-        fits = state[0] + row[size] <= budget
-        return ((state[0] + row[size],) if fits else state), bool(fits)
-
-    return fold_rows(queue, order, (0.0,), step, f"{output} boolean")
+    """Take an entry when it still fits, skip it otherwise; sizes must not be negative, and an entry
+    without a size never fits.
+
+    A round leaves out the entries that exceed what is left of the budget and takes the longest run of
+    the others that fits, by running sums; the entry that ends the run is skipped. It is larger than
+    what is left then, so two rounds halve the rest of the budget or the largest size that still
+    counts. Only two numbers per round come to the driver.
+    """
+    placed = compute_once(positions(queue, [], order, "__pos"))
+    amount = F.col(size).cast("double")
+    spent, after, chosen = 0.0, 0, F.lit(False)
+    while True:
+        open_ = (F.col("__pos") > after) & (amount <= budget - spent)
+        runs = running(placed.filter(open_).select("__pos", size), [], ["__pos"], amount, "__cum")
+        fits = F.col("__cum") + F.lit(spent) <= budget
+        taken, ends = runs.agg(F.max(F.when(fits, F.col("__cum"))), F.min(F.when(~fits, F.col("__pos")))).first()
+        chosen = chosen | (open_ & (F.col("__pos") < ends) if ends is not None else open_)
+        spent += taken or 0.0
+        if ends is None:
+            return placed.withColumn(output, F.coalesce(chosen, F.lit(False))).drop("__pos")
+        after = ends
 
 
 def queue_union(prepared: DataFrame, catalog: DataFrame, registry: DataFrame, key: str = "dataset_id") -> DataFrame:

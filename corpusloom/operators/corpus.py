@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from corpusloom.functions.clock import epoch_micros
 from corpusloom.functions.text import number_or_null
 from .columns import drop_empty_and_constant, drop_identifiers_by_value
-from .folds import fold_rows
 from .infer import infer_task, ordered_codes, with_code
 from .profile import column_profile
-from .scale import distinct_near, lookup_join, positions, running
+from .scale import closing_groups, distinct_counts, lookup_join, positions, running
 
 WIDTH = 64
 MIN_ROWS = 50
@@ -35,7 +34,7 @@ def _plan_prepared(df: DataFrame, features: Sequence[str], n: int) -> list[tuple
     """Kind per kept column: numbers as they are, strings coded unless they look like free text."""
     kinds = {c: df.schema[c].dataType for c in features}
     texts = [c for c in features if isinstance(kinds[c], (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))]
-    distinct = distinct_near(df, texts, [200, n * 0.5])
+    distinct = distinct_counts(df, texts)
     plan = []
     for c in features:
         if isinstance(kinds[c], (T.NumericType, T.BooleanType)):
@@ -53,7 +52,7 @@ def _plan_raw(df: DataFrame, features: Sequence[str], n: int) -> list[tuple[str,
     if texts:
         parsed = df.agg(*[F.count(number_or_null(c)).alias(c) for c in texts]).first().asDict()
     plain = [c for c in texts if parsed[c] <= n * 0.5]
-    distinct = distinct_near(df, plain, [100, n * 0.5])
+    distinct = distinct_counts(df, plain)
     plan = []
     for c in features:
         if isinstance(kinds[c], T.NumericType):
@@ -96,7 +95,9 @@ def encode_fixed_width(df: DataFrame, target: str, dataset_id: str, task: str |
         if len(side.columns) - 1 < MIN_FEATURES:
             raise EncodeError(f"only {len(side.columns) - 1} features after cleanup")
     features = [c for c in work.columns if c != target and c not in keep]
-    plan = (_plan_raw if variant == "raw" else _plan_prepared)(work, features, n)[:width]
+    planned = (_plan_raw if variant == "raw" else _plan_prepared)(work, features, n)
+    # the width is the format's; columns that find no slot are named in the metadata
+    plan, left_out = planned[:width], [c for c, _ in planned[width:]]
     if len(plan) < MIN_FEATURES:
         raise EncodeError(f"only {len(plan)} features")
     if task is None:
@@ -123,7 +124,7 @@ def encode_fixed_width(df: DataFrame, target: str, dataset_id: str, task: str |
     meta = {"generator": "real_data", "task_type": task, "n_features": len(plan), "n_classes": facts[1],
             "n_samples": facts[0], "domain": "real", "feature_names": names,
             "feature_types": [kind for _, kind in plan], "dataset_id": dataset_id,
-            "missingness_rate": facts[2], "concept_drift": False, "utility_auc": 0.0, **(extra_meta or {})}
+            "missingness_rate": facts[2], **({"dropped_features": left_out} if left_out else {}), "concept_drift": False, "utility_auc": 0.0, **(extra_meta or {})}
     return out.withColumn("_source_meta", F.lit(json.dumps(meta))), meta
 
 
@@ -192,12 +193,7 @@ def cap_total_rows(df: DataFrame, dataset: str, order: str, key: Sequence[str],
 def pack_shards(sizes: DataFrame, order: Sequence, size: str, limit: int, output: str = "shard_id") -> DataFrame:
     """Shard per dataset: datasets are appended in order and a shard closes once it holds at least
     `limit` rows, so shards end on dataset boundaries and may overshoot."""
-    def step(state, row):
-        shard, held = state
-        held += row[size]
-        return ((shard + 1, 0) if held >= limit else (shard, held)), int(shard)
-
-    return fold_rows(sizes, order, (0, 0), step, f"{output} bigint")
+    return closing_groups(sizes, order, size, limit, output)
 
 
 def assign_shards(df: DataFrame, dataset: str, limit: int, output: str = "shard_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.hashing import hash_unit, row_hash
 from .metrics import roc_auc
@@ -62,17 +62,14 @@ def duplicate_share(df: DataFrame, dataset: Sequence[str], columns: Sequence[str
     return out.select(*dataset, "n_rows", (1 - unique / F.col("n_rows")).alias("duplicate_share"))
 
 
-def max_pairwise_correlation(df: DataFrame, columns: Sequence[str], max_columns: int = 50, seed: int = 0) -> DataFrame:
-    """(left, right, correlation) for every pair of up to 50 numeric columns, over the rows where
-    both are present; null when one of them is constant there.
+def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(left, right, correlation) for every pair of numeric columns, over the rows where both are
+    present; null when one of them is constant there.
 
     Each task multiplies its centred columns into one small matrix of sums, so the table is read
     once whatever the number of pairs, and only those sums are shuffled.
     """
     chosen = list(columns)
-    if len(chosen) > max_columns:
-        names = df.sparkSession.createDataFrame([(c,) for c in chosen], "name string")
-        chosen = [r[0] for r in names.orderBy(row_hash(seed, "name")).limit(max_columns).collect()]
     pairs = [(i, j) for i in range(len(chosen)) for j in range(i + 1, len(chosen))]
     slim = df.select(*[F.col(c).cast("double").alias(c) for c in chosen])
     means = np.array([m if m is not None else 0.0 for m in slim.agg(*[F.avg(c) for c in chosen]).first()])
@@ -105,6 +102,15 @@ def max_pairwise_correlation(df: DataFrame, columns: Sequence[str], max_columns:
                         (joint / F.sqrt(spread("qx", "sx") * spread("qy", "sy"))).alias("correlation"))
 
 
+def max_pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: largest absolute correlation of two numeric columns (0 without any), and a soft note
+    above 0.99."""
+    top = pairwise_correlations(df, columns).agg(F.coalesce(F.max(F.abs("correlation")), F.lit(0.0)).alias("max_correlation")) \
+        if len(columns) > 1 else df.sparkSession.range(1).select(F.lit(0.0).alias("max_correlation"))
+    # Fixed value: the text of the note is read by others.
+    return top.withColumn("note", F.when(F.col("max_correlation") > 0.99, F.format_string("SOFT_WARN: max_corr=%.3f", "max_correlation")).otherwise(""))
+
+
 def gate_verdict(df: DataFrame, dataset: Sequence[str], target: str, task: str, numeric: Sequence[str],
                  features: Sequence[str], rule: str = "pod", min_rows: int | None = None,
                  duplicate_columns: Sequence[str] | None = None) -> DataFrame:
@@ -135,14 +141,39 @@ def gate_verdict(df: DataFrame, dataset: Sequence[str], target: str, task: str,
     return table.select(*dataset, (reason == "").alias("passed"), reason.alias("reason"))
 
 
+# The category of a missing text, and fewest rows that are scored.
+MISSING_TEXT = "__NA__"
+SCORED_ROWS = 30
+
+
+def utility_check(df: DataFrame, features: Sequence[str], target: str, task: str, key: Sequence[str],
+                  folds: int = 3, trees: int = 20, depth: int = 5, seed: int = 0,
+                  sample_rows: int | None = None) -> tuple[float, str]:
+    """(score, note): mean held-out score of a random forest, and a soft note or an empty one.
+
+    R2 for regression; else AUC, with several classes each against the rest; if a fold has no AUC, the
+    accuracy of all folds. Text features are coded by their sorted values, missing text is a value of
+    its own, and missing numbers are 0. Fewer than 30 rows or no feature give 0.0, and so does an error,
+    whose text is in the note. `sample_rows` bounds the rows of the fit on request. Folds come from the
+    row hash.
+    """
+    if df.limit(SCORED_ROWS).count() < SCORED_ROWS:
+        return 0.0, ""
+    if not features:
+        return 0.0, "SOFT_WARN: no usable features"
+    try:
+        score = utility_score(df, features, target, task, key, folds, trees, depth, seed, sample_rows)
+    except Exception as error:  # the note is the result: a table is not refused because its score fails
+        return 0.0, f"SOFT_WARN: utility_check_error: {error}"
+    if task == "regression":
+        return score, f"SOFT_WARN: R2={score:.3f}" if score <= 0 else ""
+    return score, f"SOFT_WARN: AUC={score:.3f}" if score < 0.55 else ""
+
+
 def utility_score(df: DataFrame, features: Sequence[str], target: str, task: str, key: Sequence[str],
                   folds: int = 3, trees: int = 20, depth: int = 5, seed: int = 0,
                   sample_rows: int | None = None) -> float:
-    """Mean held-out score of a random forest: R2, AUC, or one-against-rest AUC.
-
-    Spark trains the forest, so the table need not be sampled; `sample_rows` does it on request.
-    Nulls become 0. Folds come from the row hash.
-    """
+    """The score of `utility_check` for a table that can be scored; errors are raised."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -153,17 +184,23 @@ def utility_score(df: DataFrame, features: Sequence[str], target: str, task: str
     from .sampling import fixed_size_sample
 
     rows = df if sample_rows is None else fixed_size_sample(df, sample_rows, key, seed)
-    rows = rows.select(*key, target, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__x{i}")
-                                       for i, c in enumerate(features)]).dropna(subset=[target])
+    numbers = [c for c in features if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
+    texts = [c for c in features if c not in numbers]
+    rows = rows.dropna(subset=[target])
+    codes = ordered_codes(rows, texts, MISSING_TEXT) if texts else None
+    for i, c in enumerate(texts):
+        rows = with_code(rows, c, codes, f"__c{i}", MISSING_TEXT)
+    inputs = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in numbers]
+    inputs += [F.coalesce(F.col(f"__c{i}").cast("double"), F.lit(-1.0)) for i in range(len(texts))]
+    rows = rows.select(*key, target, *[x.alias(f"__x{i}") for i, x in enumerate(inputs)])
     if task == "regression":
         rows = rows.withColumn("__y", F.col(target).cast("double"))
     else:
         rows = with_code(rows, target, ordered_codes(rows, [target]), "__y").withColumn("__y", F.col("__y").cast("double"))
-    fold = F.floor(hash_unit(row_hash(seed, F.lit("fold"), *key)) * folds)
-    rows = rows.withColumn("__fold", fold)
-    data = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(features))], outputCol="features").transform(rows)
+    rows = rows.withColumn("__fold", F.floor(hash_unit(row_hash(seed, F.lit("fold"), *key)) * folds))
+    data = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(inputs))], outputCol="features").transform(rows)
     data = data.select("features", "__y", "__fold").persist()
-    scores = []
+    scores, accuracies, undefined = [], [], False
     try:
         for held in range(folds):
             train, test = data.filter(F.col("__fold") != held), data.filter(F.col("__fold") == held)
@@ -173,21 +210,34 @@ def utility_score(df: DataFrame, features: Sequence[str], target: str, task: str
                 continue
             model = RandomForestClassifier(labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
             scored = model.transform(test).withColumn("p", vector_to_array("probability")).select("__y", "p", "prediction")
-            classes = model.numClasses
-            targets = [1] if classes == 2 else range(classes)
-            areas = []
-            for c in targets:
-                one = scored.select((F.col("__y") == c).cast("int").alias("y"), F.col("p")[c].alias("score"))
-                areas.append(roc_auc(one, "y", "score").first()["roc_auc"])
-            if any(a is None for a in areas):
-                scores.append(scored.agg(F.avg((F.col("__y") == F.col("prediction")).cast("double"))).first()[0])
-            else:
-                scores.append(sum(areas) / len(areas))
+            accuracies.append(scored.agg(F.avg((F.col("__y") == F.col("prediction")).cast("double"))).first()[0])
+            targets = [1] if model.numClasses == 2 else range(model.numClasses)
+            areas = [] if undefined else [
+                roc_auc(scored.select((F.col("__y") == c).cast("int").alias("y"), F.col("p")[c].alias("score")), "y", "score").first()["roc_auc"]
+                for c in targets]
+            undefined = undefined or any(a is None for a in areas)
+            scores.append(None if undefined else sum(areas) / len(areas))
     finally:
         data.unpersist()
+    # folds of different measures are never averaged
+    scores = accuracies if undefined else scores
     return float(sum(scores) / len(scores))
 
 
+def check_table(df: DataFrame, features: Sequence[str], target: str, task: str, key: Sequence[str],
+                rule: str = "pod", min_rows: int | None = None, **fit) -> tuple[bool, float, str]:
+    """(passed, score, notes) of one table: the hard gates in order, then the score and the soft notes."""
+    one = df.withColumns({"__table": F.lit(1), "__task": F.lit(task)})
+    numeric = [c for c in features if isinstance(df.schema[c].dataType, T.NumericType)]
+    verdict = gate_verdict(one, ["__table"], target, "__task", numeric, features, rule, min_rows).first()
+    if verdict is None:
+        return False, 0.0, "gate_fail: only 0 rows"
+    if not verdict["passed"]:
+        return False, 0.0, verdict["reason"]
+    score, note = utility_check(df, features, target, task, key, **fit)
+    return True, score, "; ".join(x for x in (note, max_pairwise_correlation(df, numeric).first()["note"]) if x)
+
+
 def utility_notes(scores: DataFrame, task: str = "task_type", score: str = "score") -> DataFrame:
     """Soft notes, and whether real data is kept (R2 >= -1, AUC >= 0.5)."""
     regression = F.col(task) == "regression"

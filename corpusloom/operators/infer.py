@@ -11,7 +11,7 @@ from corpusloom.functions.text import datetime_or_null, normalize_name
 from .columns import WIDE_IDENTIFIER_NAMES, WIDE_IDENTIFIER_SUFFIXES, keep_scalar_columns
 from .profile import column_profile
 from corpusloom.session import stable
-from .scale import collect_small, distinct_near, lookup_join, positions, rows_to_local, top_rows
+from .scale import collect_small, distinct_counts, lookup_join, positions, rows_to_local, top_rows
 
 # Canonical target names and their scores.
 EXACT_TARGET_SCORES = {
@@ -339,9 +339,12 @@ def classify_domain(df: DataFrame, text: str, output: str = "domain") -> DataFra
     return scored.withColumn(output, chain).drop(*scores)
 
 
-def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int | None = 5000) -> DataFrame:
-    """One row: ok, reason, n_rows, n_cols. `sample_rows=None` checks the whole table."""
+def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int | None = None) -> DataFrame:
+    """One row: ok, reason, n_rows, n_cols. The whole table is checked, unless the caller asks for the
+    first `sample_rows` rows in `order`."""
     if sample_rows is not None:
+        if not order:
+            raise ValueError("The first rows need an order.")
         df = top_rows(df, list(order), sample_rows)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     others = [c for c in df.columns if c not in numeric]
@@ -349,7 +352,7 @@ def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int |
     if n < 20 or width < 2:
         n, width, reason = 0, 0, f"too small: ({n}, {width})"
     else:
-        distinct = distinct_near(df, others, [200])
+        distinct = distinct_counts(df, others)
         usable = len(numeric) + sum(distinct[c] < 200 for c in others)
         if usable < 2:
             reason = f"only {usable} usable columns"

@@ -12,8 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from corpusloom.functions.hashing import hash_unit, row_hash
-from .folds import fold_rows
-from .scale import (collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
+from .scale import (closing_groups, collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
                     rows_to_local, small_side, top_rows)
 
 
@@ -133,7 +132,7 @@ def split_table(df: DataFrame, target: str, task: str, key: Sequence[str], seed:
     """
     held = val_fraction + test_fraction
     if val_fraction < 0 or test_fraction < 0 or held >= 1:
-        raise ValueError("val_fraction and test_fraction must be >= 0 and sum to less than 1.")
+        raise ValueError("Held-out fractions cannot be negative, and some rows must be left for training.")
     if held == 0:
         return df.withColumn(label, F.lit("train"))
     work = df.withColumn("__digest", row_hash(seed, *key))
@@ -200,7 +199,7 @@ def sample_episode_with_replacement(df: DataFrame, dataset: Sequence[str], key:
     draws = draws.select(*dataset, "draw", (bits % F.col("__n") + 1).alias("__row"))
     rows = hash_positions(df.withColumn("__digest", row_hash(seed, *key)), dataset, "__digest", "__row")
     role = F.when(F.col("draw") <= support, "support").otherwise("query")
-    return draws.join(rows, [*dataset, "__row"]).withColumn("role", role).drop("__row", "__digest")
+    return lookup_join(draws, rows, [*dataset, "__row"], how="inner", checked=True).withColumn("role", role).drop("__row", "__digest")
 
 
 def weighted_order(df: DataFrame, weight: str, key: Sequence[str], seed: int = 0,
@@ -215,13 +214,7 @@ def shuffle_pool(df: DataFrame, shard: str, key: Sequence[str], pool_rows: int,
     """Permute shards, fill pools of at least `pool_rows` rows, permute the rows of each pool.
     Adds `pool` (0-based) and `pool_position` (1-based)."""
     sizes = df.groupBy(shard).agg(F.count(F.lit(1)).alias("n")).withColumn("__order", row_hash(seed, shard))
-
-    def fill(state, row):
-        if state[1] >= pool_rows:
-            state = (state[0] + 1, 0)
-        return (state[0], state[1] + row["n"]), state[0]
-
-    pools = fold_rows(sizes, ["__order"], (0, 0), fill, "pool bigint").select(shard, "pool")
+    pools = closing_groups(sizes, ["__order", shard], "n", pool_rows, "pool").select(shard, "pool")
     placed = lookup_join(df, pools, [shard]).withColumn("__digest", row_hash(seed, F.lit("row"), *key))
     return hash_positions(placed, ["pool"], "__digest", "pool_position").drop("__digest")
 

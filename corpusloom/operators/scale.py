@@ -278,11 +278,15 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], columns: Sequence[str]
         picks += [at(F.floor(spot)).alias(f"__lo{i}"), at(F.ceil(spot)).alias(f"__hi{i}")]
         share = F.lit(float(p)) * (F.col("__n") - 1)
         share = share - F.floor(share)
-        results.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * share)
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        results.append(F.when((share == 0) | (low == high), low).otherwise((1 - share) * low + share * high))
     picks.append(F.max("__n").alias("__n"))
     table = ranked.groupBy(*keys).agg(*picks).select(*keys, F.array(*results).alias("q"))
     wide = [F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in columns]
-    return table.groupBy(*groups).agg(*wide) if groups else table.agg(*wide)
+    if not groups:
+        return table.agg(*wide)
+    # a group without values has a row of nulls
+    return lookup_join(slim.select(*groups).distinct(), table.groupBy(*groups).agg(*wide), groups)
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -297,85 +301,140 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     return {c: list(row[c]) if row[c] is not None else [] for c in columns}
 
 
+def _binade(x: Column) -> Column:
+    """A whole number that never falls as x grows: one value per power of two, for zero, for the
+    infinities and for NaN, which Spark orders last."""
+    size = F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-1080)).cast("int") + 1100
+    return (F.when(F.isnan(x), 5000).when(x == float("inf"), 4500).when(x == float("-inf"), -4500)
+            .when(x == 0, 0).when(x > 0, size).otherwise(-size))
+
+
+def _narrow(lo: float, hi: float) -> bool:
+    """Whether an interval lies within two powers of two, so that equal steps divide it well."""
+    return math.isfinite(lo) and math.isfinite(hi) and lo * hi > 0 and 0.25 <= lo / hi <= 4
+
+
+def _same(a: float, b: float) -> bool:
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
+def _between(low: float, high: float, share: float) -> float:
+    """Linear interpolation as Spark's `percentile` does it; equal ends stay exact."""
+    return low if share == 0 or _same(low, high) else (1 - share) * low + share * high
+
+
 def _narrowed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], limit: int,
                         buckets: int = 512) -> dict[str, list[float]]:
-    """Exact quantiles without moving the values. Each pass counts the rows per equal-width bucket
-    of the interval that holds a wanted rank, and the interval shrinks to the values of the right
-    bucket, until it has one value or few enough to fetch. A pass shuffles a few numbers per task.
+    """Exact quantiles without moving the values. Each pass counts the rows per bucket of the interval
+    that holds a wanted rank, and the interval shrinks to the values of the right bucket, until it has
+    one value or few enough to fetch. The first pass divides by powers of two, later ones by equal
+    steps, so eight passes are enough for any doubles. A pass shuffles a few numbers per task.
     """
     slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     facts = slim.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
                        for c in columns]).first()
-    # (column, rank) → [lowest value, highest value, rows below, rows inside]
+    # (column, rank) → (lowest value, highest value, rows below, rows inside); ranks share intervals
     spans = {}
     for c in columns:
+        whole = (facts[c].lo, facts[c].hi, 0, facts[c].n)
         for p in probs if facts[c].n else ():
             spot = p * (facts[c].n - 1)
             for rank in {math.floor(spot), math.ceil(spot)}:
-                spans[c, rank] = [facts[c].lo, facts[c].hi, 0, facts[c].n]
+                spans[c, rank] = whole
 
     def inside(c: str, lo: float, hi: float) -> Column:
         return F.col(c).between(F.lit(lo), F.lit(hi))
 
+    def place(c: str, lo: float, hi: float) -> Column:
+        if not _narrow(lo, hi):
+            return _binade(F.col(c))
+        width = max((hi - lo) / buckets, 5e-324)
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+
     while True:
-        wide = sorted({(c, *span) for (c, _), span in spans.items() if span[0] < span[1] and span[3] > limit})
+        wide = list({(c, span[2]): (c, span) for (c, _), span in spans.items()
+                     if not _same(span[0], span[1]) and span[3] > limit}.values())
         if not wide:
             break
-        cells = []
-        for i, (c, lo, hi, _, _) in enumerate(wide):
-            width = (hi - lo) / buckets
-            place = F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            cells.append(F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), place.alias("b"), F.col(c).alias("x"))))
+        cells = [F.when(inside(c, span[0], span[1]), F.struct(F.lit(i).alias("i"), place(c, span[0], span[1]).alias("b"), F.col(c).alias("x")))
+                 for i, (c, span) in enumerate(wide)]
         long = slim.select(F.explode(F.array(*cells)).alias("e")).filter("e is not null").select("e.*")
         found = long.groupBy("i", "b").agg(
             F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        for i, (c, lo, hi, below, n) in enumerate(wide):
-            seen, steps = below, []
+        for i, (c, span) in enumerate(wide):
+            seen, steps = span[2], []
             for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["b"]):
-                steps.append([r["lo"], r["hi"], seen, r["n"]])
+                steps.append((r["lo"], r["hi"], seen, r["n"]))
                 seen += r["n"]
-            for key, span in spans.items():
-                if key[0] == c and span == [lo, hi, below, n]:
-                    spans[key] = next(s for s in steps if s[2] <= key[1] < s[2] + s[3])
-    few = sorted({(c, *span[:3]) for (c, _), span in spans.items() if span[0] < span[1]})
+            for key, old in spans.items():
+                if key[0] == c and old[2] == span[2]:
+                    spans[key] = next(x for x in steps if x[2] <= key[1] < x[2] + x[3])
+    few = list({(c, span[2]): (c, span) for (c, _), span in spans.items() if not _same(span[0], span[1])}.values())
     values = {}
     if few:
-        lists = slim.agg(*[F.sort_array(F.collect_list(F.when(inside(c, lo, hi), F.col(c)))).alias(f"v{i}")
-                           for i, (c, lo, hi, _) in enumerate(few)]).first()
-        values = {key: lists[f"v{i}"] for i, key in enumerate(few)}
+        lists = slim.agg(*[F.sort_array(F.collect_list(F.when(inside(c, span[0], span[1]), F.col(c)))).alias(f"v{i}")
+                           for i, (c, span) in enumerate(few)]).first()
+        values = {(c, span[2]): lists[f"v{i}"] for i, (c, span) in enumerate(few)}
 
     def at(c: str, rank: int) -> float:
         lo, hi, below, _ = spans[c, rank]
-        return lo if lo == hi else values[c, lo, hi, below][rank - below]
+        return lo if _same(lo, hi) else values[c, below][rank - below]
 
     result = {}
     for c in columns:
         result[c] = []
         for p in probs if facts[c].n else ():
             spot = p * (facts[c].n - 1)
-            low, high = at(c, math.floor(spot)), at(c, math.ceil(spot))
-            result[c].append(low + (high - low) * (spot - math.floor(spot)))
+            result[c].append(_between(at(c, math.floor(spot)), at(c, math.ceil(spot)), spot - math.floor(spot)))
     return result
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for heavy row-wise work on a small file scan. Fewer files and splits than
-    cores means a small input, whose rows may all sit in one row group; anything larger is left
-    alone. Only for plain scans."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() > cores or len(scan.inputFiles()) >= cores:
-        return scan
-    return scan.repartition(cores)
-
-
-def distinct_near(df: DataFrame, columns: Sequence[str], thresholds: Sequence[float]) -> dict[str, int]:
-    """Distinct counts good enough to compare with `thresholds`: a 2% sketch for all columns in one
-    pass, and an exact count only where the sketch lies within 10%, five standard errors, of a
-    threshold."""
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Exact distinct counts of the given columns, nulls not counted."""
     if not columns:
         return {}
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first().asDict()
-    close = [c for c in columns if any(abs(row[c] - t) <= 0.1 * max(row[c], t) + 2 for t in thresholds)]
-    if close:
-        row.update(df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in close]).first().asDict())
-    return {c: int(row[c]) for c in columns}
+    # one small aggregate per column meets equal values before the shuffle; all run in one job
+    parts = [df.groupBy(F.col(c).alias("v")).agg(F.lit(1).alias("one")).agg(
+        F.lit(i).alias("i"), F.count("v").alias("n")) for i, c in enumerate(columns)]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    found = {r["i"]: r["n"] for r in table.collect()}
+    return {c: int(found[i]) for i, c in enumerate(columns)}
+
+
+def closing_groups(df: DataFrame, order: Sequence, size: str, limit: int, output: str) -> DataFrame:
+    """0-based group of each row when rows are appended in a total `order` and a group closes once its
+    sizes add up to `limit` or more.
+
+    From running sums every row knows the row after which a group that begins with it would close, and
+    so the first row of the next group. The rows that begin a group are those that can be reached from
+    the first one; the set doubles with every round. Sizes are taken as 0 when null and must not be
+    negative.
+    """
+    amount = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
+    placed = positions(df, [], order, "__pos")
+    placed = running(placed, [], ["__pos"], amount, "__cum")
+    steps = compute_once(placed.select("__pos", "__cum", (F.col("__cum") - amount).alias("__before")))
+    # one sorted pass tells for every bound the first row whose running sum reaches it
+    bounds = steps.select((F.col("__before") + F.lit(float(limit))).alias("v"), F.lit(1).alias("asks"), F.col("__pos").alias("p"))
+    values = steps.select(F.col("__cum").alias("v"), F.lit(0).alias("asks"), F.col("__pos").alias("p"))
+    reach = F.when(F.col("asks") == 0, F.col("p"))
+    # descending: at equal values the rows that reach the bound come before the one that asks
+    ranked = running(bounds.unionByName(values).withColumn("__down", -F.col("v")), [], ["__down", "asks", "p"], reach, "close", how="min")
+    jump = compute_once(ranked.filter("asks = 1 and close is not null").select(
+        F.col("p").alias("at"), (F.greatest("close", "p") + 1).alias("next")))
+    heads = df.sparkSession.createDataFrame([(1,)], "at bigint")
+    known = 1
+    while True:
+        further = heads.join(jump, "at").select(F.col("next").alias("at"))
+        heads = compute_once(heads.unionByName(further).distinct())
+        count = heads.count()
+        if count == known:
+            break
+        known = count
+        twice = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
+        jump = compute_once(jump.join(twice, "next").select("at", F.col("far").alias("next")))
+    marked = lookup_join(placed, heads.select(F.col("at").alias("__pos"), F.lit(1).alias("__head")), ["__pos"])
+    marked = running(marked, [], ["__pos"], F.coalesce("__head", F.lit(0)), "__n")
+    return marked.withColumn(output, (F.col("__n") - 1).cast("bigint")).drop("__pos", "__cum", "__head", "__n")

@@ -19,6 +19,13 @@ def b1(spark, sf):
                        normalize_name(F.concat(F.lit("##"), F.substring("p_type", 1, 0))).alias("empty_name"))
 
 
+@query("b2_make_unique", """
+select o_orderkey as a, o_custkey as a_1, o_totalprice as a_2, o_orderstatus as a_1_1, o_orderpriority as b, 1 as a_3 from orders""")
+def b2(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", F.lit(1))
+    return orders.toDF(*ops.make_unique(["a", "a_1", "a", "a_1", "b", "a"]))
+
+
 @query("b3_normalize_columns", """
 select o_orderkey as order_key, o_custkey as order_key_1, o_orderstatus as status, o_totalprice as total_price,
   o_orderpriority as "column" from orders""")

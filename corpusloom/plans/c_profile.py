@@ -96,7 +96,7 @@ def c5(spark, sf):
 @query("c6_is_text_feature", f"""{DOCUMENTS} select col as "column",
   p3 >= greatest(p2, p4) and (avg_string_length >= 12 or unique_ratio >= 0.25) as is_text from prob""")
 def c6(spark, sf):
-    prob = ops.type_probabilities(ops.column_profile(table(spark, sf, "documents", heavy=True)))
+    prob = ops.type_probabilities(ops.column_profile(table(spark, sf, "documents")))
     return prob.select("column", ops.is_text_feature().alias("is_text"))
 
 
@@ -127,7 +127,7 @@ from normed left join hits using (name) left join exact on exact.k = n"""
 @query("c8_target_name_score", _NAMES_SQL)
 def c8(spark, sf):
     orders = table(spark, sf, "orders")
-    words = table(spark, sf, "documents", heavy=True).select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name"))
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("name"))
     status = F.col("o_orderstatus")
     longer = orders.select(F.concat(F.lower("o_orderpriority"), F.when(status == "F", " Status/Result")
                                     .when(status == "O", " sales price").otherwise("")).alias("name"))
@@ -161,7 +161,7 @@ scored as (select *, name_score
 select col as "column", task_type, round(score::double, 6) as score, round(name_score::double, 6) as name_score, n_distinct
 from scored""")
 def c9(spark, sf):
-    scored = infer.score_targets(ops.column_profile(table(spark, sf, "documents", heavy=True)))
+    scored = infer.score_targets(ops.column_profile(table(spark, sf, "documents")))
     return scored.select("column", "task_type", *rounded("score", "name_score"), "n_distinct")
 
 
@@ -297,7 +297,7 @@ with scored as (select doc_id, pos, d, len(list_filter(ws, lambda w: contains(lo
   from documents, (values {", ".join(f"({i}, '{d}', {text_list(ws)})" for i, (d, ws) in enumerate(infer.DOMAIN_KEYWORDS.items()))}) as k(pos, d, ws))
 select doc_id, case when max(s) > 0 then arg_min(d, pos - s * 100) else 'unknown' end as domain from scored group by doc_id""")
 def c19(spark, sf):
-    return infer.classify_domain(table(spark, sf, "documents", heavy=True).select("doc_id", "text"), "text").select("doc_id", "domain")
+    return infer.classify_domain(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "domain")
 
 
 @query("c20_validate_table", """
@@ -305,9 +305,9 @@ select true as ok, '' as reason, count(*) as n_rows, 5::bigint as n_cols from do
 union all select count(distinct c_name) < 200, if(count(distinct c_name) < 200, '', 'only 1 usable columns'), count(*), 2::bigint from customer
 union all select false, 'too small: (' || n || ', 2)', 0, 0 from (select count(*) as n from region)""")
 def c20(spark, sf):
-    good = infer.validate_table(table(spark, sf, "documents"), sample_rows=None)
-    bad = infer.validate_table(table(spark, sf, "customer").select("c_custkey", "c_name"), sample_rows=None)
-    small = infer.validate_table(table(spark, sf, "region"), order=["r_regionkey"])
+    good = infer.validate_table(table(spark, sf, "documents"))
+    bad = infer.validate_table(table(spark, sf, "customer").select("c_custkey", "c_name"))
+    small = infer.validate_table(table(spark, sf, "region"))
     return good.union(bad).union(small)
 
 

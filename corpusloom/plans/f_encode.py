@@ -111,7 +111,7 @@ _TOKEN = "case when {t} = '' then 0 else ('0x' || substr(sha1({t}), 1, 8))::bigi
 select token, count(*) as n, any_value({_TOKEN.format(t='token')}) as token_id
 from (select unnest(string_split(text, ' ')) as token from conversations) group by token""")
 def f8(spark, sf):
-    words = table(spark, sf, "conversations", heavy=True).select(F.explode(F.split("text", " ")).alias("token"))
+    words = table(spark, sf, "conversations").select(F.explode(F.split("text", " ")).alias("token"))
     counted = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("token_id", hash_token("token"))
 
@@ -125,7 +125,7 @@ with parts as (select doc_id, list_filter(regexp_split_to_array(replace(lower(te
 select doc_id, slot - 1 as slot, case when slot <= len(p) then {_TOKEN.format(t='p[slot]')} else 0 end as token_id
 from parts, range(1, 17) t(slot)""")
 def f9(spark, sf):
-    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "text")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(tokenize_text("text")).alias("slot", "token_id")).withColumn(
         "slot", F.col("slot").cast("bigint"))
 

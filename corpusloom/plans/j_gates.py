@@ -95,19 +95,60 @@ def j7(spark, sf):
     line = table(spark, sf, "lineitem").select(
         "l_quantity", "l_extendedprice", "l_tax", F.nullif("l_discount", F.lit(0.0)).alias("l_gap"),
         (F.col("l_quantity") * 2 + 1).alias("l_doubled"), F.lit(1.0).alias("l_one"))
-    out = ops.max_pairwise_correlation(line, _CORR)
+    out = ops.pairwise_correlations(line, _CORR)
     return out.withColumn("correlation", F.round("correlation", 6))
 
 
-@query("j8_utility_score")
+_MANY = [f"l_quantity + {i} * l_tax" for i in range(52)]
+
+
+@query("j7_max_correlation_note", f"""
+with c as (select list_max([{", ".join(f"abs(corr({a}, {b}))" for i, a in enumerate(_MANY) for b in _MANY[i + 1:])}]) as m from lineitem)
+select round(m, 6) as max_correlation, if(m > 0.99, printf('SOFT_WARN: max_corr=%.3f', m), '') as note from c""")
+def j7_note(spark, sf):
+    line = table(spark, sf, "lineitem").select(*[F.expr(x).alias(f"c{i}") for i, x in enumerate(_MANY)])
+    return ops.max_pairwise_correlation(line, line.columns).withColumn("max_correlation", F.round("max_correlation", 6))
+
+
+def _labelled(spark, sf):
+    """Documents with a label that their length decides, and one that a hash draws."""
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return docs.withColumns({"long": (F.col("n_chars") > 1500).cast("int"), "drawn": F.crc32(F.md5(F.col("doc_id").cast("string"))) % 2,
+                             "twice": 2.0 * F.col("n_chars")})
+
+
+@query("j8_utility_score", """
+select count(*) as n_rows, true as separable, true as drawn, true as by_text, true as real, 0.0::double as few, '' as few_note,
+  'SOFT_WARN: no usable features' as bare_note, 'SOFT_WARN: utility_check_error' as error_note, true as alone from documents""")
 def j8(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.length("lang").alias("w"), (F.col("lang") == "en").cast("int").alias("en"))
-    rows = table(spark, sf, "labels").join(docs, "doc_id").persist()
-    features = ["n_chars", "en"]
-    two = ops.utility_score(rows, features, "quality", "binary", ["doc_id"], folds=2, trees=10, depth=4)
-    real = ops.utility_score(rows, features, "n_chars", "regression", ["doc_id"], folds=2, trees=10, depth=4)
-    counted = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    return counted.select("n_rows", F.lit(two).alias("auc"), F.lit(real).alias("r2"))
+    rows = _labelled(spark, sf)
+    fit = {"folds": 2, "trees": 10, "depth": 5}
+    separable, _ = ops.utility_check(rows, ["n_chars", "lang"], "long", "binary", ["doc_id"], **fit)
+    drawn, _ = ops.utility_check(rows, ["n_chars", "source"], "drawn", "binary", ["doc_id"], **fit)
+    by_text, _ = ops.utility_check(rows, ["lang"], "lang", "multiclass", ["doc_id"], **fit)
+    real, _ = ops.utility_check(rows, ["n_chars"], "twice", "regression", ["doc_id"], **fit)
+    few, few_note = ops.utility_check(rows.limit(29), ["n_chars"], "long", "binary", ["doc_id"])
+    _, bare_note = ops.utility_check(rows, [], "long", "binary", ["doc_id"])
+    _, error_note = ops.utility_check(rows, ["no such column"], "long", "binary", ["doc_id"])
+    # one class only: no AUC, so the accuracy, which is 1
+    alone, _ = ops.utility_check(rows.withColumn("one", F.lit("x")), ["n_chars"], "one", "binary", ["doc_id"], **fit)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(separable >= 0.95).alias("separable"), F.lit(0.25 <= drawn <= 0.75).alias("drawn"),
+        F.lit(by_text >= 0.99).alias("by_text"), F.lit(real >= 0.5).alias("real"), F.lit(few).alias("few"),
+        F.lit(few_note).alias("few_note"), F.lit(bare_note).alias("bare_note"), F.lit(error_note[:30]).alias("error_note"),
+        F.lit(alone == 1.0).alias("alone"))
+
+
+@query("j13_check_table", """
+select false as passed, 0.0::double as score, 'gate_fail: constant column same' as notes, true as good_passed, true as good_score,
+  'SOFT_WARN: max_corr=1.000' as good_notes from (select count(*) from documents)""")
+def j13(spark, sf):
+    rows = _labelled(spark, sf).withColumn("same", F.lit(1))
+    bad = ops.check_table(rows, ["n_chars", "same"], "long", "binary", ["doc_id"])
+    good = ops.check_table(rows, ["n_chars", "twice"], "long", "binary", ["doc_id"], folds=2, trees=10)
+    return rows.agg(F.count(F.lit(1))).select(
+        F.lit(bad[0]).alias("passed"), F.lit(bad[1]).alias("score"), F.lit(bad[2]).alias("notes"),
+        F.lit(good[0]).alias("good_passed"), F.lit(good[1] >= 0.95).alias("good_score"), F.lit(good[2]).alias("good_notes"))
 
 
 _SCORES = """s as (select user_id, if(user_id % 2 = 0, 'regression', 'binary') as task_type,

@@ -98,8 +98,12 @@ def buffer_shuffle(stream: DataFrame, key: Sequence[str], path: str, checkpoint:
         shuffled = hash_positions(rows.withColumn("__digest", row_hash(seed, *key)), [], "__digest", "position")
         shuffled.drop("__digest").write.mode("overwrite").parquet(f"{path}/buffer={batch_id}")
 
+    # an empty first part, so that the folder exists even if the stream has no rows
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("position", T.LongType())]))
+    empty.write.mode("overwrite").parquet(f"{path}/buffer=-1")
     run_batches(stream, handle, checkpoint)
-    return stream.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def bootstrap_sample(stream: DataFrame, n: int, key: Sequence[str], path: str, checkpoint: str, seed: int = 0,
@@ -226,7 +230,11 @@ def live_best(stream: DataFrame, experiment: str, order: str, value: str, path:
         joined = lookup_join(slim, best, [experiment])
         new = joined.groupBy(experiment).agg(F.count(F.lit(1)).alias("n"), F.first("m.v").alias("low"),
                                              F.count_if(F.col("m").isNull() | (F.col("o") > F.col("m.o"))).alias("after"))
-        both = result.before(batch_id).join(new, experiment, "full_outer")
+        # null is an experiment like any other
+        new = new.withColumnRenamed(experiment, "__experiment")
+        old = result.before(batch_id).withColumn("__old", F.lit(True))
+        both = old.join(new, F.col(experiment).eqNullSafe(F.col("__experiment")), "full_outer")
+        both = both.withColumn(experiment, F.when(F.col("__old"), F.col(experiment)).otherwise(F.col("__experiment")))
         better = F.col("low").isNotNull() & (F.col("best").isNull() | (F.col("low") < F.col("best")))
         more = F.coalesce("n", F.lit(0))
         patience = F.when(better, F.col("after")).otherwise(F.coalesce("patience", F.lit(0)) + more)

@@ -90,11 +90,14 @@ def test_utility_score(spark):
 
 def test_correlation_limit_and_constants(spark):
     df = spark.range(50).select(*[(F.col("id") * (i + 1) % 17).alias(f"c{i}") for i in range(6)], F.lit(1).alias("one"))
-    out = gates.max_pairwise_correlation(df, df.columns, max_columns=4)
-    assert out.count() == 6
-    assert gates.max_pairwise_correlation(df, ["c0", "one"]).first().correlation is None
+    assert gates.pairwise_correlations(df, df.columns).count() == 21
+    assert gates.pairwise_correlations(df, ["c0", "one"]).first().correlation is None
+    assert gates.max_pairwise_correlation(df, ["c0", "one"]).first().max_correlation == 0
+    assert gates.max_pairwise_correlation(df, ["c0"]).first().note == ""
+    many = spark.range(50).select(*[(F.col("id") * (i + 1) % 71).alias(f"c{i}") for i in range(70)])
+    assert gates.pairwise_correlations(many, many.columns).count() == 70 * 69 // 2
     gaps = spark.createDataFrame([(float(i), float(i * i) if i % 3 else None, 7.5 if i % 2 else None) for i in range(60)], "a double, b double, c double")
-    got = {(r.left, r.right): r.correlation for r in gates.max_pairwise_correlation(gaps, ["a", "b", "c"]).collect()}
+    got = {(r.left, r.right): r.correlation for r in gates.pairwise_correlations(gaps, ["a", "b", "c"]).collect()}
     assert got["a", "b"] == pytest.approx(gaps.toPandas()[["a", "b"]].corr().iloc[0, 1])
     assert got["a", "c"] is None and got["b", "c"] is None
 

@@ -6,7 +6,6 @@ from pyspark.sql import Window as W, functions as F
 
 from corpusloom.functions.hashing import row_hash
 from corpusloom.operators import scale
-from corpusloom.operators.folds import fold_rows
 
 
 def pairs(df, *columns):
@@ -101,20 +100,37 @@ def test_small_side_is_broadcast(spark, skewed):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_fold_in_blocks(spark):
-    sizes = spark.createDataFrame([(i, (i * 7) % 10 + 1) for i in range(200)], "k bigint, n bigint")
+def test_closing_groups(spark, hot):
+    for limit in (1, 25, 10**6):
+        sizes = [(i, (i * 7) % 10 if i % 9 else None) for i in range(120)]
+        expected, shard, held = [], 0, 0
+        for i, n in sizes:
+            expected.append((i, shard))
+            held += n or 0
+            if held >= limit:
+                shard, held = shard + 1, 0
+        df = spark.createDataFrame(sizes, "k bigint, n bigint").repartition(5)
+        assert sorted(tuple(r) for r in scale.closing_groups(df, ["k"], "n", limit, "shard").select("k", "shard").collect()) == expected
+    assert scale.closing_groups(df.limit(0), ["k"], "n", 5, "shard").count() == 0
 
-    def step(state, row):
-        shard, held = state
-        held += row["n"]
-        return ((shard + 1, 0) if held >= 25 else (shard, held)), int(shard)
 
-    expected, state = [], (0, 0)
-    for i in range(200):
-        state, shard = step(state, {"n": (i * 7) % 10 + 1})
-        expected.append((i, shard))
-    for limit in (10**6, 30):
-        assert sorted(tuple(r) for r in fold_rows(sizes, ["k"], (0, 0), step, "shard bigint", hot=limit).select("k", "shard").collect()) == expected
+ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-320, 5e-324, 1.7e308, -1.7e308, 1.0, 1.0, 2.5, -3.0, 1e10, 7.0]
+
+
+@pytest.mark.parametrize("values", [ODD, ODD[4:], [None] * 5, [], [3.0] * 40, [float("nan")] * 30, [float(i) ** 9 for i in range(-40, 90)],
+                                    [1.0 + i * 2**-52 for i in range(64)], [float("inf")] + [float(i) for i in range(39)]])
+def test_quantiles_agree_on_both_sides_of_the_limit(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    plain = scale.fit_quantiles(df, ["x"], probs, hot=10**6)["x"]
+    narrowed = scale.fit_quantiles(df, ["x"], probs, hot=3)["x"]
+    assert [repr(v + 0.0) for v in plain] == pytest.approx([repr(v + 0.0) for v in narrowed]) or plain == pytest.approx(narrowed, nan_ok=True)
+    grouped = df.withColumn("g", F.lit(1)).union(spark.createDataFrame([(None, 2), (4.0, None), (None, None)], "x double, g int"))
+    sides = [{r.g: r.x for r in scale.exact_quantiles(grouped, ["g"], ["x"], probs, hot=limit).collect()} for limit in (10**6, 2)]
+    assert sides[0].keys() == sides[1].keys()
+    for group, numbers in sides[0].items():
+        other = sides[1][group]
+        assert (numbers is None) == (other is None) and (numbers is None or numbers == pytest.approx(other, nan_ok=True))
 
 
 def test_top_rows(spark, skewed, hot):
@@ -122,7 +138,7 @@ def test_top_rows(spark, skewed, hot):
     assert [r.id for r in best.collect()] == [r.id for r in sorted(skewed.collect(), key=lambda r: (-r.t, r.id))[:70]]
 
 
-def test_distinct_near(spark, skewed):
-    df = skewed.withColumn("few", F.col("id") % 7)
-    assert scale.distinct_near(df, ["few", "id"], [7, 300])["few"] == 7
-    assert scale.distinct_near(df, ["id"], [600])["id"] == 600
+def test_distinct_counts(spark, skewed):
+    df = skewed.withColumns({"few": F.col("id") % 7, "none": F.lit(None).cast("string")})
+    assert scale.distinct_counts(df, ["few", "id", "x", "none"]) == {"few": 7, "id": 600, "x": skewed.select("x").distinct().count() - 1, "none": 0}
+    assert scale.distinct_counts(df, []) == {}
