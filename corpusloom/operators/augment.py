@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.hashing import as_col, row_hash, uniform
-from .scale import fit_quantiles, hash_positions, lookup_join, positions
+from .scale import fit_quantiles, hash_positions, lookup_join, positions, rows_to_local
 
 # Ordered words for ordinal columns.
 ORDINAL_WORDS = (
@@ -89,23 +89,20 @@ def tree_rule_label(df: DataFrame, features: Sequence[str], fractions: Sequence[
     `fractions[i]` of the node's range, low side left. A node with fewer than two rows or a
     constant feature becomes a leaf; a leaf's class is a hash of its path. One aggregate per
     level over at most 2^level nodes; no row moves."""
-    node: Column = F.lit("r")
-    open_nodes = ["r"]
-    for feature, fraction in zip(features, fractions):
-        work = df.select(node.alias("node"), F.col(feature).alias("x")).filter(F.col("node").isin(open_nodes))
-        stats = work.groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
-        grown, step = [], node
-        for row in stats.collect():
-            if row.n < 2 or row.lo is None or row.lo >= row.hi:
-                continue
-            cut = row.lo + fraction * (row.hi - row.lo)
-            side = F.when(F.col(feature) <= F.lit(cut), F.lit(row.node + "L")).otherwise(F.lit(row.node + "R"))
-            step = F.when(node == row.node, side).otherwise(step)
-            grown += [row.node + "L", row.node + "R"]
-        node, open_nodes = step, grown
-        if not grown:
+    spark = df.sparkSession
+    out = df.withColumn("__node", F.lit("r"))
+    for level, (feature, fraction) in enumerate(zip(features, fractions)):
+        # nodes that are still open have one letter per level
+        work = out.filter(F.length("__node") == level + 1).select("__node", F.col(feature).cast("double").alias("x"))
+        stats = work.groupBy("__node").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+        cuts = [(r["__node"], r.lo + fraction * (r.hi - r.lo)) for r in stats.collect()
+                if r.n >= 2 and r.lo is not None and r.lo < r.hi]
+        if not cuts:
             break
-    out = df.withColumn("__node", node)
+        side = F.broadcast(rows_to_local(spark, cuts, T.StructType([T.StructField("__node", T.StringType()), T.StructField("__cut", T.DoubleType())])))
+        step = F.when(F.col("__cut").isNull(), F.col("__node")).otherwise(F.concat(
+            "__node", F.when(F.col(feature).cast("double") <= F.col("__cut"), "L").otherwise("R")))
+        out = lookup_join(out, side, ["__node"], checked=True).withColumn("__node", step).drop("__cut")
     bits = F.conv(F.substring(row_hash(seed, "__node"), 1, 8), 16, 10).cast("bigint")
     return out.withColumn(output, bits % classes).drop("__node")
 

@@ -22,7 +22,7 @@ MISSING_LABEL = "nan"
 
 
 class EncodeError(ValueError):
-    """The table cannot be encoded; the message is the reason."""
+    """The table cannot be encoded; the message is the reason (fixed values: ingest results carry it)."""
 
 
 def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

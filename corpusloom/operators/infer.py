@@ -152,6 +152,7 @@ def score_targets(profile: DataFrame) -> DataFrame:
     discrete = F.col("task_type") != "regression"
     crowded = discrete & unnamed & (distinct > F.greatest(F.lit(64), F.floor(F.col("n_valid") * 0.2)))
     wordy = discrete & unnamed & (F.col("avg_string_length") > 48)
+    # Points and the texts of the reasons, which results carry.
     points = (F.when(distinct <= 1, -10.0).when(F.col("task_type") == "binary", 3.0)
               .when((F.col("task_type") == "multiclass") & (distinct <= 16), 2.5).otherwise(1.0))
     shape = (F.when(distinct <= 1, "constant or empty column")

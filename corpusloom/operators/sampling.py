@@ -164,14 +164,29 @@ def split_table(df: DataFrame, target: str, task: str, key: Sequence[str], seed:
 
 
 def fixed_size_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """`n` rows without replacement: a top-k for small `n`, digest cut-off for large `n`."""
+    """`n` rows without replacement, those with the smallest digests. Digests are uniform, so rows
+    beyond a bound a little over `n / count` need not be sorted; for large `n` the exact cut-off is
+    looked up instead."""
     work = df.withColumn("__digest", row_hash(seed, *key))
     if n <= 100_000:
-        return top_rows(work, ["__digest"], n).drop("__digest")
+        return likely_smallest(work, n).orderBy("__digest").limit(n).drop("__digest")
     work, inside = _cut(work, work, None, "__digest", {"taken": n}, df.count())
     return work.filter(inside["taken"]).drop("__digest")
 
 
+def likely_share(n, count) -> Column:
+    """Share of the digest range that holds the `n` smallest of `count` digests but for one case in
+    millions."""
+    n = F.lit(n) if isinstance(n, (int, float)) else n
+    return (n + 6 * F.sqrt(n) + 20) / count
+
+
+def likely_smallest(work: DataFrame, n: int) -> DataFrame:
+    """Rows whose `__digest` can be among the `n` smallest; all rows if the bound was too low."""
+    cut = work.filter(hash_unit(F.col("__digest")) <= likely_share(n, F.lit(max(work.count(), 1))))
+    return cut if cut.limit(n).count() >= n else work
+
+
 def check_episode_sizes(df: DataFrame, dataset: Sequence[str], needed: int) -> None:
     row = df.groupBy(*dataset).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()
     if row[0] is None or row[0] < needed:
@@ -180,10 +195,17 @@ def check_episode_sizes(df: DataFrame, dataset: Sequence[str], needed: int) -> N
 
 def sample_episode(df: DataFrame, dataset: Sequence[str], key: Sequence[str], support: int, query: int,
                    seed: int = 0) -> DataFrame:
-    """Disjoint support and query rows per dataset. The rank filter turns into a per-task limit
-    before the shuffle, so a large dataset sends only a few rows per task."""
-    check_episode_sizes(df, dataset, support + query)
+    """Disjoint support and query rows per dataset. Digests are uniform, so only rows below a bound a
+    little over the wanted share of their dataset are shuffled and ranked, however large it is."""
+    wanted = support + query
+    check_episode_sizes(df, dataset, wanted)
     work = df.withColumn("__digest", row_hash(seed, *key))
+    sizes = df.groupBy(*dataset).agg(F.count(F.lit(1)).alias("__size"))
+    near = lookup_join(work, sizes, list(dataset)).filter(hash_unit(F.col("__digest")) <= likely_share(wanted, F.col("__size"))).drop("__size")
+    left = near.groupBy(*dataset).agg(F.count(F.lit(1)).alias("__left")).filter(F.col("__left") >= wanted)
+    # a dataset that kept too few, which is next to impossible, sends all its rows
+    if left.count() == sizes.count():
+        work = near
     ranked = work.withColumn("__rn", F.row_number().over(W.partitionBy(*dataset).orderBy("__digest")))
     chosen = ranked.filter(F.col("__rn") <= support + query)
     role = F.when(F.col("__rn") <= support, "support").otherwise("query")

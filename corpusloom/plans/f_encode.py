@@ -11,7 +11,7 @@ from corpusloom.operators.infer import ordered_codes
 from .c_profile import schema_text_sql
 from .d_sampling import split_sql
 from .e_features import EV_SQL, sample_events
-from .registry import query, table
+from .registry import low_limits, query, table
 from .sqltext import profile
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -36,6 +36,13 @@ def f1(spark, sf):
     return spark.range(1).select(F.inline(rows))
 
 
+@query("f1_numeric_stats_hot", " union all ".join(
+    _stat_sql(c, "nullif(l_discount, 0)" if c == "l_discount" else c) for c in LINE_NUMBERS))
+def f1_hot(spark, sf):
+    with low_limits(spark, 40):
+        return f1(spark, sf)
+
+
 def _schema(spark, sf):
     df = sample_events(spark, sf)
     return df, ops.build_schema(df, "event_type", "multiclass", ["value"], ["bucket", "props", "user_text"])

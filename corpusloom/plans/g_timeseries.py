@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import augment, timeseries as ops
-from .registry import query, table
+from .registry import low_limits, query, table
 
 
 def _calendar_sql(ts: str, head: str) -> str:
@@ -156,6 +156,12 @@ def g8(spark, sf):
     return summary(spark, sf).select("user_id", *[F.round(c, 6).alias(c) for c in _SUMMARY_COLUMNS])
 
 
+@query("g8_series_summary_hot", f"with {_SUMMARY} select user_id, {', '.join(f'round({c}, 6) as {c}' for c in _SUMMARY_COLUMNS)} from summary")
+def g8_hot(spark, sf):
+    with low_limits(spark, 40):
+        return g8(spark, sf)
+
+
 @query("g9_series_label", f"""
 with {_SUMMARY}, q as (select median(ts_mean) as m, quantile_cont(ts_mean, 0.25) as a, quantile_cont(ts_mean, 0.5) as b,
   quantile_cont(ts_mean, 0.75) as c from summary)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import augment as ops
-from .registry import query, table
+from .registry import low_limits, query, table
 from .sqltext import unit
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -42,6 +42,15 @@ def h3(spark, sf):
     return keyed(ops.quantile_digitize(line(spark, sf), "l_extendedprice", 5), "label")
 
 
+@query("h3_quantile_digitize_hot", """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  len(list_filter(th, lambda t: t <= l_extendedprice))::int as label
+from lineitem, (select quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) as th from lineitem)""")
+def h3_hot(spark, sf):
+    with low_limits(spark, 40):
+        return h3(spark, sf)
+
+
 @query("h4_quadratic_score", f"""
 select {KEY_SQL}, round(0.3 * l_quantity * l_quantity - 1.2 * l_quantity * l_discount + 2.0 * l_tax * l_discount + 0.1 * l_tax * l_tax, 5) as interaction,
   round(0.3 * l_quantity * l_quantity - 1.2 * l_quantity * l_discount + 2.0 * l_tax * l_discount + 0.1 * l_tax * l_tax + ({SCORE}), 5) as quadratic

@@ -198,3 +198,10 @@ def test_next_index_default(spark):
     names = spark.createDataFrame([("train-00007.parquet",), ("train-x.parquet",), ("train-00012.parquet",)], "n string")
     assert tables.next_index(names, "n", tables.INDEX_PATTERNS["shard"]).first()[0] == 13
     assert tables.next_index(names, "n", tables.INDEX_PATTERNS["batch"], default=1).first()[0] == 1
+
+
+def test_deep_trees_are_planned_quickly(spark):
+    df = spark.range(400).select(*[(F.col("id") * (i * 7 + 3) % 101).alias(f"c{i}") for i in range(8)])
+    out = augment.tree_rule_label(df, df.columns, [0.5] * 8, 5)
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 60_000
+    assert out.select("label").distinct().count() == 5

@@ -6,7 +6,9 @@ import __spark_entry__ as entry
 from compare import compare_query, duck
 from conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+# queries of training-data operators have tests of their own
+QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith("op") and n != "pipeline"}
+ORACLE = {n: s for n, s in entry.oracle_sql().items() if n in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,9 @@
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
+from corpusloom.functions.hashing import row_hash
 from corpusloom.operators import sampling
 
 
@@ -79,3 +80,13 @@ def test_weighted_order_prefers_heavy_jobs(spark):
 
 def test_fixed_size_sample(spark):
     assert sampling.fixed_size_sample(spark.range(500), 123, ["id"]).distinct().count() == 123
+
+
+def test_large_episodes_and_null_datasets(spark):
+    rows = [(i, None if i % 3 == 0 else "a") for i in range(9000)]
+    df = spark.createDataFrame(rows, "id bigint, d string")
+    out = sampling.sample_episode(df, ["d"], ["id"], 900, 600)
+    ranked = df.withColumn("r", F.row_number().over(W.partitionBy("d").orderBy(row_hash(0, "id")))).filter("r <= 1500")
+    assert {(r.id, r.d) for r in out.collect()} == {(r.id, r.d) for r in ranked.collect()}
+    drawn = sampling.sample_episode_with_replacement(df, ["d"], ["id"], 5, 5).groupBy("d").count().collect()
+    assert {(r.d, r["count"]) for r in drawn} == {(None, 10), ("a", 10)}
