@@ -115,6 +115,39 @@ def binary(parts) -> pa.Array:
     return pa.array([np.ascontiguousarray(p).tobytes() for p in parts], pa.binary())
 
 
+def pack_sorted(keys: np.ndarray) -> np.ndarray:
+    """Bytes of ascending 64-bit hashes by place: the high ones hardly change, so they compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T)
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
+def pack_counts(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold all of them; the first byte tells how many."""
+    top = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return np.concatenate([np.array([width], np.uint8), counts.astype(f"<u{width}").view(np.uint8)])
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def nullable(column):
+    """The column with a type whose nested fields may all be null, as declared schemas have them."""
+    def loose(kind):
+        if pa.types.is_struct(kind):
+            return pa.struct([pa.field(f.name, loose(f.type)) for f in kind])
+        if pa.types.is_map(kind):
+            return pa.map_(loose(kind.key_type), loose(kind.item_type))
+        if pa.types.is_list(kind):
+            return pa.list_(loose(kind.value_type))
+        return kind
+    return column.cast(loose(column.type))
+
+
 def range_cuts(ordered: np.ndarray, buckets: int) -> np.ndarray:
     """Where each of `buckets` equal ranges of 64-bit hashes begins in ascending hashes (one more entry)."""
     bounds = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)

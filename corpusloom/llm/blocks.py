@@ -17,17 +17,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import new_run_dir
+
 #: Text bytes of a block: at least, and at most (a single longer text is a block on its own).
 BLOCK_BYTES = (4 << 20, 256 << 20)
 #: Bytes of text for each packed row that a block sends, and the least number of blocks.
 ROW_BYTES, LEAST_BLOCKS = 512, 32
 
 
-def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:
+def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int | None = None,
+                 least: int = BLOCK_BYTES[0]) -> int:
     """Number of blocks for the texts of docs; one narrow scan."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    low, high = BLOCK_BYTES
-    size = block_bytes or min(high, max(low, int(math.sqrt(total * ROW_BYTES))))
+    size = block_bytes or min(BLOCK_BYTES[1], max(least, int(math.sqrt(total * ROW_BYTES))))
     return max(LEAST_BLOCKS, math.ceil(total / size))
 
 
@@ -46,3 +48,13 @@ def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text: str =
         F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).cast("bigint").alias("id"), text_bytes(F.col(text)).alias("data"),
         F.struct(*rest).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage, and leaves nothing of the plan behind.
+
+    (checkpoint() hands on what the optimiser knows of the plan, which grows from round to round.)
+    """
+    path = new_run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

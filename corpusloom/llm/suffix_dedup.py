@@ -41,13 +41,29 @@ REPEATS, SHIP, HOT = 1, 2, 4
 _LOCAL = 18  # bits for a place within a piece; the other bits of an anchor's rank are its hash
 
 
+def pieces(offsets: np.ndarray):
+    """Stretches of window starts. A text's stretches do not depend on the texts around it, so a block
+    has the same segments in whatever order its texts arrive."""
+    at, texts = 0, len(offsets) - 1
+    while at < texts:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + A.PIECE, "right")) - 1)
+        if stop == at + 1:
+            for begin in range(int(offsets[at]), int(offsets[stop]), A.PIECE):
+                yield begin, min(begin + A.PIECE, int(offsets[stop]))
+        else:
+            yield int(offsets[at]), int(offsets[stop])
+        at = stop
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
     """First window, number of windows and anchor hash of every segment, in text order."""
     starts, counts, anchors = [], [], []
     span = width - gram + 1  # substrings in a window
     low = np.maximum(offsets[:-1], offsets[1:] - width + 1)  # from here a text has no whole window
-    for at in range(0, max(0, len(data) - width + 1), A.PIECE):
-        stop = min(at + A.PIECE, len(data) - width + 1)
+    for at, stop in pieces(offsets):
+        stop = min(stop, len(data) - width + 1)
+        if stop <= at:
+            continue
         piece = data[at:stop + width - 1].astype(np.uint64) + np.uint64(1)
         up, down = A.powers(len(piece))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * up)])
@@ -392,7 +408,7 @@ def cut(buckets: int, width: int):
             digest.append(hashlib.sha256(without(body, cuts)).hexdigest())
             kept.append(without(body, [whole_characters(body, x, y) for x, y in cuts]))
         return pa.table({
-            "row": docs.column("row"), "n_bytes": pa.array(np.diff(b.offsets)),
+            "row": A.nullable(docs.column("row")), "n_bytes": pa.array(np.diff(b.offsets)),
             "n_removed": pa.array(removed), "n_spans": pa.array(spans.astype(np.int64)),
             "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
     return run

@@ -52,6 +52,22 @@ def test_narrow_windows_and_small_collections(spark, monkeypatch):
     assert found == dict(enumerate(repeats(parts, 60)))
 
 
+def test_segments_do_not_depend_on_the_order_of_texts(monkeypatch):
+    monkeypatch.setattr(suffix_dedup.A, "PIECE", 1000)
+    draw = random.Random(8)
+    parts = [bytes(draw.choice(b"abcd") for _ in range(draw.choice([0, 90, 300, 5000]))) for _ in range(30)]
+
+    def cut(order):
+        data = np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+        offsets = np.cumsum([0] + [len(parts[i]) for i in order])
+        starts, counts, anchors = suffix_dedup.segments(data, offsets, 60, 16)
+        assert counts.sum() == sum(max(0, len(p) - 59) for p in parts)
+        return Counter((data[s:s + n + 59].tobytes(), int(a)) for s, n, a in zip(starts, counts, anchors))
+    first = cut(range(30))
+    for _ in range(5):
+        assert cut(draw.sample(range(30), 30)) == first
+
+
 def test_index_statistics_equal_brute_force():
     draw = random.Random(1)
     for trial in range(60):

@@ -55,9 +55,11 @@ def test_trees_learn_the_labels(spark):
     for i in range(600):
         bad = i % 2
         path = "".join(draw.choice("0123456789" if bad else "abcdefgh") for _ in range(12))
-        made.append((f"http://{'bad' if i % 4 < 2 else 'good'}{i}.example.{'net/' if bad and i % 3 else 'org/fr/' if not bad and i % 3 else 'com/'}{path}", bad))
+        host = "mad" if i % 3 == 0 else "bad" if bad else "gad"
+        made.append((f"http://{host}.example.com/{path}", bad))
     pages = spark.createDataFrame(made, "url string, truth int")
-    found = url_filter.filter_urls(pages, [("block", "net", "/"), ("allow", "org", "/fr/")]).filter("rule IS NULL").collect()
+    rules = [("block", "bad.example.com", "/"), ("allow", "gad.example.com", "/")]
+    found = url_filter.filter_urls(pages, rules).filter("rule IS NULL").collect()
     assert len(found) == 200 and np.mean([(r.verdict == "block") == r.truth for r in found]) > 0.95
 
 

@@ -140,7 +140,7 @@ def test_cutoffs_are_safe_and_exact():
 def test_grades_learn_and_are_ordered(spark):
     draw = random.Random(2)
     made = []
-    for i in range(240):
+    for i in range(900):
         words = prose(100 + i, draw.randint(20, 60)).split()
         grade = i % 3
         if grade < 2:
@@ -149,9 +149,9 @@ def test_grades_learn_and_are_ordered(spark):
             words = [w + "%%%" for w in words]
         made.append((i, " ".join(words), grade))
     docs = spark.createDataFrame(made, "doc_id bigint, text string, grade int")
-    model = grade_model.train(docs.filter("doc_id < 180").drop("grade"), docs.filter("doc_id < 180").select("doc_id", "grade"))
+    model = grade_model.train(docs.filter("doc_id < 700").drop("grade"), docs.filter("doc_id < 700").select("doc_id", "grade"))
     assert (np.diff(model.thresholds) > 0).all()
-    found = grade_model.grade_texts(docs.filter("doc_id >= 180"), model).collect()
+    found = grade_model.grade_texts(docs.filter("doc_id >= 700"), model).collect()
     assert np.mean([round(r.expected_grade) == r.row.grade for r in found]) > 0.9
     assert all(r.kept == (r.tail_probability >= 0.5) and r.tail_probability <= r.expected_grade <= 2 for r in found)
 
