@@ -22,6 +22,8 @@ from corpusloom.llm import arrays as A
 from corpusloom.llm.base import query, table
 from corpusloom.llm.blocks import count_blocks, in_blocks
 
+#: Text bytes of a block at least; larger blocks have fewer distinct n-grams to ask for.
+LEAST_BYTES = 6 << 20
 #: Tokens that no word can equal: the end of a text, and the history before its first word.
 END, START = np.uint64(0x8F3A5C1D77E2B694), np.uint64(0x1B9D4E6F20C8A753)
 
@@ -47,9 +49,10 @@ def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def ngram_keys(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
     """For n = 1 … order a key of the n-gram that ends at each token; 0 where the text is too short.
 
+    The lowest bit of a key tells single tokens (1) from longer n-grams (0).
     A text begins with one START, so the bigram of its first word is (START, word).
     """
-    keys = [A.mix(tokens + np.uint64(1))]
+    keys = [A.mix(tokens + np.uint64(1)) | np.uint64(1)]
     for n in range(2, order + 1):
         key = np.zeros(len(tokens), np.uint64)
         whole = place >= n - 2
@@ -59,7 +62,7 @@ def ngram_keys(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.nda
         acc = A.mix(oldest + np.uint64(n))
         for back in range(n - 2, -1, -1):
             acc = A.combine(acc, tokens[at - back])
-        key[at] = acc
+        key[at] = acc & ~np.uint64(1)
         keys.append(key)
     return keys
 
@@ -74,11 +77,10 @@ class Block:
         held_out = docs.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         self.trains = ~held_out[self.doc]
         flat = np.concatenate(self.keys)
-        level = np.repeat(np.arange(order, dtype=np.int8), len(self.tokens))
         # key 0 stands for no n-gram; it is asked for like the others and its count is 0
         order_, starts, self.which = A.groups_of(flat)
         pick = order_[starts]
-        self.distinct, self.level = flat[pick], level[pick]
+        self.distinct = flat[pick]
         counted = np.tile(self.trains, order) & (flat != 0)
         self.counts = np.bincount(self.which, weights=counted, minlength=len(pick)).astype(np.int64)
         self.cuts = A.range_cuts(self.distinct, buckets)
@@ -91,28 +93,27 @@ def ask(order: int, buckets: int):
         return pa.table({
             "bucket": pa.array(range(buckets), pa.int32()),
             "block": pa.array([key[0].as_py()] * buckets, pa.int32()),
-            "keys": A.binary(b.distinct[p] for p in parts),
-            "levels": A.binary(b.level[p] for p in parts),
-            "counts": A.binary(b.counts[p] for p in parts)})
+            "keys": A.binary(A.pack_sorted(b.distinct[p]) for p in parts),
+            "counts": A.binary(A.pack_counts(b.counts[p]) for p in parts)})
     return run
 
 
-ASKED = "bucket int, block int, keys binary, levels binary, counts binary"
+ASKED = "bucket int, block int, keys binary, counts binary"
 
 
 def answer(asked: pa.Table) -> pa.Table:
     """Corpus counts for each block's keys, and the bucket's share of N and V for every block."""
-    keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, np.int64) for c in asked.column("counts").to_pylist()])
-    levels = np.concatenate([np.frombuffer(c, np.int8) for c in asked.column("levels").to_pylist()])
+    keys = [A.unpack_sorted(k) for k in asked.column("keys").to_pylist()]
+    counts = np.concatenate([A.unpack_counts(c) for c in asked.column("counts").to_pylist()])
     cuts = np.cumsum([0] + [len(k) for k in keys])
-    order, starts, group = A.groups_of(np.concatenate(keys))
+    flat = np.concatenate(keys)
+    order, starts, group = A.groups_of(flat)
     totals = np.add.reduceat(counts[order], starts) if len(order) else np.zeros(0, np.int64)
-    single = levels[order[starts]] == 0 if len(order) else np.zeros(0, bool)
+    single = flat[order[starts]] & np.uint64(1) == 1
     n = len(keys)
     return pa.table({
         "block": asked.column("block").cast(pa.int32()), "bucket": asked.column("bucket").cast(pa.int32()),
-        "answers": A.binary(totals[group[cuts[i]:cuts[i + 1]]] for i in range(n)),
+        "answers": A.binary(A.pack_counts(totals[group[cuts[i]:cuts[i + 1]]]) for i in range(n)),
         "tokens": pa.array([int(totals[single].sum())] * n, pa.int64()),
         "types": pa.array([int((totals[single] > 0).sum())] * n, pa.int64())})
 
@@ -171,7 +172,7 @@ def score(order: int, buckets: int, strength: float):
         for bucket, reply in zip(answers.column("bucket").to_pylist(), answers.column("answers").to_pylist()):
             replies[bucket] = reply
         n, v = sum(answers.column("tokens").to_pylist()), sum(answers.column("types").to_pylist())
-        totals = np.frombuffer(b"".join(replies), np.int64)
+        totals = np.concatenate([A.unpack_counts(r) for r in replies if r] or [np.zeros(0, np.int64)])
         size = len(b.tokens)
         counts = [totals[b.which[k * size:(k + 1) * size]] for k in range(order)]
         ends = np.flatnonzero(b.tokens == END)
@@ -183,7 +184,7 @@ def score(order: int, buckets: int, strength: float):
             return np.bincount(b.doc, weights=x, minlength=texts)
         base = np.log10((counts[0] + 1.0) / (n + v + 1.0))
         return pa.table({
-            "row": docs.column("row"), "held_out": docs.column("held_out"),
+            "row": A.nullable(docs.column("row")), "held_out": docs.column("held_out"),
             "n_tokens": pa.array(per_text(np.ones(size)).astype(np.int64)),
             "n_known": pa.array(per_text(counts[0] > 0).astype(np.int64)),
             "train_tokens": pa.array([n] * texts, pa.int64()),
@@ -202,7 +203,7 @@ def score_texts(docs: DataFrame, held_out=None, order: int = 2, strength: float
     a block on its own. Without training texts N and V are 0 and each token has probability 1.
     """
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    blocks = count_blocks(docs, text, block_bytes)
+    blocks = count_blocks(docs, text, block_bytes, LEAST_BYTES)
     dealt = in_blocks(docs, blocks, id_col, text, held_out=held_out)
     row = dealt.schema["row"].dataType.simpleString()
     asked = dealt.groupBy("block").applyInArrow(ask(order, blocks), ASKED)
