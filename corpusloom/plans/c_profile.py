@@ -240,9 +240,9 @@ def c15(spark, sf):
     return infer.rank_target_candidates(ops.column_profile(labels)).select("column", "n_distinct", "score")
 
 
-_GUESS_CELLS = """select user_id, event_id as position, case event_id % 23
+_GUESS_CELLS = """select user_id, event_id as position, case if(event_id % 23 in (3, 7, 11) and event_id % 5 <> 0, 0, event_id % 23)
   when 3 then event_type || '_class' when 7 then 'Churn' when 11 then 'churn' when 15 then event_type || 'Date'
-  else event_type || '_' || (event_id % 7) end as name from events where event_id % 23 not in (3, 7, 11) or event_id % 5 = 0"""
+  else event_type || '_' || (event_id % 7) end as name from events"""
 
 
 @query("c16_guess_target_column", f"""
@@ -259,11 +259,11 @@ select last.user_id, coalesce(known.name, sub.name,
 from last left join known using (user_id) left join sub using (user_id)""")
 def c16(spark, sf):
     events = table(spark, sf, "events")
-    slot = F.col("event_id") % 23
+    slot = F.expr("if(event_id % 23 in (3, 7, 11) and event_id % 5 <> 0, 0, event_id % 23)")
     name = (F.when(slot == 3, F.concat("event_type", F.lit("_class"))).when(slot == 7, "Churn")
             .when(slot == 11, "churn").when(slot == 15, F.concat("event_type", F.lit("Date")))
             .otherwise(F.concat("event_type", F.lit("_"), (F.col("event_id") % 7).cast("string"))))
-    cells = events.filter(~slot.isin(3, 7, 11) | (F.col("event_id") % 5 == 0)).select(
+    cells = events.select(
         "user_id", F.col("event_id").alias("position"), name.alias("name"))
     return infer.guess_target_column(cells, "user_id", "position", "name")
 

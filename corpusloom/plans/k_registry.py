@@ -36,9 +36,10 @@ def k1(spark, sf):
     return out.select("dataset_id", "status", "event_id", epoch_micros("created_at", out.schema["created_at"].dataType).alias("created_us"))
 
 
-@query("k2_new_candidates", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 350000)")
+@query("k2_new_candidates", "select c_custkey, c_name from customer where c_custkey not in (select if(o_totalprice > 350000, o_custkey, -o_custkey) from orders)")
 def k2(spark, sf):
-    known = table(spark, sf, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey"))
+    # ids of other orders are known too, but belong to nobody
+    known = table(spark, sf, "orders").select(F.expr("if(o_totalprice > 350000, o_custkey, -o_custkey)").alias("c_custkey"))
     return ops.new_candidates(table(spark, sf, "customer").select("c_custkey", "c_name"), known, "c_custkey")
 
 
@@ -52,16 +53,14 @@ def k3(spark, sf):
 
 
 @query("k4_merge_searches", """
-with u as (select 0 as list_no, event_id as position, user_id as id, event_type as title from events where event_type = 'view'
-  union all select 1, event_id, user_id, event_type from events where event_type = 'error'
-  union all select 2, event_id, user_id % 200 + 100, event_type from events where event_type = 'click')
+with u as (select 0 as list_no, event_id as position, user_id * 2 as id, event_type as title from events
+  union all select 1, event_id, user_id * 3, event_type from events
+  union all select 2, event_id, event_id % 1000, event_type from events)
 select id, list_no, position, title from (select *, row_number() over (partition by id order by list_no, position) as rn from u) where rn = 1""")
 def k4(spark, sf):
     events = table(spark, sf, "events")
-    def found(kind, key):
-        return events.filter(F.col("event_type") == kind).select(
-            F.col("event_id").alias("position"), key.alias("id"), F.col("event_type").alias("title"))
-    lists = [found("view", F.col("user_id")), found("error", F.col("user_id")), found("click", F.col("user_id") % 200 + 100)]
+    lists = [events.select(F.col("event_id").alias("position"), key.alias("id"), F.col("event_type").alias("title"))
+             for key in (F.col("user_id") * 2, F.col("user_id") * 3, F.col("event_id") % 1000)]
     return ops.merge_searches(lists, ["id"], "position")
 
 
@@ -75,13 +74,14 @@ def k5(spark, sf):
 
 
 @query("k6_status_transition", f"""
-with {REG_SQL}, upd as (select event_id, case when event_id % 3 = 0 then 'ok' else 'schema_fail' end as new_status,
-  repeat('note ' || event_id || ';', 20) as new_notes from events where event_id % 2 = 0)
+with {REG_SQL}, upd as (select if(event_id % 2 = 0, event_id, -1 - event_id) as event_id, case when event_id % 3 = 0 then 'ok' else 'schema_fail' end as new_status,
+  repeat('note ' || event_id || ';', 20) as new_notes from events)
 select reg.event_id, coalesce(new_status, status) as status, case when new_status is null then notes when new_status = 'ok' then new_notes
   else left(new_notes, 150) || ' retry=' || ({_RETRY} + 1) end as notes from reg left join upd using (event_id)""")
 def k6(spark, sf):
-    updates = table(spark, sf, "events").filter("event_id % 2 = 0").select(
-        "event_id", F.when(F.col("event_id") % 3 == 0, "ok").otherwise("schema_fail").alias("new_status"),
+    # half of the updates are for records that are not there
+    updates = table(spark, sf, "events").select(
+        F.expr("if(event_id % 2 = 0, event_id, -1 - event_id)").alias("event_id"), F.when(F.col("event_id") % 3 == 0, "ok").otherwise("schema_fail").alias("new_status"),
         F.repeat(F.concat(F.lit("note "), F.col("event_id").cast("string"), F.lit(";")), 20).alias("new_notes"))
     return ops.status_transition(records(spark, sf), updates, "event_id").select("event_id", "status", "notes")
 
@@ -122,13 +122,13 @@ def k9(spark, sf):
 
 @query("k10_rank_candidates", """
 with c as (select o_custkey as id, o_orderkey as position, case when o_orderkey % 5 = 0 then null else o_orderkey % 1000 end as downloads from orders),
-f as (select *, row_number() over (partition by id order by position) as rn from c where id not in (select c_custkey from customer where c_nationkey < 5)
+f as (select *, row_number() over (partition by id order by position) as rn from c where id not in (select if(c_nationkey < 5, c_custkey, -c_custkey) from customer)
   and id not in (select s_suppkey from supplier))
 select id, position, coalesce(downloads, 0) as downloads from f where rn = 1""")
 def k10(spark, sf):
     candidates = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("position"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 1000).alias("downloads"))
-    processed = table(spark, sf, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("id"))
+    processed = table(spark, sf, "customer").select(F.expr("if(c_nationkey < 5, c_custkey, -c_custkey)").alias("id"))
     skip = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
     return ops.rank_candidates(candidates, processed, skip, "id", ["position"])

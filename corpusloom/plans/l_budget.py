@@ -128,8 +128,8 @@ def l9(spark, sf):
 
 
 @query("l10_queue_progress", """
-with s as (select user_id as dataset_id, sum(event_id % 100) as steps, sum(event_id % 1000) as rows_seen, min(nullif(value, 0)) as best, max(event_id) as last
-  from events where user_id % 5 <> 0 group by 1),
+with s as (select if(user_id % 5 <> 0, user_id, -1 - user_id) as dataset_id, sum(event_id % 100) as steps, sum(event_id % 1000) as rows_seen, min(nullif(value, 0)) as best, max(event_id) as last
+  from events group by 1),
 q as (select user_id as dataset_id, 10::bigint as total_steps, 2500::bigint as max_total_steps, 20::bigint as seen, case when user_id % 2 = 0 then 0.5 end as best0
   from events group by user_id)
 select dataset_id, (total_steps + coalesce(steps, 0))::bigint as total_steps, (seen + coalesce(rows_seen, 0))::bigint as total_rows_seen,
@@ -138,8 +138,9 @@ select dataset_id, (total_steps + coalesce(steps, 0))::bigint as total_steps, (s
 from q left join s using (dataset_id)""")
 def l10(spark, sf):
     events = table(spark, sf, "events")
-    sessions = events.filter("user_id % 5 <> 0").select(
-        F.col("user_id").alias("dataset_id"), (F.col("event_id") % 100).alias("steps_trained"), (F.col("event_id") % 1000).alias("rows_seen"),
+    # sessions of every fifth user belong to no entry
+    sessions = events.select(
+        F.expr("if(user_id % 5 <> 0, user_id, -1 - user_id)").alias("dataset_id"), (F.col("event_id") % 100).alias("steps_trained"), (F.col("event_id") % 1000).alias("rows_seen"),
         F.nullif("value", F.lit(0.0)).alias("val_loss"), F.col("event_id").alias("ended_at"))
     entries = events.select(F.col("user_id").alias("dataset_id")).distinct().withColumns({
         "status": F.lit("failed"), "total_steps": F.lit(10).cast("bigint"), "max_total_steps": F.lit(2500).cast("bigint"),
@@ -165,10 +166,10 @@ def l12(spark, sf):
 
 
 @query("l13_assert_new_keys", """
-select o_custkey as dataset_id, 'old' as origin from (select distinct o_custkey from orders where o_totalprice > 350000)
-union all select c_custkey, 'new' from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 350000)""")
+select o_custkey as dataset_id, 'old' as origin from (select distinct if(o_totalprice > 350000, o_custkey, -o_custkey) as o_custkey from orders)
+union all select c_custkey, 'new' from customer where c_custkey not in (select if(o_totalprice > 350000, o_custkey, -o_custkey) from orders)""")
 def l13(spark, sf):
-    old = table(spark, sf, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("dataset_id"))
+    old = table(spark, sf, "orders").select(F.expr("if(o_totalprice > 350000, o_custkey, -o_custkey)").alias("dataset_id"))
     old = old.distinct().withColumn("origin", F.lit("old"))
     new = table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset_id"))
     new = new.join(old, "dataset_id", "left_anti").withColumn("origin", F.lit("new"))

@@ -95,12 +95,13 @@ def m7(spark, sf):
 
 @query("m7_latest_checkpoint", """
 with s as (select user_id, event_id, case when event_type <> 'error' then 'ckpt_' || (event_id % 500) end as checkpoint_path from events),
-f as (select distinct 'ckpt_' || doc_id as checkpoint_path from documents where doc_id % 3 = 0)
+f as (select distinct if(doc_id % 3 = 0, 'ckpt_', 'old_') || doc_id as checkpoint_path from documents)
 select user_id, arg_max(checkpoint_path, event_id) as checkpoint_path from s where checkpoint_path in (select checkpoint_path from f) group by user_id""")
 def m7_checkpoint(spark, sf):
     path = F.concat(F.lit("ckpt_"), (F.col("event_id") % 500).cast("string"))
     sessions = table(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", path).alias("checkpoint_path"))
-    files = table(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("ckpt_"), F.col("doc_id").cast("string")).alias("checkpoint_path"))
+    files = table(spark, sf, "documents").select(
+        F.concat(F.when(F.col("doc_id") % 3 == 0, "ckpt_").otherwise("old_"), F.col("doc_id").cast("string")).alias("checkpoint_path"))
     return ops.latest_checkpoint(sessions, files, ["user_id"], ["event_id"])
 
 
