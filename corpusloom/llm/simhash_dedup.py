@@ -9,7 +9,7 @@ differing bits. A list reports only a forest of its links, as stars, never all p
 
 Lists of more than LIST members are cut into chunks by hash; every pair of chunks is a list of its own,
 so no pair is lost and no task gets more than two chunks. Components of links come from rounds of
-minimum propagation with pointer jumping, whose state is checkpointed.
+minimum propagation with hooking and pointer jumping, whose state is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import LOWER
 from corpusloom.llm.base import query, table
-from corpusloom.llm.blocks import text_bytes
-from corpusloom.session import stable
+from corpusloom.llm.blocks import stored, text_bytes
 
 SHINGLE, SEED, BITS, MATCHES = 3, 42, 3, 5
 #: Members of a posting list that one task compares.
@@ -143,17 +142,17 @@ def near_links(nodes: DataFrame, limit: int = LIST) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(fp, root) for every linked fingerprint; equal roots mean one component."""
-    edges = stable(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = stable(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-                   .withColumnRenamed("a", "fp"))
+    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    state = stored(edges.groupBy(F.col("a").alias("fp")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "roots")
     while True:
-        around = edges.join(state.select(F.col("fp").alias("b"), F.col("root").alias("near")), "b") \
-            .groupBy("a").agg(F.min("near").alias("near"))
-        nearer = state.join(around.withColumnRenamed("a", "fp"), "fp") \
-            .select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        around = edges.join(state.select(F.col("fp").alias("b"), "root"), "b").groupBy(F.col("a").alias("fp")) \
+            .agg(F.min("root").alias("near"))
+        # a node's smallest neighbouring root is offered to the node and to the root that it has now
+        offers = state.join(around, "fp").select(F.explode(F.array("fp", "root")).alias("fp"), "near") \
+            .groupBy("fp").agg(F.min("near").alias("near"))
+        nearer = state.join(offers, "fp").select("fp", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = nearer.select(F.col("fp").alias("root"), F.col("root").alias("far"))
-        after = stable(nearer.join(jump, "root", "left").select(
-            "fp", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        after = stored(nearer.join(jump, "root").select("fp", "old", F.least("root", "far").alias("root")), "roots")
         changed = after.filter(F.col("old") != F.col("root")).limit(1).count()
         state = after.select("fp", "root")
         if not changed:
@@ -169,8 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     are hashed in steps.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("data"))
-    marked = stable(rows.mapInArrow(fingerprints, "doc_id long, fp long"))
-    nodes = stable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    marked = stored(rows.mapInArrow(fingerprints, "doc_id long, fp long"), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(near_links(nodes, limit))
     rooted = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
