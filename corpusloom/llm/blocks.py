@@ -13,8 +13,10 @@ root of the input between two limits, so at 100 TB a row still stands for half a
 from __future__ import annotations
 
 import math
+import pickle
 
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import new_run_dir
@@ -50,6 +52,19 @@ def in_blocks(docs: DataFrame, blocks: int, id_col: str = "doc_id", text: str =
         F.struct(*rest).alias("row"), *[c.alias(n) for n, c in more.items()])
 
 
+def share(spark: SparkSession, thing) -> Broadcast:
+    """Broadcast an object of this package with its code; its size must be bounded by parameters."""
+    return spark.sparkContext.broadcast({"packed": cloudpickle.dumps(thing)})
+
+
+def shared_thing(shared: Broadcast):
+    """The object, which a worker unpacks once and keeps for its later tasks."""
+    kept = shared.value
+    if "thing" not in kept:
+        kept["thing"] = pickle.loads(kept["packed"])
+    return kept["thing"]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, and leaves nothing of the plan behind.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
 from corpusloom.llm.base import query, table
-from corpusloom.llm.blocks import text_bytes
+from corpusloom.llm.blocks import share, shared_thing, text_bytes
 
 #: Hashed features; labelled documents used for the fit; grades; wanted grade and least probability.
 FEATURES, SAMPLE, GRADES, WANTED, LEAST = 1 << 16, 6000, 3, 2, 0.5
@@ -135,7 +135,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text: str
 
 def scorer(shared, wanted: int):
     def run(batches):
-        model = shared.value
+        model = shared_thing(shared)
         for batch in batches:
             data, offsets = A.buffer_of(batch.column("data"))
             tails = np.zeros((batch.num_rows, len(model.thresholds)))
@@ -158,7 +158,7 @@ def grade_texts(docs: DataFrame, model: Model, wanted: int = WANTED, least: floa
     those. Rows without an id are graded like others; repeated rows get equal grades; an empty table
     gives no rows; extra columns of any name travel inside `row`. Without ratings all weights are 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers
+    shared = share(docs.sparkSession, model)  # FEATURES numbers
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"),
                        text_bytes(F.col(text)).alias("data"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, expected_grade double, tail_probability double"
