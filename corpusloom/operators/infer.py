@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import datetime_or_null, normalize_name
@@ -325,19 +326,41 @@ def temporal_columns(df: DataFrame) -> list[str]:
     return found
 
 
+def _domain_finder():
+    """Arrow function from lower-cased texts to domains: one pass over each text finds all keywords."""
+    domains = [(domain, tuple(words)) for domain, words in DOMAIN_KEYWORDS.items()]
+    kept = {}
+
+    def search():
+        if "search" not in kept:
+            words = sorted({w for _, own in domains for w in own})
+            try:
+                import ahocorasick
+            except ModuleNotFoundError:  # without the automaton each keyword is looked for by itself
+                kept["search"] = lambda text: {w for w in words if w in text}
+            else:
+                automaton = ahocorasick.Automaton()
+                for word in words:
+                    automaton.add_word(word, word)
+                automaton.make_automaton()
+                kept["search"] = lambda text: {word for _, word in automaton.iter(text)}
+        return kept["search"]
+
+    def domain_of(text) -> str:
+        found = search()(text) if text else ()
+        scores = [sum(w in found for w in own) for _, own in domains] if found else [0]
+        best = max(scores)
+        return domains[scores.index(best)][0] if best else "unknown"
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(domain_of)
+    return run
+
+
 def classify_domain(df: DataFrame, text: str, output: str = "domain") -> DataFrame:
-    """Domain with the most keywords inside `text`; the whole text is searched."""
-    lower = F.lower(F.col(text))
-    scores = {}
-    for domain, words in DOMAIN_KEYWORDS.items():
-        hits = [F.contains(lower, F.lit(w)).cast("int") for w in words]
-        scores[f"__d_{domain}"] = sum(hits[1:], hits[0])
-    scored = df.withColumns(scores)
-    best = F.greatest(*[F.col(c) for c in scores])
-    chain = F.lit("unknown")
-    for domain in reversed(DOMAIN_KEYWORDS):
-        chain = F.when((best > 0) & (F.col(f"__d_{domain}") == best), F.lit(domain)).otherwise(chain)
-    return scored.withColumn(output, chain).drop(*scores)
+    """Domain with the most keywords inside `text`; the whole text is searched, once. Of equal scores
+    the first domain wins; a text without any keyword, or null, is `unknown`."""
+    return df.withColumn(output, F.pandas_udf(_domain_finder(), "string")(F.lower(F.col(text))))
 
 
 def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int | None = None) -> DataFrame:

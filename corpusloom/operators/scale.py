@@ -413,15 +413,16 @@ def closing_groups(df: DataFrame, order: Sequence, size: str, limit: int, output
     negative.
     """
     amount = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
-    placed = positions(df, [], order, "__pos")
-    placed = running(placed, [], ["__pos"], amount, "__cum")
+    n = df.count()
+    placed = positions(df, [], order, "__pos", largest=n)
+    placed = running(placed, [], ["__pos"], amount, "__cum", largest=n)
     steps = compute_once(placed.select("__pos", "__cum", (F.col("__cum") - amount).alias("__before")))
     # one sorted pass tells for every bound the first row whose running sum reaches it
     bounds = steps.select((F.col("__before") + F.lit(float(limit))).alias("v"), F.lit(1).alias("asks"), F.col("__pos").alias("p"))
     values = steps.select(F.col("__cum").alias("v"), F.lit(0).alias("asks"), F.col("__pos").alias("p"))
     reach = F.when(F.col("asks") == 0, F.col("p"))
     # descending: at equal values the rows that reach the bound come before the one that asks
-    ranked = running(bounds.unionByName(values).withColumn("__down", -F.col("v")), [], ["__down", "asks", "p"], reach, "close", how="min")
+    ranked = running(bounds.unionByName(values).withColumn("__down", -F.col("v")), [], ["__down", "asks", "p"], reach, "close", how="min", largest=2 * n)
     jump = compute_once(ranked.filter("asks = 1 and close is not null").select(
         F.col("p").alias("at"), (F.greatest("close", "p") + 1).alias("next")))
     heads = df.sparkSession.createDataFrame([(1,)], "at bigint")
@@ -436,5 +437,5 @@ def closing_groups(df: DataFrame, order: Sequence, size: str, limit: int, output
         twice = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
         jump = compute_once(jump.join(twice, "next").select("at", F.col("far").alias("next")))
     marked = lookup_join(placed, heads.select(F.col("at").alias("__pos"), F.lit(1).alias("__head")), ["__pos"])
-    marked = running(marked, [], ["__pos"], F.coalesce("__head", F.lit(0)), "__n")
+    marked = running(marked, [], ["__pos"], F.coalesce("__head", F.lit(0)), "__n", largest=n)
     return marked.withColumn(output, (F.col("__n") - 1).cast("bigint")).drop("__pos", "__cum", "__head", "__n")
