@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.base import query, table
-from corpusloom.llm.blocks import text_bytes
+from corpusloom.llm.blocks import share, shared_thing, text_bytes
 
-#: Pieces of up to so many bytes are remembered, so many at most at a time.
-REMEMBERED_BYTES, REMEMBERED = 64, 400_000
+#: Pieces of up to so many bytes are remembered, twice so many at most at a time.
+REMEMBERED_BYTES, REMEMBERED = 64, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,8 +35,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece."""
-    if piece in ranks:
-        return [ranks[piece]]
+    get = ranks.get
+    whole = get(piece)
+    if whole is not None:
+        return [whole]
     n = len(piece)
     none = len(ranks) << 32
     size = 1 << (n - 1).bit_length()
@@ -44,64 +47,70 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     # a leaf is rank and position in one number, so that the smallest is the leftmost of the best
     tree = [none] * (2 * size)
     for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
+        rank = get(piece[i:i + 2])
         if rank is not None:
             tree[size + i] = rank << 32 | i
     for node in range(size - 1, 0, -1):
         left, right = tree[2 * node], tree[2 * node + 1]
         tree[node] = left if left <= right else right
-
-    def put(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            best = left if left <= right else right
-            if tree[node] == best:
-                break
-            tree[node] = best
-            node >>= 1
-
-    def pair(i: int) -> int:
-        j = following[i]
-        if j >= n:
-            return none
-        rank = ranks.get(piece[i:following[j]])
-        return none if rank is None else rank << 32 | i
-
-    while tree[1] < none:
-        i = tree[1] & 0xFFFFFFFF
+    best = tree[1]
+    while best < none:
+        i = best & 0xFFFFFFFF
         j = following[i]
         k = following[j]
         following[i] = k
+        # the right token is gone; the merged one and the one before it have new pairs
+        updates = [(j, none)]
         if k < n:
             previous[k] = i
-        put(j, none)
-        put(i, pair(i))
-        if previous[i] >= 0:
-            put(previous[i], pair(previous[i]))
+            rank = get(piece[i:following[k]])
+            updates.append((i, none if rank is None else rank << 32 | i))
+        else:
+            updates.append((i, none))
+        h = previous[i]
+        if h >= 0:
+            rank = get(piece[h:k])
+            updates.append((h, none if rank is None else rank << 32 | h))
+        for leaf, value in updates:
+            node = size + leaf
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+                if tree[node] == value:
+                    break
+                tree[node] = value
+        best = tree[1]
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:following[i]]])
-        i = following[i]
+        k = following[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
 class _Pieces(dict):
-    """Packed ids of pieces that were seen; a bounded memory."""
+    """Packed ids of pieces that were seen. Full memories become the older half, which is asked before
+    a piece is merged again, and the half before that is forgotten."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        packed = np.array(merge_piece(data, self.ranks), "<u4").tobytes()
-        if len(data) <= REMEMBERED_BYTES:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = packed
+        packed = self.older.get(piece)
+        if packed is None:
+            data = piece.encode()
+            ids = merge_piece(data, self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+            if len(data) > REMEMBERED_BYTES:
+                return packed
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = packed
         return packed
 
 
@@ -132,9 +141,9 @@ class Codec:
 
 
 def encoder(shared, keep_ids: bool) -> Callable:
-    """`shared` is a broadcast Codec; a worker keeps it, and what it remembers, for later tasks."""
+    """`shared` is a Codec; a worker keeps it, and what it remembers, for later tasks."""
     def run(batches):
-        codec = shared.value
+        codec = shared_thing(shared)
         for batch in batches:
             counts, ids, decoded, packed_ids = [], [], [], []
             for text in batch.column("data").to_pylist():
@@ -162,7 +171,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True
     vocabulary, are read on the driver and broadcast.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Codec(load_ranks(path), pattern))
+    shared = share(spark, Codec(load_ranks(path), pattern))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     rows = docs.select(F.struct(*rest).alias("row"), text_bytes(F.col(text)).alias("data"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
