@@ -38,6 +38,7 @@ INDEX_BYTES = 1 << 20
 #: From this many different segments on, an anchor's windows are dealt one by one.
 HOT_SEGMENTS = 256
 REPEATS, SHIP, HOT = 1, 2, 4
+_SPREAD = 0x5851F42D4C957F2D
 _LOCAL = 18  # bits for a place within a piece; the other bits of an anchor's rank are its hash
 
 
@@ -92,7 +93,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: in
         first = np.flatnonzero(new)
         starts.append(open_[first] + at)
         counts.append(np.diff(np.append(first, len(open_))))
-        anchors.append(hashes[here[first]])
+        # minima are small; mixed again they spread evenly over the buckets
+        anchors.append(A.mix(hashes[here[first]] ^ np.uint64(_SPREAD)))
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
