@@ -162,6 +162,55 @@ def test_leaks_are_found_and_recall_is_whole(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(300)) - {d for d, _ in hit} and kept.columns == docs.columns
 
 
+def search(items, texts, passages, often):
+    """Matches of a searcher for a corpus in which word "wN" stands in a share of the passages, others in `often`."""
+    counts = np.full(decontaminate.FEATURES, float(often))
+    for text in items:
+        for word in text.split():
+            hashes, _ = decontaminate.normal_words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))
+            counts[int(hashes[0] % np.uint64(decontaminate.FEATURES))] = passages / (20 if int(word.strip("w.")) % 3 else 500)
+    own = decontaminate.Items(list(range(len(items))), [t.encode() for t in items],
+                              np.maximum(np.log((passages + 1.0) / (counts + 0.5)), 0.0) ** 2)
+    basis, _ = np.linalg.qr(np.array([own.vector(w) for w in own.words]).T)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    return decontaminate.search_texts(decontaminate.Searcher(own, basis), np.frombuffer(b"".join(raw), np.uint8), offsets)
+
+
+@pytest.mark.parametrize("passages", [1_000, 70_000, 1_300_000])
+def test_words_beside_an_item_hide_nothing(passages):
+    draw = random.Random(passages)
+    items = [" ".join(f"w{draw.randrange(300)}" for _ in range(n)) + ". " + " ".join(f"w{draw.randrange(300)}" for _ in range(3)) + "."
+             for n in [6, 9, 14, 17, 21, 29, 37, 45, 60] * 4]
+    rare = (f"rare{k}" for k in range(10**6))  # words that occur nowhere else
+    texts, truth = [], set()
+    for at in range(4):
+        for i, item in enumerate(items):
+            words = item.split()
+            for kind in ("verbatim", "replaced", "put in"):
+                own = list(words)
+                if kind != "verbatim":  # about a third of the words are others, or get a word beside them; the answer stays
+                    for k in draw.sample(range(len(own) - 3), len(own) // 3):
+                        own[k] = next(rare) if kind == "replaced" else own[k] + " " + next(rare)
+                before, after = ([next(rare) for _ in range(n)] for n in (25 + at, 25))
+                truth.add((len(texts), i))
+                texts.append(" ".join([*before, *own, *after]))
+    assert truth - set(search(items, texts, passages, 10)) == set()
+    # an item at the end of a text and again at the start of the next, and no item
+    texts = [" ".join(["x", items[3]]), items[3], "", items[3] + " x", " ".join(f"y{k}" for k in range(50))]
+    assert set(search(items, texts, passages, 10)) == {(0, 3), (1, 3), (3, 3)}
+
+
+def test_parts_of_a_text_hide_nothing(monkeypatch):
+    monkeypatch.setattr(decontaminate, "EVENTS", 50)
+    monkeypatch.setattr(decontaminate, "PASSAGES", 3)
+    draw = random.Random(6)
+    items = [" ".join(f"w{draw.randrange(300)}" for _ in range(n)) + "." for n in (12, 20, 33, 50)]
+    texts = [" ".join(f"w{draw.randrange(300)}" for _ in range(400 + k)) for k in range(40)]
+    texts = [t + " " + items[k % 4] + " " + t for k, t in enumerate(texts)]
+    assert {(k, k % 4) for k in range(40)} <= set(search(items, texts, 70_000, 10))
+
+
 def test_leaks_of_odd_documents(spark):
     benchmark = spark.createDataFrame([(1, prose(3, 80)), (1, prose(3, 80)), (None, prose(8, 40)), (2, None)], "item_id bigint, text string")
     found = Counter((r.row.doc_id, r.item_id) for r in decontaminate.find_leaks(odd_docs(spark), benchmark).collect())
