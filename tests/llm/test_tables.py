@@ -211,6 +211,22 @@ def test_parts_of_a_text_hide_nothing(monkeypatch):
     assert {(k, k % 4) for k in range(40)} <= set(search(items, texts, 70_000, 10))
 
 
+def test_long_items_are_held_as_a_whole():
+    draw = random.Random(8)
+    items, texts, truth = [], [], set()
+    for i, n in enumerate([66, 80, 96, 128, 150, 400, 1500]):
+        words = [f"w{draw.randrange(3000)}" for _ in range(n)]
+        words[n - 6] += "."  # the last five words are the answer
+        items.append(" ".join(words) + ".")
+        third = [f"rare{i}x{k}" if k % 3 == 0 and k < n - 5 else w for k, w in enumerate(words)]
+        end = words[n // 4:]  # three quarters in order, with the answer
+        for held, own in ((True, words), (True, third), (True, end), (False, words[:n * 3 // 4]), (False, third[:n - 5])):
+            if held:
+                truth.add((len(texts), i))
+            texts.append(" ".join([f"y{len(texts)}x{k}" for k in range(90)] + own + [f"z{k}" for k in range(90)]))
+    assert set(search(items, texts, 70_000, 10)) == truth
+
+
 def test_leaks_of_odd_documents(spark):
     benchmark = spark.createDataFrame([(1, prose(3, 80)), (1, prose(3, 80)), (None, prose(8, 40)), (2, None)], "item_id bigint, text string")
     found = Counter((r.row.doc_id, r.item_id) for r in decontaminate.find_leaks(odd_docs(spark), benchmark).collect())
