@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -11,6 +13,7 @@ WORD = np.ones(256, bool)
 WORD[list(SPACES)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -46,6 +49,17 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + b + np.uint64(0x632BE59BD9B4E019))
 
 
+def pieces(text: bytes, size: int = 1 << 20):
+    """The text cut at white space after every `size` bytes or more, so that lists of words stay small."""
+    at = 0
+    while len(text) - at > size:
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values one after the other, and where each begins (one more entry than values)."""
     if isinstance(column, pa.ChunkedArray):
