@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes between words: space and the controls 9 to 13. All other bytes belong to words.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -19,6 +20,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Rolling hashes are taken over pieces of this many bytes, so that temporaries stay small.
 PIECE = 1 << 17
+#: Bytes of the spans that are hashed by array steps, and masks of the first 0 … 8 bytes of a number.
+SHORT = 64
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -96,19 +100,33 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for spans in ascending order; equal bytes give equal hashes."""
-    out = np.zeros(len(starts), np.uint64)
+    """A 64-bit hash of data[start:end] for spans in ascending order; equal bytes give equal hashes.
+
+    Short spans take eight bytes a step, each mixed into all that came before; longer ones are XXH3 of their bytes.
+    """
+    out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         first = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, first + PIECE, "right")))
-        piece = data[first:ends[stop - 1]].astype(np.uint64) + np.uint64(1)
-        up, down = powers(len(piece))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * up)])
-        lo, hi = starts[at:stop] - first, ends[at:stop] - first
-        out[at:stop] = (sums[hi] - sums[lo]) * down[lo]
+        piece = np.concatenate([data[first:ends[stop - 1]], np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(piece) - 7, "<u8", piece, strides=(1,))  # the eight bytes from each place on
+        place, left = starts[at:stop] - first, ends[at:stop] - starts[at:stop]
+        found = mix(left.astype(np.uint64) + np.uint64(_BASE))
+        long = np.flatnonzero(left > SHORT)
+        for i in long:
+            found[i] = xxhash.xxh3_64_intdigest(piece[place[i]:place[i] + left[i]])
+        rest = np.flatnonzero((left > 0) & (left <= SHORT))
+        for step in range(0, SHORT, 8):
+            taken = np.minimum(left[rest] - step, 8)
+            found[rest] = mix(found[rest] ^ (eights[place[rest] + step] & _FIRST[taken]))
+            rest = rest[taken == 8]
+            rest = rest[left[rest] > step + 8]
+            if not len(rest):
+                break
+        out[at:stop] = found
         at = stop
-    return mix(out + (ends - starts).astype(np.uint64))
+    return out
 
 
 def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

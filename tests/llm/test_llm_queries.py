@@ -7,6 +7,8 @@ import corpus_pipeline
 import pytest
 from compare import compare_query, duck
 from conftest import SF
+from odd import no_docs, odd_docs
+from pyspark.sql import functions as F
 
 from corpusloom.llm.queries import ORACLE, QUERIES
 
@@ -47,3 +49,18 @@ def test_pipeline(spark):
     leaks = {r.doc_id for r in rows["suffix_dedup"] if any(b in " ".join(re.findall(r"\w+", r.text.lower())) for b in benchmark)}
     assert not leaks & left and len(left) >= len(texts) - len(leaks) - 2
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(left)
+
+
+def test_stages_on_odd_tables(spark):
+    docs = odd_docs(spark).withColumns({c: F.lit("own") for c in ("IDS", "n_tokens", "ids_sha256", "decoded_sha256", "quality", "item_id", "__first")})
+    new = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0), docs.filter("text IS NULL")):
+            out = stage(spark, table, SF).checkpoint()
+            if name == "byte_bpe":
+                assert out.columns == [c for c in docs.columns if c not in ("text", "IDS", *new)] + new
+                assert out.count() == table.count()
+            else:
+                assert out.columns == docs.columns and out.count() <= table.count()
+                assert out.filter("block <> 'own block' OR __first <> 'own'").count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, no_docs(spark), SF).count() == 0
