@@ -1,7 +1,13 @@
 """Corpus cleaning: quality rules, near and long duplicates, benchmark leaks, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last
-return the columns of `documents`.
+return the columns of `docs`.
+
+All stages: an empty table stays empty with its columns. Null and empty texts hold no words, so the quality
+rules drop them; the later stages keep them if they get them (near copies of the empty text are one group,
+of which the first stays). Rows without an id are judged by their text like others, but the near-copy stage,
+which names documents by id, keeps them all; of other rows that repeat one stays. Ties go to the smallest id. Very long texts are read whole. Columns of other
+names travel along, also under names that the operators use themselves.
 """
 
 from __future__ import annotations
@@ -41,10 +47,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with digests of the ids and of the decoded bytes."""
+    """Token ids of every text, with digests of the ids and of the decoded bytes, in place of the text.
+
+    Columns of `docs` that are named like one of the new columns (case does not count) go with the text.
+    """
     encoded = encode_texts(docs, *public_vocabulary())
-    rest = [c for c in docs.columns if c != "text"]
-    return encoded.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    new = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    rest = [c for c in docs.columns if c.lower() not in ("text", *new)]
+    return encoded.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], *new)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from corpusloom.functions.text import datetime_or_null
 from .infer import temporal_columns
-from .scale import (exact_quantiles, hot_rows, largest_group, lookup_join, ordered_windows, positions,
+from .scale import (compute_once, exact_quantiles, hot_rows, largest_group, lookup_join, ordered_windows, positions,
                     running, small_side)
 
 CALENDAR_PARTS = ("year", "month", "quarter", "week_of_year", "day_of_month", "day_of_week", "hour", "minute",
@@ -136,40 +136,42 @@ def _transform_stage(entity: str, axis: str, length: str, forward: bool, twiddle
         m = int(pdf["__m"].iloc[0])
         fixed = int(pdf[axis].iloc[0])
         z = np.zeros(n, dtype=complex)
-        z[pdf["__a"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        z[pdf["__a"].to_numpy()] = pdf["__re"].to_numpy() + 1j * pdf["__im"].to_numpy()
         z = np.fft.fft(z) if forward else np.fft.ifft(z) * n
         index = np.arange(n)
         if twiddle:
             angle = 2 * np.pi * ((index * fixed) % m) / m
             z = z * np.exp(-1j * angle if forward else 1j * angle)
-        return pd.DataFrame({entity: pdf[entity].iloc[0], "__fixed": fixed, "__k": index, "re": z.real, "im": z.imag})
+        return pd.DataFrame({entity: pdf[entity].iloc[0], "__fixed": fixed, "__k": index, "__re": z.real, "__im": z.imag})
     return run
 
 
 def _distributed_fft(df: DataFrame, entity: str, forward: bool = True) -> DataFrame:
-    """FFT of length `__m = __n1 * __n2` per entity over rows (entity, t, re, im); missing t are
+    """FFT of length `__m = __n1 * __n2` per entity over rows (entity, __t, __re, __im); missing __t are
     zero. Each task transforms about sqrt(m) points, so the series is never in one place."""
     kind = df.schema[entity].dataType.simpleString()
-    out = f"`{entity}` {kind}, __fixed bigint, __k bigint, re double, im double"
+    out = f"`{entity}` {kind}, __fixed bigint, __k bigint, __re double, __im double"
     sizes = small_side(df.select(entity, "__m", "__n1", "__n2").distinct())
-    first = df.withColumns({"__a": F.floor(F.col("t") / F.col("__n2")).cast("bigint"), "__b": F.col("t") % F.col("__n2")})
+    first = df.withColumns({"__a": F.floor(F.col("__t") / F.col("__n2")).cast("bigint"), "__b": F.col("__t") % F.col("__n2")})
     first = first.groupBy(entity, "__b").applyInPandas(_transform_stage(entity, "__b", "__n1", forward, True), out)
-    second = first.select(entity, F.col("__fixed").alias("__a"), F.col("__k").alias("__b"), "re", "im")
+    second = first.select(entity, F.col("__fixed").alias("__a"), F.col("__k").alias("__b"), "__re", "__im")
     second = lookup_join(second, sizes, [entity], checked=True)
     second = second.groupBy(entity, "__b").applyInPandas(_transform_stage(entity, "__b", "__n2", forward, False), out)
     second = lookup_join(second, sizes, [entity], checked=True)
     spot = F.col("__fixed") + F.col("__n1") * F.col("__k")
     scale = F.lit(1.0) if forward else 1 / F.col("__m")
-    return second.select(entity, spot.alias("t"), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"),
+    return second.select(entity, spot.alias("__t"), (F.col("__re") * scale).alias("__re"), (F.col("__im") * scale).alias("__im"),
                          "__m", "__n1", "__n2")
 
 
 def _long_series_spectrum(df: DataFrame, value: str, entity: str, order: Sequence[str], k: int, hot: int) -> DataFrame:
     """Same numbers as `_spectrum_rows` for series too long for one task: a chirp transform turns
-    the length-n spectrum into power-of-two transforms that are spread over many tasks."""
-    rows = df.filter(F.col(value).isNotNull()).select(entity, *[c for c in order if c != entity], F.col(value).alias("__x"))
+    the length-n spectrum into power-of-two transforms that are spread over many tasks. Entities with
+    fewer than four values have no row here."""
+    number = F.col(value).cast("double")
+    rows = df.filter(number.isNotNull() & ~F.isnan(number)).select(entity, *[c for c in order if c != entity], number.alias("__x"))
     placed = positions(rows, [entity], list(order), "__pos", hot=hot)
-    stats = placed.groupBy(entity).agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mean"))
+    stats = placed.groupBy(entity).agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mean")).filter("__n >= 4")
     bits = F.ceil(F.log2(2 * F.col("__n") - 1)).cast("int")
     stats = stats.withColumn("__m", F.pow(F.lit(2.0), bits).cast("bigint"))
     stats = stats.withColumn("__n1", F.pow(F.lit(2.0), F.floor(bits / 2)).cast("bigint"))
@@ -179,23 +181,25 @@ def _long_series_spectrum(df: DataFrame, value: str, entity: str, order: Sequenc
     def chirp(t: Column) -> Column:
         return F.lit(math.pi) * ((t * t) % (2 * F.col("__n"))) / F.col("__n")
 
-    points = lookup_join(placed, stats, [entity], checked=True).withColumn("t", F.col("__pos") - 1)
+    points = lookup_join(placed, stats, [entity], how="inner", checked=True).withColumn("__t", F.col("__pos") - 1)
     x = F.col("__x") - F.col("__mean")
-    signal = points.select(entity, "t", (x * F.cos(chirp(F.col("t")))).alias("re"),
-                           (-x * F.sin(chirp(F.col("t")))).alias("im"), *size)
-    both = F.when(F.col("t") == 0, F.array(F.col("t"))).otherwise(F.array(F.col("t"), F.col("__m") - F.col("t")))
-    kernel = points.select(entity, F.explode(both).alias("u"), F.cos(chirp(F.col("t"))).alias("re"),
-                           F.sin(chirp(F.col("t"))).alias("im"), *size).withColumnRenamed("u", "t")
+    signal = points.select(entity, "__t", (x * F.cos(chirp(F.col("__t")))).alias("__re"),
+                           (-x * F.sin(chirp(F.col("__t")))).alias("__im"), *size)
+    both = F.when(F.col("__t") == 0, F.array(F.col("__t"))).otherwise(F.array(F.col("__t"), F.col("__m") - F.col("__t")))
+    kernel = points.select(entity, F.explode(both).alias("__u"), F.cos(chirp(F.col("__t"))).alias("__re"),
+                           F.sin(chirp(F.col("__t"))).alias("__im"), *size).withColumnRenamed("__u", "__t")
     left = _distributed_fft(signal, entity)
-    right = _distributed_fft(kernel, entity).select(entity, "t", F.col("re").alias("re2"), F.col("im").alias("im2"))
-    product = left.join(right, [entity, "t"]).select(
-        entity, "t", (F.col("re") * F.col("re2") - F.col("im") * F.col("im2")).alias("re"),
-        (F.col("re") * F.col("im2") + F.col("im") * F.col("re2")).alias("im"), *size)
+    right = _distributed_fft(kernel, entity).select(entity, "__t", F.col("__re").alias("__re2"), F.col("__im").alias("__im2"))
+    right = right.withColumnsRenamed({entity: "__entity", "__t": "__place"})
+    same = F.col(entity).eqNullSafe(F.col("__entity")) & (F.col("__t") == F.col("__place"))
+    product = left.join(right, same).select(
+        entity, "__t", (F.col("__re") * F.col("__re2") - F.col("__im") * F.col("__im2")).alias("__re"),
+        (F.col("__re") * F.col("__im2") + F.col("__im") * F.col("__re2")).alias("__im"), *size)
     folded = _distributed_fft(product, entity, forward=False)
     folded = lookup_join(folded, stats.select(entity, "__n"), [entity], checked=False)
-    bins = folded.filter(F.col("t") <= F.floor(F.col("__n") / 2))
-    size_of = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    picks = [F.max(F.when(F.col("t") == i + 1, size_of)).alias(f"fft_{i}") for i in range(k)]
+    bins = folded.filter(F.col("__t") <= F.floor(F.col("__n") / 2))
+    size_of = F.sqrt(F.col("__re") * F.col("__re") + F.col("__im") * F.col("__im"))
+    picks = [F.max(F.when(F.col("__t") == i + 1, size_of)).alias(f"fft_{i}") for i in range(k)]
     found = bins.groupBy(entity).agg(F.max(size_of).alias("__top"), *picks)
     return found.select(entity, *[F.coalesce(F.when(F.col("__top") > 0, F.col(f"fft_{i}") / F.col("__top"))
                                              .otherwise(F.col(f"fft_{i}")), F.lit(0.0)).alias(f"fft_{i}") for i in range(k)])
@@ -211,11 +215,12 @@ def fft_table(df: DataFrame, value: str, entity: str, order: Sequence[str], k: i
     run = _spectrum_rows(entity, value, order, k)
     if largest_group(slim, [entity]) <= limit:
         return slim.groupBy(entity).applyInPandas(run, out)
-    heavy = small_side(slim.groupBy(entity).count().filter(F.col("count") > limit).select(entity))
+    names = compute_once(slim.groupBy(entity).count().filter(F.col("count") > limit).select(entity))
+    heavy = small_side(names)
     short = lookup_join(slim, heavy, [entity], how="left_anti", checked=True)
     long = lookup_join(slim, heavy, [entity], how="left_semi", checked=True)
-    return short.groupBy(entity).applyInPandas(run, out).unionByName(
-        _long_series_spectrum(long, value, entity, order, k, limit))
+    found = lookup_join(names, _long_series_spectrum(long, value, entity, order, k, limit), [entity])
+    return short.groupBy(entity).applyInPandas(run, out).unionByName(found.fillna(0.0, [f"fft_{i}" for i in range(k)]))
 
 
 def fft_features(df: DataFrame, value: str, entity: str | None, order: Sequence[str], k: int = 10) -> DataFrame:

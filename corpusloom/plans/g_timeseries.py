@@ -108,6 +108,22 @@ def g5(spark, sf):
     return _rounded(out.select("event_id", *[f"fft_{i}" for i in range(4)]))
 
 
+@query("g5_fft_features_hot", f"""
+with src as (select event_id, ts, nullif(user_id % 4, 1) as user_id, if(user_id % 4 <> 2 and event_id % 17 <> 3, value, null) as value from events),
+{_DFT.replace(_X, "value").replace("from events", "from src").replace("on u = user_id", "on u is not distinct from user_id")},
+spectra as (select bins.user_id, k - 1 as bin, size / top as size from bins join tops on bins.user_id is not distinct from tops.user_id where k between 1 and 4)
+select event_id, {", ".join(f"coalesce((select round(size, 6) from spectra s where s.user_id is not distinct from e.user_id and bin = {i}), 0) as fft_{i}" for i in range(4))}
+from src e""")
+def g5_hot(spark, sf):
+    """Every series is spread over tasks; one has no entity, one has no values."""
+    user = F.col("user_id") % 4
+    src = table(spark, sf, "events").withColumns({
+        "user_id": F.nullif(user, F.lit(1)), "value": F.when((user != 2) & (F.col("event_id") % 17 != 3), F.col("value"))})
+    with low_limits(spark, 20):
+        out = ops.fft_features(src, "value", "user_id", ["ts", "event_id"], k=4)
+    return _rounded(out.select("event_id", *[f"fft_{i}" for i in range(4)]))
+
+
 @query("g6_timeseries_to_table", f"""
 with e as (select *, {_X} as x from events),
 f as (select event_id, user_id, x as value, {_calendar_sql("ts", "ts_")}, lag(x, 1) over w as value_lag1, lag(x, 3) over w as value_lag3,

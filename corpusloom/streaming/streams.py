@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -163,22 +165,24 @@ def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int,
     noticed from the next heartbeat or from the event-time timer, and recovered by the next
     heartbeat. `at` is the last heartbeat for stale and the new one for recovered.
 
-    Before the shuffle each task keeps only the first and last heartbeat of a job per half
+    A null job is a job; heartbeats without a time are left out. Before the shuffle each task keeps only the first and last heartbeat of a job per half
     silence: what lies between them cannot border a silence. A chatty job thus sends a handful
     of rows.
     """
     gap = silent_seconds * 1_000_000
     kind = stream.schema[job].dataType.simpleString()
-    beats = stream.select(job, epoch_micros(ts, stream.schema[ts].dataType).alias("us"))
+    beats = stream.select(job, epoch_micros(ts, stream.schema[ts].dataType).alias("us")).filter("us IS NOT NULL")
 
     def thin(batches):
-        for pdf in batches:
-            slot = pdf["us"] // max(gap // 2, 1)
-            ends = pdf.groupby([pdf[job], slot])["us"].agg(["min", "max"])
-            rows = ends.reset_index(level=0).melt(id_vars=job, value_vars=["min", "max"], value_name="us")
-            yield rows[[job, "us"]].drop_duplicates()
-
-    beats = beats.mapInPandas(thin, beats.schema).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+        for batch in batches:
+            job_, us = batch.columns
+            rows = pa.table({"job": job_, "us": us, "slot": pc.divide(us, max(gap // 2, 1))})
+            ends = rows.group_by(["job", "slot"]).aggregate([("us", "min"), ("us", "max")])  # null is a job like others
+            for edge in ("us_min", "us_max"):
+                for part in ends.select(["job", edge]).rename_columns(batch.schema.names).to_batches():
+                    yield part
+
+    beats = beats.mapInArrow(thin, beats.schema).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
 
     def follow(key, batches, state: GroupState):
         last, stale = state.get if state.exists else (None, False)

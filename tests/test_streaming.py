@@ -49,6 +49,18 @@ def test_heartbeats_over_batches(spark):
     assert any(state == "recovered" for _, state, _ in got)
 
 
+def test_heartbeats_without_a_job(spark):
+    rows = [(None, 5), (None, 10), (None, 900), ("1", 5), ("1", 2000), ("1", None)]
+    df = spark.createDataFrame(rows, "job string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    source, checkpoint = ops.work_paths(spark, "no-job")
+    df.write.parquet(source)
+    stream = ops.heartbeat_timeout(ops.stream_source(spark, source, df.schema), "job", "ts", 500)
+    out = ops.run_available(stream, ops.work_paths(spark, "no-job-out")[0], checkpoint).collect()
+    second = 1_000_000
+    assert sorted(((r.job or ""), r.state, r.at_us // second) for r in out) == [
+        ("", "recovered", 900), ("", "stale", 10), ("", "stale", 900), ("1", "recovered", 2000), ("1", "stale", 5)]
+
+
 def test_live_best_over_batches(spark):
     rows = [(i % 3, i, float((i * 53) % 97) if i % 10 else None) for i in range(120)]
     df = spark.createDataFrame(rows, "e bigint, o bigint, v double")

@@ -37,6 +37,15 @@ def test_spectrum_matches_numpy(series, limit):
         assert np.allclose([found[user][f"fft_{i}"] for i in range(6)], want, atol=1e-9)
 
 
+def test_long_series_without_entity_or_values(spark):
+    rows = [(u, i, float("nan") if i == 9 and u != 3 else float((i * 7) % 11) if u in (1, None) or (u == 3 and i < 3) else None) for u in (1, None, 2, 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "u int, i int, x double")
+    plain, hot = ({r.u: [round(r[f"fft_{j}"], 9) for j in range(4)] for r in ops.fft_table(df, "x", "u", ["i"], k=4, hot=h).collect()}
+                  for h in (1000, 6))
+    assert plain.keys() == hot.keys() == {1, None, 2, 3}
+    assert plain == hot and plain[2] == plain[3] == [0.0] * 4 and plain[None] == plain[1]
+
+
 def test_short_series_have_no_spectrum(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(3)], "u int, i int, x double")
     assert [ops.fft_table(df, "x", "u", ["i"], k=3).first()[f"fft_{i}"] for i in range(3)] == [0.0, 0.0, 0.0]
