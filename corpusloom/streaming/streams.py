@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.functions.clock import epoch_micros
@@ -52,8 +52,61 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
      .foreachBatch(handle).trigger(availableNow=True).start().awaitTermination())
 
 
+class MergedTable:
+    """A keyed table to which each micro-batch adds what it changes; what is written follows the batch.
+
+    A batch is a part of its own, and counts from the moment its mark is in the log. When FAN parts of
+    one size follow each other they are merged by key into one, so a row is written again once for each
+    power of FAN batches, and a reader merges fewer than FAN parts of each size. A batch that is handled
+    again after a failure finds its mark and changes nothing; files without a mark are replaced. Parts
+    that were merged stay until their folder is removed, so running readers are not disturbed.
+
+    `merge` reduces rows of several parts to one row per key. It may use the column `__batch`, the last
+    batch that a row covers, and must keep it.
+    """
+
+    FAN = 8
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
+        self.spark, self.path, self.schema, self.merge = spark, path, schema, merge
+        self.stored = T.StructType([*schema.fields, T.StructField("__batch", T.LongType())])
+        # the log begins with an empty entry, so that it can always be read
+        self._marks([]).write.mode("ignore").parquet(f"{path}/log/begin")
+        marks = spark.read.schema("first long, last long").parquet(f"{path}/log/*").collect()
+        self.live: list[tuple[int, int]] = []
+        for first, last in sorted((tuple(m) for m in marks), key=lambda m: (m[0], -m[1])):
+            if not self.live or last > self.live[-1][1]:  # a part inside another one was merged into it
+                self.live.append((first, last))
+
+    def _marks(self, marks: list[tuple[int, int]]) -> DataFrame:
+        return self.spark.createDataFrame(marks, "first long, last long").coalesce(1)
+
+    def _put(self, rows: DataFrame, first: int, last: int) -> None:
+        rows.select(*self.stored.names).write.mode("overwrite").parquet(f"{self.path}/parts/{first}-{last}")
+        self._marks([(first, last)]).write.mode("overwrite").parquet(f"{self.path}/log/{first}-{last}")
+        self.live = [p for p in self.live if p[0] < first or p[1] > last] + [(first, last)]
+
+    def _rows(self, parts: Sequence[tuple[int, int]]) -> DataFrame:
+        paths = [f"{self.path}/parts/{first}-{last}" for first, last in parts]
+        return self.spark.read.schema(self.stored).parquet(*paths) if paths else self.spark.createDataFrame([], self.stored)
+
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        """Add one row per key that the batch changes."""
+        if not any(first <= batch_id <= last for first, last in self.live):
+            self._put(rows.withColumn("__batch", F.lit(batch_id).cast("bigint")), batch_id, batch_id)
+        span = self.FAN
+        while (batch_id + 1) % span == 0:
+            inside = [p for p in self.live if p[0] > batch_id - span and p[1] <= batch_id]
+            if len(inside) > 1:
+                self._put(self.merge(self._rows(inside)), batch_id + 1 - span, batch_id)
+            span *= self.FAN
+
+    def current(self) -> DataFrame:
+        return self.merge(self._rows(self.live)).select(*self.schema.names)
+
+
 class LiveTable:
-    """A small table that every micro-batch replaces. Two folders take turns, so the result of the
+    """A small table that every micro-batch replaces as a whole, for results of a few rows. Two folders take turns, so the result of the
     batch before stays readable while a batch is written or repeated."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -148,15 +201,10 @@ def live_dashboard(stream: DataFrame, status: str, path: str, checkpoint: str) -
 
 
 def live_upsert(stream: DataFrame, key: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> DataFrame:
-    """Latest row per key. Every batch merges into the result of the batch before, so a repeated
-    batch gives the same table."""
-    result = LiveTable(stream.sparkSession, path, stream.schema)
-
-    def handle(rows: DataFrame, batch_id: int) -> None:
-        newest = registry_upsert(rows, key, order).select(*result.schema.names)
-        result.write(registry_upsert(result.before(batch_id).unionByName(newest), key, order), batch_id)
-
-    run_batches(stream, handle, checkpoint)
+    """Latest row per key by `order`, of equal rows the one of the later batch. A batch writes its own
+    latest rows only. Null keys are keys."""
+    result = MergedTable(stream.sparkSession, path, stream.schema, lambda rows: registry_upsert(rows, key, [*order, "__batch"]))
+    run_batches(stream, lambda rows, batch_id: result.add(registry_upsert(rows, key, order), batch_id), checkpoint)
     return result.current()
 
 
@@ -223,30 +271,35 @@ def heartbeat_timeout(stream: DataFrame, job: str, ts: str, silent_seconds: int,
 
 
 def live_best(stream: DataFrame, experiment: str, order: str, value: str, path: str, checkpoint: str) -> DataFrame:
-    """Per experiment: rows seen, best value so far, and rows since it last improved. Rows of a batch
-    are reduced by aggregates, then folded into the table of the batch before."""
-    result = LiveTable(stream.sparkSession, path, T.StructType([
-        stream.schema[experiment], *T.DataType.fromDDL("seen bigint, best double, patience bigint").fields]))
+    """Per experiment: rows seen, best value so far, and rows since it last improved.
 
-    def handle(rows: DataFrame, batch_id: int) -> None:
+    A batch is reduced to one row per experiment it holds: its rows, its best value, and its rows after
+    that. Such rows can be merged in batch order without the rows behind them: the best value is the
+    least one, of the earliest part that has it, and what came later only adds to the patience. Null
+    is an experiment like any other.
+    """
+    kind = T.StructType([stream.schema[experiment], *T.DataType.fromDDL("seen bigint, best double, patience bigint").fields])
+
+    def reduce(rows: DataFrame) -> DataFrame:
         slim = rows.select(experiment, F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
         best = slim.filter("v is not null").groupBy(experiment).agg(F.min(F.struct("v", "o")).alias("m"))
-        joined = lookup_join(slim, best, [experiment])
-        new = joined.groupBy(experiment).agg(F.count(F.lit(1)).alias("n"), F.first("m.v").alias("low"),
-                                             F.count_if(F.col("m").isNull() | (F.col("o") > F.col("m.o"))).alias("after"))
-        # null is an experiment like any other
-        new = new.withColumnRenamed(experiment, "__experiment")
-        old = result.before(batch_id).withColumn("__old", F.lit(True))
-        both = old.join(new, F.col(experiment).eqNullSafe(F.col("__experiment")), "full_outer")
-        both = both.withColumn(experiment, F.when(F.col("__old"), F.col(experiment)).otherwise(F.col("__experiment")))
-        better = F.col("low").isNotNull() & (F.col("best").isNull() | (F.col("low") < F.col("best")))
-        more = F.coalesce("n", F.lit(0))
-        patience = F.when(better, F.col("after")).otherwise(F.coalesce("patience", F.lit(0)) + more)
-        result.write(both.select(experiment, (F.coalesce("seen", F.lit(0)) + more).alias("seen"),
-                                 F.when(better, F.col("low")).otherwise(F.col("best")).alias("best"),
-                                 patience.alias("patience")), batch_id)
-
-    run_batches(stream, handle, checkpoint)
+        return lookup_join(slim, best, [experiment]).groupBy(experiment).agg(
+            F.count(F.lit(1)).alias("seen"), F.first("m.v").alias("best"),
+            F.count_if(F.col("m").isNull() | (F.col("o") > F.col("m.o"))).alias("patience"))
+
+    def merge(rows: DataFrame) -> DataFrame:
+        # few rows per experiment: one from each part that holds it
+        own = Window.partitionBy(experiment)
+        first = F.min(F.when(F.col("best").isNotNull(), F.struct("best", "__batch", "patience"))).over(own)
+        rows = rows.withColumn("__m", first)
+        later = F.col("__m").isNull() | (F.col("__batch") > F.col("__m.__batch"))
+        return rows.groupBy(experiment).agg(
+            F.sum("seen").alias("seen"), F.first("__m.best").alias("best"),
+            (F.coalesce(F.first("__m.patience"), F.lit(0)) + F.sum(F.when(later, F.col("seen")).otherwise(0))).alias("patience"),
+            F.max("__batch").alias("__batch"))
+
+    result = MergedTable(stream.sparkSession, path, kind, merge)
+    run_batches(stream, lambda rows, batch_id: result.add(reduce(rows), batch_id), checkpoint)
     return result.current()
 
 

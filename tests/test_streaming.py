@@ -1,7 +1,7 @@
 """Streams over several batches and restarts must equal the batch result."""
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from corpusloom.streaming import streams as ops
 
@@ -120,3 +120,50 @@ def test_empty_stream_cannot_bootstrap(spark):
     out_path, _ = ops.work_paths(spark, "none-out")
     with pytest.raises(ValueError):
         ops.bootstrap_sample(ops.stream_source(spark, source, "id bigint, y string"), 2, ["id"], out_path, checkpoint)
+
+
+def merged(spark, label):
+    path, _ = ops.work_paths(spark, label)
+    schema = T.StructType.fromDDL("k string, o bigint, v string")
+    return path, lambda: ops.MergedTable(spark, path, schema, lambda rows: ops.registry_upsert(rows, ["k"], ["o", "__batch"]))
+
+
+def test_merged_table_writes_what_changes(spark):
+    path, table = merged(spark, "merged")
+    live, expected = table(), {}
+    for batch in range(20):
+        rows = [(None if k == 2 else f"k{k}", batch // 2, f"{batch}-{k}") for k in range(batch % 3 + 1)] + [(f"only{batch}", 0, "x")]
+        df = spark.createDataFrame(rows, "k string, o bigint, v string").coalesce(1)
+        live.add(df, batch)
+        expected.update({k: (o, v) for k, o, v in rows})
+        assert spark.read.parquet(f"{path}/parts/{batch}-{batch}").count() == len(rows)
+        if batch in (3, 7, 13):
+            live.add(spark.createDataFrame([("k0", 99, "again")], "k string, o bigint, v string"), batch)  # repeated: no change
+            live = table()  # a restart reads the log
+    assert live.live == [(0, 7), (8, 15), (16, 16), (17, 17), (18, 18), (19, 19)]
+    assert {r.k: (r.o, r.v) for r in live.current().collect()} == expected
+    # a part without a mark does not count, and the next attempt replaces it
+    spark.createDataFrame([("lost", 0, "x", 20)], "k string, o bigint, v string, __batch bigint").write.parquet(f"{path}/parts/20-20")
+    again = table()
+    assert again.current().filter("k = 'lost'").count() == 0
+    again.add(spark.createDataFrame([("k1", 50, "new")], "k string, o bigint, v string"), 20)
+    expected["k1"] = (50, "new")
+    assert {r.k: (r.o, r.v) for r in table().current().collect()} == expected
+    assert ops.MergedTable(spark, path + "-none", T.StructType.fromDDL("k string, o bigint"), lambda rows: rows).current().count() == 0
+
+
+def test_live_best_merges_many_batches(spark):
+    rows = [(None if i % 4 == 3 else i % 4, i, None if i % 10 == 0 or i % 4 == 2 else float((i * 29) % 31)) for i in range(180)]
+    df = spark.createDataFrame(rows, "e bigint, o bigint, v double")
+    source, checkpoint = ops.work_paths(spark, "best-many")
+    for i in range(18):
+        df.filter((F.col("o") >= 10 * i) & (F.col("o") < 10 * i + 10)).coalesce(1).write.mode("append").parquet(source)
+    stream = ops.stream_source(spark, source, df.schema, max_files=1)
+    found = {r.e: tuple(r)[1:] for r in ops.live_best(stream, "e", "o", "v", ops.work_paths(spark, "best-many-out")[0], checkpoint).collect()}
+    for e in (0, 1, 2, None):
+        seen, best, patience = 0, None, 0
+        for _, _, v in [r for r in rows if r[0] == e]:
+            seen, patience = seen + 1, patience + 1
+            if v is not None and (best is None or v < best):
+                best, patience = v, 0
+        assert found[e] == (seen, best, patience)
