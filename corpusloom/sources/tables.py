@@ -7,20 +7,25 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from corpusloom.operators.scale import lookup_join
+from .ranges import csv_records, line_ranges, read_csv
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                multiline: bool = True) -> DataFrame:
     """Read `.csv`, `.tsv`, `.parquet` or `.jsonl` by the lower-cased suffix of `path`.
 
-    Give a schema when it is known; otherwise text formats are scanned once to infer it. Cells may
-    hold line breaks; pass `multiline=False` for big files without them, so that they are split.
+    Give a schema when it is known; otherwise text formats are scanned once to infer it. Cells of CSV and
+    TSV files may hold line breaks; their files are split all the same (`ranges.py`), and unbalanced quotes
+    raise. `multiline=False` reads every line as a row, which saves the look at how ranges begin.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix in ("csv", "tsv"):
-        reader = reader.option("header", True).option("escape", '"').option("multiLine", multiline)
-        reader = reader.option("inferSchema", schema is None)
-        return reader.csv(path, sep="\t" if suffix == "tsv" else ",")
+        sep = "\t" if suffix == "tsv" else ","
+        if multiline:
+            return read_csv(spark, path, sep, schema)
+        return reader.options(header=True, escape='"', inferSchema=schema is None).csv(path, sep=sep)
     if suffix == "parquet":
         return reader.parquet(path)
     if suffix == "jsonl":
@@ -56,20 +61,15 @@ def next_index(names: DataFrame, column: str, pattern: str, default: int = 0, gr
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """(path, columns, row_count) per CSV file below `root`. Rows are CSV records without the
     header. Files that are not valid UTF-8 are left out."""
-    def files():
-        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-
-    lines = files().text(root).select("value", F.col("_metadata.file_path").alias("path"),
-                                      F.col("_metadata.file_block_start").alias("start"),
-                                      F.monotonically_increasing_id().alias("line"))
-    head = F.min_by("value", F.when(F.col("start") == 0, F.col("line")))
-    per_file = lines.groupBy("path").agg(head.alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+    raw = spark.read.options(lineSep="\n", **options).text(root)
+    broken = raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    found = lookup_join(csv_records(line_ranges(spark, root, **options), balanced=False), broken.filter("NOT valid").select("path"), ["path"], how="left_anti")
+    per_file = found.groupBy("path").agg(F.max(F.when(F.col("head"), F.col("record"))).alias("head"),
+                                         F.count_if(~F.col("head")).alias("row_count"))
     cells = F.split(F.col("head"), ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
     names = F.transform(cells, lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
-    records = files().option("header", True).option("multiLine", True).option("escape", '"').schema("value string").csv(root)
-    counts = records.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
-    return per_file.filter("valid").select("path", names.alias("columns")).join(counts, "path", "left").select(
-        "path", "columns", F.coalesce("row_count", F.lit(0)).alias("row_count"))
+    return per_file.select("path", names.alias("columns"), "row_count")
 
 
 def write_artifact(spark: SparkSession, path: str, content: dict | str) -> None:
