@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -403,39 +404,109 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {c: int(found[i]) for i, c in enumerate(columns)}
 
 
+def _closes(amounts: np.ndarray, limit: float, held: float) -> tuple[list[int], float]:
+    """Rows after which a group closes, if `held` is in the open group before them, and what is held at the end."""
+    if not len(amounts):
+        return [], held
+    total = np.cumsum(amounts)
+    found, at, base = [], 0, 0.0
+    while at < len(total):
+        close = max(at, int(np.searchsorted(total, base + limit - held)))
+        if close >= len(total):
+            return found, held + float(total[-1]) - base
+        found.append(close)
+        at, base, held = close + 1, float(total[close]), 0.0
+    return found, held
+
+
+def _transfer(limit: float) -> Callable:
+    """One row per range: the function from what is held at its begin to what is held at its end and the
+    groups that close in it. What was held decides the first row that closes a group; from there on the range
+    runs by itself. So for every row that may be the first, the rest of the run is told in advance."""
+    def run(batches):
+        parts = [(b.column("__part"), b.column("__amount").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        total = np.cumsum(np.concatenate([a for _, a in parts]))
+        n = len(total)
+        before = np.concatenate([[0.0], total])  # sum before each row, and of all rows
+        rows = np.arange(n)
+        # the row that begins the next group for a group that begins at each row; n + 1: none closes
+        follow = np.append(np.maximum(rows, np.searchsorted(total, before[:-1] + limit)) + 1, n)
+        closes = np.append((follow[:-1] <= n).astype(np.int64), 0)
+        last = np.where(follow > n, np.arange(n + 1), follow)
+        while True:  # jumps double until all have arrived at the last begin of a group
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            closes, last = closes + closes[last], further
+        held = before[n] - before[last]
+        first = min(n, int(np.searchsorted(total, limit)) + 1)
+        yield pa.RecordBatch.from_pydict({
+            "part": parts[0][0].slice(0, 1).cast(pa.int32()), "total": pa.array([float(total[-1])]),
+            "sums": pa.array([total[:first].tobytes()], pa.binary()), "held": pa.array([held[1:first + 1].tobytes()], pa.binary()),
+            "closes": pa.array([closes[1:first + 1].tobytes()], pa.binary())})
+    return run
+
+
+def _composed(limit: float) -> Callable:
+    """(part, held, closed): what is held, and how many groups have closed, where each range begins."""
+    def run(batches):
+        held, closed = 0.0, 0
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                found.append((row["part"], held, closed))
+                sums, ends, closes = (np.frombuffer(row[c], t) for c, t in (("sums", float), ("held", float), ("closes", np.int64)))
+                first = int(np.searchsorted(sums, limit - held))
+                if first < len(sums):
+                    held, closed = float(ends[first]), closed + 1 + int(closes[first])
+                else:
+                    held += row["total"]
+            part, carry, number = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "held": pa.array(carry, pa.float64()),
+                                              "closed": pa.array(number, pa.int64())})
+    return run
+
+
+def _numbered(limit: float, begins: dict, output: str) -> Callable:
+    """The rows with their group; `begins` tells held and closed for the begin of each range."""
+    def run(batches):
+        state = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if state is None:
+                state = begins[batch.column("__part")[0].as_py()]
+            held, closed = state
+            rows, held = _closes(batch.column("__amount").to_numpy(zero_copy_only=False), limit, held)
+            ends = np.zeros(batch.num_rows + 1, np.int64)
+            ends[np.array(rows, np.int64) + 1] = 1
+            groups = closed + np.cumsum(ends)[:-1]
+            state = held, closed + len(rows)
+            kept = batch.drop_columns(["__part", "__amount"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(groups)], names=[*kept.schema.names, output])
+    return run
+
+
 def closing_groups(df: DataFrame, order: Sequence, size: str, limit: int, output: str) -> DataFrame:
     """0-based group of each row when rows are appended in a total `order` and a group closes once its
-    sizes add up to `limit` or more.
+    sizes add up to `limit` or more. Sizes are taken as 0 when null and must not be negative.
 
-    From running sums every row knows the row after which a group that begins with it would close, and
-    so the first row of the next group. The rows that begin a group are those that can be reached from
-    the first one; the set doubles with every round. Sizes are taken as 0 when null and must not be
-    negative.
+    Up to the limit of hot groups the rows are sorted in one task. Above it they are sorted in ranges; each
+    range publishes how it turns what is held before it into what is held after it, one small task composes
+    these functions in order, and every range then numbers its own rows. The number of jobs does not grow with the rows.
     """
-    amount = F.coalesce(F.col(size).cast("double"), F.lit(0.0))
-    n = df.count()
-    placed = positions(df, [], order, "__pos", largest=n)
-    placed = running(placed, [], ["__pos"], amount, "__cum", largest=n)
-    steps = compute_once(placed.select("__pos", "__cum", (F.col("__cum") - amount).alias("__before")))
-    # one sorted pass tells for every bound the first row whose running sum reaches it
-    bounds = steps.select((F.col("__before") + F.lit(float(limit))).alias("v"), F.lit(1).alias("asks"), F.col("__pos").alias("p"))
-    values = steps.select(F.col("__cum").alias("v"), F.lit(0).alias("asks"), F.col("__pos").alias("p"))
-    reach = F.when(F.col("asks") == 0, F.col("p"))
-    # descending: at equal values the rows that reach the bound come before the one that asks
-    ranked = running(bounds.unionByName(values).withColumn("__down", -F.col("v")), [], ["__down", "asks", "p"], reach, "close", how="min", largest=2 * n)
-    jump = compute_once(ranked.filter("asks = 1 and close is not null").select(
-        F.col("p").alias("at"), (F.greatest("close", "p") + 1).alias("next")))
-    heads = df.sparkSession.createDataFrame([(1,)], "at bigint")
-    known = 1
-    while True:
-        further = heads.join(jump, "at").select(F.col("next").alias("at"))
-        heads = compute_once(heads.unionByName(further).distinct())
-        count = heads.count()
-        if count == known:
-            break
-        known = count
-        twice = jump.select(F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = compute_once(jump.join(twice, "next").select("at", F.col("far").alias("next")))
-    marked = lookup_join(placed, heads.select(F.col("at").alias("__pos"), F.lit(1).alias("__head")), ["__pos"])
-    marked = running(marked, [], ["__pos"], F.coalesce("__head", F.lit(0)), "__n", largest=n)
-    return marked.withColumn(output, (F.col("__n") - 1).cast("bigint")).drop("__pos", "__cum", "__head", "__n")
+    rows = df.drop(output).withColumn("__amount", F.coalesce(F.col(size).cast("double"), F.lit(0.0)))
+    schema = T.StructType([*df.drop(output).schema.fields, T.StructField(output, T.LongType())])
+    if df.count() <= hot_rows(df.sparkSession):
+        begins = {0: (0.0, 0)}
+        parts = rows.repartition(1).sortWithinPartitions(*order).withColumn("__part", F.lit(0))
+    else:
+        parts = stable(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("__part", F.spark_partition_id())
+        functions = parts.select("__part", "__amount").mapInArrow(
+            _transfer(float(limit)), "part int, total double, sums binary, held binary, closes binary")
+        composed = functions.repartition(1).sortWithinPartitions("part").mapInArrow(
+            _composed(float(limit)), "part int, held double, closed long")
+        begins = {r.part: (r.held, r.closed) for r in composed.collect()}  # one row per range
+    return parts.mapInArrow(_numbered(float(limit), begins, output), schema)

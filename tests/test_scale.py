@@ -1,5 +1,8 @@
 """The paths for hot groups must give the same rows as plain windows."""
 
+import random
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -114,6 +117,48 @@ def test_closing_groups(spark, hot):
     assert scale.closing_groups(df.limit(0), ["k"], "n", 5, "shard").count() == 0
 
 
+def jobs(spark, work):
+    """How many jobs a call runs."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+
+
+def closed(sizes, limit):
+    expected, shard, held = [], 0, 0
+    for i, n in sizes:
+        expected.append((i, shard))
+        held += n or 0
+        if held >= limit:
+            shard, held = shard + 1, 0
+    return expected
+
+
+@pytest.mark.parametrize("limit", [0, 1, 7, 60, 301, 5000])
+def test_groups_close_across_ranges(spark, limit):
+    draw = random.Random(limit)
+    sizes = [(i, draw.choice([0, 0, None, 1, 5, 40, 300])) for i in range(3000)]
+    df = spark.createDataFrame(sizes, "k bigint, n int").withColumn("shard", F.lit("own")).repartition(7)
+    spark.conf.set("corpusloom.hotRows", "100")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out, count = jobs(spark, lambda: scale.closing_groups(df, ["k"], "n", limit, "shard"))
+        assert sorted(tuple(r) for r in out.select("k", "shard").collect()) == closed(sizes, limit)
+    finally:
+        spark.conf.unset("corpusloom.hotRows")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain, few = jobs(spark, lambda: scale.closing_groups(df, ["k"], "n", limit, "shard"))
+    assert sorted(tuple(r) for r in plain.select("k", "shard").collect()) == closed(sizes, limit)
+    # (the runtime re-planner counts every exchange as a job)
+    assert few <= 2 and count <= 8 and out.columns == plain.columns == ["k", "n", "shard"]
+
+
 ODD = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-320, 5e-324, 1.7e308, -1.7e308, 1.0, 1.0, 2.5, -3.0, 1e10, 7.0]
 
 
