@@ -48,11 +48,14 @@ def name_tokens(c, count: int = 4) -> Column:
 
 
 def tokenize_text(c, count: int = 16) -> Column:
-    """Hashed ids of the first `count` whitespace tokens, padded with 0; null gives all zeros."""
-    text = F.regexp_replace(F.lower(as_col(c).cast("string")), "_", " ")
-    parts = F.filter(F.split(text, SPACE_CLASS + "+"), lambda p: p != "")
+    """Hashed ids of the first `count` whitespace tokens, padded with 0; null gives all zeros. A text is
+    read as far as its `count`-th token."""
+    raw = as_col(c).cast("string")
+    gap = SPACE_CLASS[:-1] + "_]"
+    head = F.regexp_extract(raw, f"^(?:{gap}*+{gap.replace('[', '[^', 1)}++){{0,{count}}}+", 0)
+    parts = F.filter(F.split(F.regexp_replace(F.lower(head), "_", " "), SPACE_CLASS + "+"), lambda p: p != "")
     # a cell made of underscores only is kept as one token
-    bare = F.regexp_replace(F.lower(as_col(c).cast("string")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    bare = F.regexp_replace(F.lower(raw), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
     parts = F.when((F.size(parts) == 0) & (bare != ""), F.array(bare)).otherwise(parts)
     ids = F.transform(F.slice(parts, 1, count), hash_token)
     ids = F.coalesce(ids, F.array().cast("array<bigint>"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corpusloom.functions.clock import epoch_micros
-from .scale import lookup_join, running
+from .scale import hot_rows, largest_group, lookup_join, near_first, running
 
 
 def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +129,10 @@ def last_event(df: DataFrame, groups: Sequence[str], order: Sequence[str], kind:
 
 
 def ledger_tail(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """Last `n` rows per group. The rank filter becomes a per-task limit before the shuffle."""
+    """Last `n` rows per group. Up to 1,000 the rank filter becomes a per-task limit before the shuffle; above
+    that, on large groups, rows that lie before the last `n` by the first order column are left out first."""
+    if n > 1000 and largest_group(df, groups) > hot_rows(df.sparkSession):
+        df = near_first(df, groups, order[0], n, descending=True)
     spec = W.partitionBy(*groups).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("__rn", F.row_number().over(spec)).filter(F.col("__rn") <= n).drop("__rn")
 

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from corpusloom.functions.hashing import hash_unit, row_hash
-from .scale import (closing_groups, collect_small, compute_once, hash_cutoffs, hash_positions, lookup_join, positions,
-                    rows_to_local, small_side, top_rows)
+from .scale import (closing_groups, collect_small, compute_once, hash_cutoffs, hash_positions, hot_rows, largest_group,
+                    lookup_join, positions, rows_at_ranks, rows_to_local, small_side, top_rows)
 
 
 @dataclass(frozen=True)
@@ -214,12 +214,17 @@ def sample_episode(df: DataFrame, dataset: Sequence[str], key: Sequence[str], su
 
 def sample_episode_with_replacement(df: DataFrame, dataset: Sequence[str], key: Sequence[str], support: int,
                                     query: int, seed: int = 0) -> DataFrame:
-    """Independent draws: the i-th draw of a dataset is a hashed row index."""
+    """Independent draws: the i-th draw of a dataset is a hashed row index. Of large datasets only the digest
+    buckets that hold a drawn index are moved."""
     sizes = df.groupBy(*dataset).agg(F.count(F.lit(1)).alias("__n"))
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(support + query))))
     bits = F.conv(F.substring(row_hash(seed, F.lit("draw"), *dataset, "draw"), 1, 8), 16, 10).cast("bigint")
     draws = draws.select(*dataset, "draw", (bits % F.col("__n") + 1).alias("__row"))
-    rows = hash_positions(df.withColumn("__digest", row_hash(seed, *key)), dataset, "__digest", "__row")
+    work = df.withColumn("__digest", row_hash(seed, *key))
+    if largest_group(df, dataset) > hot_rows(df.sparkSession):
+        rows = rows_at_ranks(work, list(dataset), "__digest", draws.select(*dataset, "__row").distinct(), "__row")
+    else:
+        rows = hash_positions(work, dataset, "__digest", "__row")
     role = F.when(F.col("draw") <= support, "support").otherwise("query")
     return lookup_join(draws, rows, [*dataset, "__row"], how="inner", checked=True).withColumn("role", role).drop("__row", "__digest")
 

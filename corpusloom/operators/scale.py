@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusloom.functions.clock import epoch_micros
 from corpusloom.functions.hashing import as_col, hash_unit
 from corpusloom.session import stable
 
@@ -216,6 +217,71 @@ def hash_cutoffs(df: DataFrame, groups: Sequence[str], digest: str, bounds: Data
     return picked.groupBy(*groups).agg(*marks) if groups else picked.agg(*marks)
 
 
+#: Buckets of a group in which rows are counted to find ranks, and rows that a bucket should hold at least.
+RANK_BUCKETS, BUCKET_ROWS = 4096, 1000
+
+
+def rows_at_ranks(df: DataFrame, groups: Sequence[str], digest: str, wanted: DataFrame, rank: str) -> DataFrame:
+    """The rows whose 1-based rank by a hex digest is wanted, with the rank; `wanted` has the groups and `rank`,
+    and may be broadcast if it is small.
+
+    Rows are counted per group and digest bucket, so only buckets that hold a wanted rank are moved: at most
+    one in RANK_BUCKETS of a large group for each rank.
+    """
+    sizes = compute_once(df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")))
+    dealt = F.least(F.lit(RANK_BUCKETS), F.greatest(F.lit(1), F.ceil(F.col("__size") / BUCKET_ROWS))).cast("int")
+    work = lookup_join(df, sizes, groups).withColumn("__bucket", F.floor(hash_unit(F.col(digest)) * dealt).cast("int")).drop("__size")
+    inside = [*groups, "__bucket"]
+    counts = work.groupBy(*inside).agg(F.count(F.lit(1)).alias("__n"))
+    counts = running(counts, groups, ["__bucket"], "__n", "__before", inclusive=False, hot=RANK_BUCKETS, largest=RANK_BUCKETS)
+    hits = lookup_join(counts, wanted, groups, how="inner").filter(
+        (F.col(rank) > F.col("__before")) & (F.col(rank) <= F.col("__before") + F.col("__n")))
+    hits = compute_once(hits.select(*inside, "__before").distinct())
+    moved = lookup_join(work, hits, inside, how="inner")
+    place = F.row_number().over(_over(inside, [digest])) + F.col("__before")
+    return moved.withColumn(rank, place.cast("bigint")).drop("__bucket", "__before")
+
+
+def near_first(df: DataFrame, groups: Sequence[str], column: str, n: int, descending: bool = False) -> DataFrame:
+    """Rows that may be among the first `n` of their group by a column of numbers or times: all of them, all that
+    tie with the last, and few others. Nulls come first, NaN last; descending turns both round.
+
+    Two passes count the rows of each group in RANK_BUCKETS steps between its least and its greatest value, and
+    again within the step that holds the `n`-th; then a comparison in place decides. No row is moved. Columns of
+    other types are returned uncut.
+    """
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        key = epoch_micros(column, kind).cast("double")
+    elif isinstance(kind, T.DateType):
+        key = F.unix_date(column).cast("double")
+    elif isinstance(kind, T.NumericType):
+        key = F.col(column).cast("double")
+    else:
+        return df
+    low, high = F.lit(float("-inf")), F.lit(float("inf"))
+    key = F.when(key.isNull(), low).when(F.isnan(key), high).otherwise(key)
+    work = df.withColumn("__key", -key if descending else key)
+    slim = work.select(*groups, "__key")
+    finite = F.when(F.abs("__key") < high, F.col("__key"))
+    state = slim.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
+    # rows still wanted; a group that has no more than `n` rows is not cut
+    state = state.filter(F.col("__n") > n).select(*groups, "__lo", "__hi", F.lit(n).cast("bigint").alias("__left"), low.alias("__from"), high.alias("__to"))
+    for _ in range(2):
+        state = compute_once(state)
+        step = (F.col("__key") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * RANK_BUCKETS
+        bucket = F.when(F.col("__key") == low, -1).when(F.col("__key") == high, RANK_BUCKETS + 1).otherwise(F.coalesce(F.floor(step), F.lit(0)))
+        rows = lookup_join(slim, state, groups, how="inner").filter(F.col("__key").between(F.col("__from"), F.col("__to")))
+        counts = rows.groupBy(*groups, bucket.alias("__bucket")).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__key").alias("__least"), F.max("__key").alias("__most"), F.first("__left").alias("__left"))
+        counts = running(counts, groups, ["__bucket"], "__n", "__before", inclusive=False, hot=RANK_BUCKETS + 3, largest=RANK_BUCKETS + 3)
+        hit = counts.filter((F.col("__before") < F.col("__left")) & (F.col("__before") + F.col("__n") >= F.col("__left")))
+        state = hit.select(*groups, F.col("__least").alias("__lo"), F.col("__most").alias("__hi"),
+                           (F.col("__left") - F.col("__before")).alias("__left"), F.col("__least").alias("__from"), F.col("__most").alias("__to"))
+    kept = lookup_join(work, state.select(*groups, F.col("__hi").alias("__last")), groups)
+    return kept.filter(F.col("__last").isNull() | (F.col("__key") <= F.col("__last"))).drop("__key", "__last")
+
+
 def ordered_windows(df: DataFrame, groups: Sequence[str], order: Sequence, back: int,
                     build: Callable[[W], dict[str, Column]], hot: int | None = None) -> DataFrame:
     """Add window columns that look at most `back` rows behind the current row.

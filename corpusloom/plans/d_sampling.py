@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sampling as ops
-from .registry import query, table
+from .registry import low_limits, query, table
 from .sqltext import unit
 
 
@@ -117,6 +117,21 @@ def d7(spark, sf):
     return out.withColumn("draw", F.col("draw").cast("bigint"))
 
 
+@query("d7_sample_episode_with_replacement_hot", """
+with n as (select user_id, count(*) as n from events group by user_id),
+draws as (select user_id, i as draw, ('0x' || substr(md5('3:draw:' || user_id || ':' || i), 1, 8))::bigint % n + 1 as idx
+  from n, range(1, 9) t(i)),
+indexed as (select user_id, event_id, row_number() over (partition by user_id order by md5('3:' || event_id)) as idx from events)
+select user_id, draw, event_id, case when draw <= 5 then 'support' else 'query' end as role
+from draws join indexed using (user_id, idx)""")
+def d7_hot(spark, sf):
+    """Every dataset takes the path for large ones."""
+    events = table(spark, sf, "events").select("user_id", "event_id")
+    with low_limits(spark, 10):
+        out = ops.sample_episode_with_replacement(events, ["user_id"], ["event_id"], 5, 3, seed=3)
+    return out.withColumn("draw", F.col("draw").cast("bigint"))
+
+
 @query("d8_weighted_order", f"""
 with jobs as (select user_id, round(sum(value), 2) as weight from events group by user_id)
 select user_id, row_number() over (order by -ln(greatest({unit("'5:' || user_id")}, 1e-18)) / greatest(weight, 1e-6), user_id) as position

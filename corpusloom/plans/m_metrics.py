@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as ops
-from .registry import query, table
+from .registry import low_limits, query, table
 from .k_registry import REG_SQL, records
 from .l_budget import NOW
 
@@ -93,6 +93,15 @@ def m7(spark, sf):
     return ops.ledger_tail(events, ["user_id"], ["ts", "event_id"], 5).drop("ts")
 
 
+@query("m7_ledger_tail_long", """
+select g, event_id from (select event_id, event_id % 3 as g, row_number() over (partition by event_id % 3 order by ts desc, event_id desc) as rn from events) where rn <= 1200""")
+def m7_long(spark, sf):
+    """More rows per group than a task keeps by itself."""
+    events = table(spark, sf, "events").select((F.col("event_id") % 3).alias("g"), "event_id", "ts")
+    with low_limits(spark, 100):
+        return ops.ledger_tail(events, ["g"], ["ts", "event_id"], 1200).drop("ts")
+
+
 @query("m7_latest_checkpoint", """
 with s as (select user_id, event_id, case when event_type <> 'error' then 'ckpt_' || (event_id % 500) end as checkpoint_path from events),
 f as (select distinct if(doc_id % 3 = 0, 'ckpt_', 'old_') || doc_id as checkpoint_path from documents)
