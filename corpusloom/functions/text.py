@@ -78,9 +78,10 @@ def category(c) -> Column:
 
 def value_key(c) -> Column:
     """What stands for a cell in value counts and lookups: the text itself, or its md5 when it is
-    long, so that free text is not shuffled as a key. Long numbers stay as they are."""
+    long, so that free text is not shuffled as a key. Long numbers stay as they are; a cell that looks
+    like a key is digested too, so that it cannot equal one."""
     c = as_col(c)
-    plain = (F.length(c) <= KEY_LENGTH) | c.rlike(NUMBER_PATTERN)
+    plain = (F.length(c) <= KEY_LENGTH) & ~c.startswith("md5:") | c.rlike(NUMBER_PATTERN)
     return F.when(plain, c).otherwise(F.concat(F.lit("md5:"), F.md5(c)))
 
 

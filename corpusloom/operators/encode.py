@@ -68,7 +68,7 @@ def build_schema(train: DataFrame, target: str, task: str, numeric: Sequence[str
                  categorical: Sequence[str]) -> FrozenSchema:
     """Fit the frozen schema on the training split. Wordy string columns become text features."""
     features = [*numeric, *categorical]
-    prof = profiles.profile_counts(profiles.value_counts(train, features), [c for c in numeric if isinstance(train.schema[c].dataType, T.NumericType)])
+    prof = profiles.profile_cells(train, features, [c for c in numeric if isinstance(train.schema[c].dataType, T.NumericType)])
     prof = profiles.type_probabilities(prof.withColumn("prefer_numeric", F.col("column").isin(list(numeric))))
     # one row per column
     prof = compute_once(prof)

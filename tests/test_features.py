@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 
@@ -109,6 +110,18 @@ def test_batches(spark):
     assert [len(r.id) for r in out] == [32, 32, 32, 4] and out[1].id[0] == 32
 
 
+def test_cells_that_look_like_keys(spark):
+    long = "z" * 300
+    key = "md5:" + hashlib.md5(long.encode()).hexdigest()
+    df = spark.createDataFrame([(i, [long, key, "a", None][i % 4]) for i in range(400)], "id int, t string")
+    prof = profile.column_profile(df, ["t"]).first()
+    assert (prof.n_distinct, prof.top_count, prof.n_valid) == (3, 100, 300)
+    spec = features.fit_transforms(df, [], ["t"])
+    assert {r.t for r in features.apply_transforms(df, spec).collect()} >= {long, key, "a"}
+    plan = profile.profile_cells(df, ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert all("i#" in line and "t#" not in line for line in plan.splitlines() if "hashpartitioning" in line)
+
+
 def test_long_text_values(spark):
     """Long cells are counted and looked up by key, and come back as they were."""
     words = ["w" * 200, "w" * 199 + "x", "9" * 80, "short"]
