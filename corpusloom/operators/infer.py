@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.text import datetime_or_null, normalize_name
@@ -326,41 +327,60 @@ def temporal_columns(df: DataFrame) -> list[str]:
     return found
 
 
-def _domain_finder():
-    """Arrow function from lower-cased texts to domains: one pass over each text finds all keywords."""
-    domains = [(domain, tuple(words)) for domain, words in DOMAIN_KEYWORDS.items()]
-    kept = {}
-
-    def search():
-        if "search" not in kept:
-            words = sorted({w for _, own in domains for w in own})
-            try:
-                import ahocorasick
-            except ModuleNotFoundError:  # without the automaton each keyword is looked for by itself
-                kept["search"] = lambda text: {w for w in words if w in text}
-            else:
-                automaton = ahocorasick.Automaton()
-                for word in words:
-                    automaton.add_word(word, word)
-                automaton.make_automaton()
-                kept["search"] = lambda text: {word for _, word in automaton.iter(text)}
-        return kept["search"]
-
-    def domain_of(text) -> str:
-        found = search()(text) if text else ()
-        scores = [sum(w in found for w in own) for _, own in domains] if found else [0]
-        best = max(scores)
-        return domains[scores.index(best)][0] if best else "unknown"
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(domain_of)
-    return run
+class KeywordFinder:
+    """Which keywords each text of a batch holds, by steps over all bytes of the batch at once: places where
+    the first two bytes of a keyword stand, of these the ones with its next byte, and so on."""
+
+    PIECE = 4 << 20
+
+    def __init__(self, words: Sequence[str]) -> None:
+        self.words = [w.encode() for w in words]
+        self.pairs: dict[int, list[int]] = {}
+        for i, word in enumerate(self.words):
+            self.pairs.setdefault(word[0] | word[1] << 8, []).append(i)
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[list(self.pairs)] = True
+
+    def held(self, texts: pa.Array) -> np.ndarray:
+        """A row per text and a column per keyword."""
+        out = np.zeros((len(texts), len(self.words)), bool)
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[:offsets[-1] if len(texts) else 0]
+        first = offsets[0] if len(texts) else 0
+        for at in range(first, len(data), self.PIECE):
+            # pieces overlap by the longest keyword
+            piece = data[at:at + self.PIECE + max(map(len, self.words))]
+            two = piece[:-1].astype(np.uint16) | piece[1:].astype(np.uint16) << 8
+            places = np.flatnonzero(self.begins[two])
+            codes = two[places]
+            for code, own in self.pairs.items():
+                here = places[codes == code]
+                for i in own:
+                    word = self.words[i]
+                    hit = here[here + len(word) <= len(piece)]
+                    for step in range(2, len(word)):
+                        hit = hit[piece[hit + step] == word[step]]
+                    text = np.searchsorted(offsets, hit + at, "right") - 1
+                    inside = hit + at + len(word) <= offsets[text + 1]
+                    out[text[inside], i] = True
+        return out
 
 
 def classify_domain(df: DataFrame, text: str, output: str = "domain") -> DataFrame:
     """Domain with the most keywords inside `text`; the whole text is searched, once. Of equal scores
     the first domain wins; a text without any keyword, or null, is `unknown`."""
-    return df.withColumn(output, F.pandas_udf(_domain_finder(), "string")(F.lower(F.col(text))))
+    words = sorted({w for own in DOMAIN_KEYWORDS.values() for w in own})
+    member = np.array([[w in own for own in DOMAIN_KEYWORDS.values()] for w in words], np.int64)
+    names = pa.array([*DOMAIN_KEYWORDS, "unknown"])
+
+    @F.arrow_udf("string")
+    def domain_of(texts: pa.Array) -> pa.Array:
+        scores = KeywordFinder(words).held(texts) @ member
+        best = np.where(scores.max(axis=1, initial=0) > 0, scores.argmax(axis=1), len(names) - 1)
+        return names.take(pa.array(best))
+
+    return df.withColumn(output, domain_of(F.lower(F.col(text))))
 
 
 def validate_table(df: DataFrame, order: Sequence[str] = (), sample_rows: int | None = None) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,16 @@ def test_profile_of_empty_column(spark):
     df = spark.createDataFrame([(None, 1.0)] * 4, "a string, b double")
     row = profile.column_profile(df).filter("column = 'a'").first()
     assert (row.missing_ratio, row.unique_ratio, row.top_frequency_ratio, row.avg_string_length) == (1.0, 0.0, 0.0, 0.0)
+
+
+def test_keywords_at_borders(spark):
+    draw = random.Random(3)
+    words = ["ab", "abc", "bca", "cabc", "ü", "aüb", "x" * 9]
+    words = [w for w in words if len(w.encode()) > 1]
+    texts = ["".join(draw.choice(["a", "b", "c", "ü", "x" * 4, "abc"]) for _ in range(draw.randrange(30))) for _ in range(500)] + ["", None, "x" * 50]
+    finder = infer.KeywordFinder(words)
+    want = [[w in (t or "") for w in words] for t in texts]
+    assert finder.held(pa.array(texts)).tolist() == want
+    finder.PIECE = 7
+    assert finder.held(pa.array(texts).slice(3, 400)).tolist() == want[3:403]
+    assert finder.held(pa.array([], pa.string())).shape == (0, len(words))
