@@ -57,10 +57,18 @@ def n3(spark, sf):
     return ops.run_available(stream, *ops.work_paths(spark, "n3"))
 
 
-@query("n4_buffer_shuffle", "select event_id, value, row_number() over (order by md5('3:' || event_id)) as position from events")
+@query("n4_buffer_shuffle", """
+with i as (select event_id, value, row_number() over (order by event_id) - 1 as i from events),
+s as (select *, if(i < 1000, i, ('0x' || substr(md5('3:' || i), 1, 13))::bigint % 1000) as slot from i),
+n as (select *, lead(i) over (partition by slot order by i) as nxt, count(*) over () as n from s)
+select event_id, value, nxt - 1000 + 1 as position from n where nxt is not null
+union all select event_id, value, greatest(n - 1000, 0) + row_number() over (order by md5('3:last:' || i)) from n where nxt is null""")
 def n4(spark, sf):
-    stream = events_stream(spark, sf).select("event_id", "value")
-    return ops.buffer_shuffle(stream, ["event_id"], *ops.work_paths(spark, "n4"), seed=3).select("event_id", "value", "position")
+    source, checkpoint = ops.work_paths(spark, "n4")
+    events = table(spark, sf, "events").select("event_id", "value")
+    events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(source)
+    stream = ops.stream_source(spark, source, events.schema)
+    return ops.buffer_shuffle(stream, ["event_id"], ops.work_paths(spark, "n4-out")[0], checkpoint, seed=3, size=1000)
 
 
 @query("n5_bootstrap_sample", """

@@ -19,8 +19,8 @@ from corpusloom.operators.infer import Target, resolve_target
 from corpusloom.operators.columns import keep_scalar_columns
 from corpusloom.operators.registry import registry_upsert
 from corpusloom.operators.sampling import fixed_size_sample
-from corpusloom.operators.scale import hash_positions, lookup_join
-from corpusloom.session import new_run_dir
+from corpusloom.operators.scale import lookup_join, positions
+from corpusloom.session import new_run_dir, stable
 
 
 def stream_source(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -117,6 +117,10 @@ class LiveTable:
         stamped = rows.select(*self.schema.names).withColumn("__batch", F.lit(batch_id).cast("bigint"))
         stamped.write.mode("overwrite").parquet(f"{self.path}/slot={batch_id % 2}")
 
+    def start(self) -> None:
+        """An empty table that can be read before the first batch."""
+        self.spark.createDataFrame([], self.stored).write.mode("ignore").parquet(f"{self.path}/slot=none")
+
     def before(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
             return self.spark.createDataFrame([], self.schema)
@@ -146,19 +150,43 @@ def skip_and_limit(df: DataFrame, offset: str, skip: int = 0, limit: int | None
     return out if limit is None else out.filter(F.col(offset) < skip + limit)
 
 
-def buffer_shuffle(stream: DataFrame, key: Sequence[str], path: str, checkpoint: str, seed: int = 0) -> DataFrame:
-    """Hash order inside each micro-batch, whose size the source bounds. Writes one folder per
-    batch with the position of each row."""
-    def handle(rows: DataFrame, batch_id: int) -> None:
-        shuffled = hash_positions(rows.withColumn("__digest", row_hash(seed, *key)), [], "__digest", "position")
-        shuffled.drop("__digest").write.mode("overwrite").parquet(f"{path}/buffer={batch_id}")
+def buffer_shuffle(stream: DataFrame, order: Sequence[str], path: str, checkpoint: str, seed: int = 0,
+                   size: int = 10_000) -> DataFrame:
+    """Shuffle through a buffer of `size` rows that lives across batches; adds the 1-based `position`.
 
+    The first rows fill the slots of the buffer; every later row goes to a hashed slot, and the row that was
+    there comes out. So a row comes out when its slot is next hit: a look ahead within the slot, which all
+    slots do at once. Rows whose slot was not hit yet are the buffer, and the only state. What is still
+    there when the stream ends comes out last, in hash order. Rows arrive in `order`, which must be total,
+    and batches in the order of their rows; the result does not depend on where batches end.
+    """
+    spark, index = stream.sparkSession, "__index"
+    columns = stream.columns
+    kind = T.StructType([*stream.schema.fields, T.StructField(index, T.LongType())])
+    buffer = LiveTable(spark, f"{path}/held", kind)
+    out = T.StructType([*stream.schema.fields, T.StructField("position", T.LongType())])
     # an empty first part, so that the folder exists even if the stream has no rows
-    spark = stream.sparkSession
-    empty = spark.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("position", T.LongType())]))
-    empty.write.mode("overwrite").parquet(f"{path}/buffer=-1")
+    spark.createDataFrame([], out).write.mode("ignore").parquet(f"{path}/out/buffer=-1")
+    buffer.start()
+    hashed = F.conv(F.substring(row_hash(seed, index), 1, 13), 16, 10).cast("bigint") % size
+    slot = F.when(F.col(index) < size, F.col(index)).otherwise(hashed)
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        held = buffer.before(batch_id)
+        seen = held.agg(F.coalesce(F.max(index) + 1, F.lit(0))).first()[0]  # the latest row is always held
+        placed = positions(rows, [], list(order), index).withColumn(index, F.col(index) - 1 + seen)
+        both = stable(held.unionByName(placed).withColumn(
+            "__next", F.lead(index).over(Window.partitionBy(slot).orderBy(index))))
+        leaving = both.filter("__next IS NOT NULL").withColumn("position", F.col("__next") - size + 1)
+        leaving.select(*columns, "position").write.mode("overwrite").parquet(f"{path}/out/buffer={batch_id}")
+        buffer.write(both.filter("__next IS NULL").select(*columns, index), batch_id)
+
     run_batches(stream, handle, checkpoint)
-    return spark.read.parquet(path)
+    held = buffer.current()
+    before = F.greatest(F.max(index).over(Window.partitionBy()) + 1 - size, F.lit(0))
+    last = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(row_hash(seed, F.lit("last"), index)))  # at most `size` rows
+    rest = held.withColumn("position", (before + last).cast("bigint")).select(*columns, "position")
+    return spark.read.schema(out).option("recursiveFileLookup", True).parquet(f"{path}/out").unionByName(rest)
 
 
 def bootstrap_sample(stream: DataFrame, n: int, key: Sequence[str], path: str, checkpoint: str, seed: int = 0,

@@ -1,5 +1,7 @@
 """Streams over several batches and restarts must equal the batch result."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -94,15 +96,37 @@ def test_upsert_and_counters_over_restarts(spark):
     assert again.count() == 7
 
 
-def test_bounded_triggers(spark):
-    df = spark.range(60).withColumn("p", F.col("id") % 3)
-    source, checkpoint = ops.work_paths(spark, "bounded")
-    for i in range(3):
-        df.filter(F.col("p") == i).coalesce(1).write.mode("append").parquet(source)
-    out_path, _ = ops.work_paths(spark, "bounded-out")
-    out = ops.buffer_shuffle(ops.stream_source(spark, source, df.schema, max_files=1), ["id"], out_path, checkpoint)
-    assert out.select("buffer").distinct().count() == 3
-    assert out.groupBy("buffer").agg(F.max("position").alias("m")).filter("m = 20").count() == 3
+def buffered(n, size, seed):
+    """The rows 0 … n - 1 in the order in which a buffer lets them out."""
+    def number(*parts):
+        return hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()
+    held, out = {}, []
+    for i in range(n):
+        slot = i if i < size else int(number(i)[:13], 16) % size
+        if slot in held:
+            out.append(held[slot])
+        held[slot] = i
+    return out + sorted(held.values(), key=lambda i: number("last", i))
+
+
+@pytest.mark.parametrize("cuts", [[], [40], [3, 10, 11, 90, 91, 199]])
+def test_buffer_lives_across_batches(spark, cuts):
+    source, checkpoint = ops.work_paths(spark, "buffer")
+    path, _ = ops.work_paths(spark, "buffer-out")
+    edges = [0, *cuts, 200]
+    for a, z in zip(edges, edges[1:]):  # every part is a batch after a restart
+        spark.range(a, z).withColumn("x", F.lit(1)).coalesce(1).write.mode("append").parquet(source)
+        out = ops.buffer_shuffle(ops.stream_source(spark, source, "id bigint, x int"), ["id"], path, checkpoint, seed=4, size=25)
+        assert [r.id for r in out.orderBy("position").collect()] == buffered(z, 25, 4)
+    assert [r.position for r in out.orderBy("position").collect()] == list(range(1, 201))
+    assert out.columns == ["id", "x", "position"]
+    assert max(spark.read.parquet(f"{path}/held/slot={i}").count() for i in (0, 1) if i < len(edges) - 1) <= 25
+
+
+def test_empty_buffer(spark):
+    source, checkpoint = ops.work_paths(spark, "no-buffer")
+    spark.createDataFrame([], "id bigint").write.parquet(source)
+    assert ops.buffer_shuffle(ops.stream_source(spark, source, "id bigint"), ["id"], ops.work_paths(spark, "no-buffer-out")[0], checkpoint).count() == 0
 
 
 def test_bootstrap(spark):
