@@ -91,9 +91,9 @@ def d4(spark, sf):
 
 
 @query("d5_fixed_size_sample", """
-select event_id, value from events order by md5('42:' || event_id) limit 500""")
+select event_id, value from events order by md5('42:' || event_id) limit 5000""")
 def d5(spark, sf):
-    return ops.fixed_size_sample(table(spark, sf, "events").select("event_id", "value"), 500, ["event_id"])
+    return ops.fixed_size_sample(table(spark, sf, "events").select("event_id", "value"), 5000, ["event_id"])
 
 
 @query("d6_sample_episode", """
@@ -104,6 +104,14 @@ def d6(spark, sf):
     return ops.sample_episode(events, ["user_id"], ["event_id"], 8, 4, seed=3)
 
 
+@query("d6_sample_episode_large", """
+select l_returnflag, l_orderkey, l_linenumber, case when rn <= 800 then 'support' else 'query' end as role
+from (select *, row_number() over (partition by l_returnflag order by md5('4:' || l_orderkey || ':' || l_linenumber)) as rn from lineitem) where rn <= 1200""")
+def d6_large(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return ops.sample_episode(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber"], 800, 400, seed=4)
+
+
 @query("d7_sample_episode_with_replacement", """
 with n as (select user_id, count(*) as n from events group by user_id),
 draws as (select user_id, i as draw, ('0x' || substr(md5('3:draw:' || user_id || ':' || i), 1, 8))::bigint % n + 1 as idx

@@ -80,18 +80,20 @@ def f4(spark, sf):
 
 
 @query("f5_encode_categorical", f"""
-with {EV_SQL}, vb as (select v, row_number() over (order by v) as i from (select distinct coalesce(bucket, '__MISSING__') as v
-    from ev where event_id % 3 = 0)),
-vp as (select v, row_number() over (order by v) as i from (select distinct props as v from ev where event_id % 3 = 0))
+with {EV_SQL}, vb as (select v, row_number() over (order by v) as i from (select distinct coalesce(bucket, '__MISSING__') as v from ev)),
+vp as (select v, row_number() over (order by v) as i from (select distinct props as v from ev)),
+late as (select event_id, if(event_id % 3 = 0, 'new ' || bucket, bucket) as bucket, if(event_id % 4 = 0, 'new ' || props, props) as props from ev)
 select event_id, coalesce(vb.i, 0) as bucket, coalesce(vp.i, 0) as props,
   coalesce((select i from vb where v = '__MISSING__'), 0) as absent
-from ev left join vb on vb.v = coalesce(bucket, '__MISSING__') left join vp on vp.v = props""")
+from late left join vb on vb.v = coalesce(bucket, '__MISSING__') left join vp on vp.v = props""")
 def f5(spark, sf):
     df = sample_events(spark, sf).select("event_id", "bucket", "props", "event_type")
-    fit = df.filter("event_id % 3 = 0").withColumn("absent", F.col("bucket"))
-    vocabulary = ordered_codes(fit, ["bucket", "props", "absent"], missing="__MISSING__")
+    vocabulary = ordered_codes(df.withColumn("absent", F.col("bucket")), ["bucket", "props", "absent"], missing="__MISSING__")
     schema = ops.FrozenSchema("none", "regression", categorical=["bucket", "props", "absent"], vocabulary=vocabulary)
-    out = ops.encode(df, schema, keep=["event_id"])
+    # rows that come later hold values that the vocabulary has not seen
+    late = df.withColumns({"bucket": F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("new "), "bucket")).otherwise(F.col("bucket")),
+                           "props": F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("new "), "props")).otherwise(F.col("props"))})
+    out = ops.encode(late, schema, keep=["event_id"])
     return out.select("event_id", *[F.col("x_cat")[i].alias(c) for i, c in enumerate(schema.categorical)])
 
 
