@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.base import query, table
 from corpusloom.llm.blocks import share, shared_thing, text_bytes
 
+#: Pieces of more bytes are merged in packed arrays.
+LONG_PIECE = 1 << 14
 #: Pieces of up to so many bytes are remembered, twice so many at most at a time.
 REMEMBERED_BYTES, REMEMBERED = 64, 200_000
 
@@ -40,6 +43,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n > LONG_PIECE:
+        return merge_long_piece(piece, ranks)
     none = len(ranks) << 32
     size = 1 << (n - 1).bit_length()
     following = list(range(1, n + 1))  # start of the next live token; n is the end
@@ -91,6 +96,65 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merge_long_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a piece of many bytes, in about 20 bytes of memory for each: the tree holds ranks
+    only, and the leftmost best leaf is found on the way down from the root."""
+    get, n = ranks.get, len(piece)
+    none = max(ranks.values()) + 1
+    size = 1 << (n - 1).bit_length()
+    data = np.frombuffer(piece, np.uint8)
+    pairs = np.full((256, 256), none, np.int32)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            pairs[token[0], token[1]] = rank
+    # nodes, then the leaves of the positions that there are; all other leaves would never be the best
+    nodes = np.full(size + n + 1, none, np.int32)
+    nodes[size:size + n - 1] = pairs[data[:-1], data[1:]]
+    level, width = size, n + 1
+    while level > 1:
+        width = (width + 1) // 2
+        low = nodes[level:min(2 * level, len(nodes))][:2 * width]
+        low = np.append(low, np.full(2 * width - len(low), none, np.int32))
+        level //= 2
+        nodes[level:level + min(width, level)] = low.reshape(-1, 2).min(1)[:level]
+    tree = array("i", nodes.tobytes())
+    last = len(tree) - 1
+    del nodes
+    following, previous = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    while (best := tree[1]) < none:
+        node = 1
+        while node < size:
+            node *= 2
+            node += tree[node] != best
+        i = node - size
+        j = following[i]
+        k = following[j]
+        following[i] = k
+        if k < n:
+            previous[k] = i
+        h = previous[i]
+        for leaf, value in ((j, none), (i, get(piece[i:following[k]], none) if k < n else none),
+                            (h, get(piece[h:k], none) if h >= 0 else none)):
+            if leaf < 0:
+                continue
+            node = size + leaf
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1] if node ^ 1 <= last else none
+                if other < value:
+                    value = other
+                node >>= 1
+                if tree[node] == value:
+                    break
+                tree[node] = value
+    out, i = [], 0
+    while i < n:
+        k = following[i]
+        out.append(ranks[piece[i:k]])
+        i = k
+    return out
+
+
 class _Pieces(dict):
     """Packed ids of pieces that were seen. Full memories become the older half, which is asked before
     a piece is merged again, and the half before that is forgotten."""

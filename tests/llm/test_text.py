@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -62,6 +63,24 @@ def automaton(history: list, counts: list[Counter], texts_: int, n: int, v: int,
     return back + math.log10((counts[0][(token,)] + 1) / (n + v + 1))
 
 
+def test_long_pieces_in_packed_arrays(monkeypatch):
+    ranks, draw = byte_bpe.load_ranks(PATH), random.Random(8)
+    pieces = ["".join(draw.choice(letters) for _ in range(n)).encode() for letters in ("ab", "the and ing", "aé\u4e2d\U0001f600x")
+              for n in (2, 3, 7, 8, 15, 16, 17, 31, 64, 65, 500, 2000)] + [b"a" * 4096, b"ab" * 1024]
+    for piece in pieces:
+        if piece not in ranks:
+            assert byte_bpe.merge_long_piece(piece, ranks) == byte_bpe.merge_piece(piece, ranks)
+    few = {bytes([i]): i for i in range(256)}
+    assert byte_bpe.merge_long_piece(bytes(range(256)) * 3, few) == list(range(256)) * 3
+    word = "".join(draw.choice("etaoinshr") for _ in range(60_000))
+    assert byte_bpe.merge_piece(word.encode(), ranks) == library().encode_ordinary(word)
+    tracemalloc.start()
+    byte_bpe.merge_long_piece(word.encode(), ranks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 60_000  # with the ids, which are a list
+
+
 def test_scores_equal_a_walk_through_the_automaton(spark):
     held = {i for i in range(20) if zlib.crc32(str(i).encode()) % 7 == 2}
     for order, block_bytes in ((2, None), (3, 3000)):
