@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs are set so that good documents are rejected rarely, with proof.
 
-Base rules are fixed. Three more rules compare a ratio with a cutoff of its own for each stratum. A
-cutoff is chosen on labelled documents (the holdout; nothing else is fitted): of the allowed false
-rejection ALPHA each rule may use a third. From the mildest to the strictest cutoff of a fixed
-list, the number k of n good documents that the cutoff rejects is tested: if fewer than k + 1
-rejections had a probability of at most d at the allowed rate (exact binomial tail), the rate is
-below it. The first failure ends the sequence (fixed-sequence testing, so that no correction among
-cutoffs is due), and d = DELTA / (rules * strata) corrects for the other sequences (Bonferroni). With
-probability 1 - DELTA no stratum loses more than ALPHA of its good documents to these rules.
+Base rules are fixed. Three more rules compare a ratio with a cutoff of its own for each stratum. The
+cutoffs are chosen on labelled documents (the holdout; nothing else is fitted). A stratum goes through
+one list of settings, from no rule to all rules at their strictest: each step adds or tightens one cutoff.
+At every step the number k of n good texts that any cutoff set so far rejects is tested: if k or fewer
+rejections had a probability of at most DELTA / strata at the rate ALPHA (exact binomial tail), the rate of
+all rules together is below ALPHA. The first failure ends the list (fixed-sequence testing, so that no
+correction among steps and rules is due), and the division by the number of strata corrects for the other
+lists (Bonferroni). With probability 1 - DELTA no stratum loses more than ALPHA of its good texts to these
+rules. A trial is a text: equal texts of a stratum count once. Near copies count each, so the bound is about
+texts drawn independently.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +36,12 @@ MANY_WORDS = 200_000
 ALPHA, DELTA = 0.01, 0.05
 #: Named strata; all other languages, and none, form the last one.
 STRATA = ("de", "en", "es", "fr")
-#: Ratio of each rule, and its cutoffs from the mildest on: a document fails above the cutoff.
+#: Ratio of each rule, and its cutoffs from the mildest on: a document fails above the cutoff. The rules are
+#: tightened in this order, each to its end; the bound decides where a stratum stops.
 RULES = {
-    "symbols": ("n_symbols / greatest(n_words, 1)", (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.18, 0.16, 0.14, 0.12, 0.1)),
-    "lines": ("n_dup_lines / greatest(n_words, 1)", (0.2, 0.15, 0.1)),
+    "symbols": ("n_symbols / greatest(n_words, 1)", (1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02)),
+    "lines": ("n_dup_lines / greatest(n_words, 1)", (0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.04, 0.02)),
 }
 
 
@@ -92,17 +96,19 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def counter(batches):
     for batch in batches:
-        found = [text_counts(text) for text in batch.column("data").to_pylist()]
+        texts = batch.column("data").to_pylist()
+        found = [text_counts(text) for text in texts]
         columns = list(zip(*found)) if found else [[]] * len(COUNTS)
         yield pa.RecordBatch.from_pydict({
-            "row": batch.column("row"), **{n: pa.array(c, pa.int64()) for n, c in zip(COUNTS, columns)}})
+            "row": batch.column("row"), "digest": pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+            **{n: pa.array(c, pa.int64()) for n, c in zip(COUNTS, columns)}})
 
 
 def count_texts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """row (the columns `keep`) and the counts of every whole text; a null text is empty."""
+    """row (the columns `keep`), digest and the counts of every whole text; a null text is empty."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_bytes(F.col(text)).alias("data"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(counter, f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(counter, f"row {kind}, digest binary, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -115,44 +121,61 @@ def stratum(lang: Column) -> Column:
 
 
 def at_most(k: int, n: int, p: float) -> float:
-    """Probability of k or fewer successes in n trials, summed exactly in logarithms."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-            for i in range(k + 1)]
-    top = max(logs)
-    return math.exp(top) * sum(math.exp(x - top) for x in logs)
+    """Probability of k or fewer successes in n trials: exact terms from k downwards, until they add nothing."""
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    total, term, i, odds = 1.0, 1.0, k, (1 - p) / p
+    while i > 0:
+        term *= i * odds / (n - i + 1)
+        total += term
+        i -= 1
+        if term < 1e-18 * total and i * odds < n - i + 1:  # terms only shrink from here on
+            break
+    return math.exp(log + math.log(total))
 
 
 def safe_cutoffs(counts: dict, alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES,
                  strata: tuple = (*STRATA, "other")) -> dict:
-    """{(stratum, rule): cutoff} from {stratum: (n, {rule: [rejected per cutoff]})}; no entry: no safe cutoff."""
-    share, level = alpha / len(rules), delta / (len(rules) * len(strata))
+    """{(stratum, rule): cutoff}; no entry: the rule does not work there.
+
+    `counts` holds {stratum: (n, {rule: [rejected]})}: good texts, and those rejected by any cutoff up to each step.
+    """
+    level = delta / len(strata)
     chosen = {}
     for group in strata:
         n, rejected = counts.get(group, (0, {}))
-        for rule, (_, cutoffs) in rules.items():
-            for cutoff, k in zip(cutoffs, rejected.get(rule, [0] * len(cutoffs))):
-                # k above the mean can only fail; the check keeps the sum short
-                if k >= share * n or at_most(k, n, share) > level:
-                    break
-                chosen[group, rule] = cutoff
+        for rule, cutoff, k in [(r, c, k) for r, (_, cutoffs) in rules.items() for c, k in zip(cutoffs, rejected.get(r, ()))]:
+            # k above the mean can only fail
+            if k >= alpha * n or at_most(k, n, alpha) > level:
+                break
+            chosen[group, rule] = cutoff
     return chosen
 
 
+def steps(rules: dict = RULES) -> dict:
+    """{(rule, place): SQL condition} of the texts that any cutoff up to this step rejects."""
+    before, out = [], {}
+    for rule, (ratio, cutoffs) in rules.items():
+        for i, cutoff in enumerate(cutoffs):
+            out[rule, i] = " or ".join([*before, f"{ratio} > {cutoff}D"])
+        before.append(f"{ratio} > {cutoffs[-1]}D")
+    return out
+
+
 def fit_cutoffs(counted: DataFrame, labels: DataFrame, id_col: str, lang: str, alpha: float = ALPHA,
                 delta: float = DELTA) -> dict:
     """Cutoffs from the good documents among the labelled ones that pass the base rules.
 
-    Documents with equal counts in a stratum are one trial: copies are not independent. Labels that
-    contradict each other count as bad. One small row per stratum comes back to the driver.
+    Equal texts in a stratum are one trial: copies are not independent. Labels that contradict each other
+    count as bad. One small row per stratum comes back to the driver.
     """
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good")) \
         .filter(F.col("__good") == 1).select(F.col("doc_id").alias("__id"))
-    kept = counted.select(F.col(f"row.`{id_col}`").alias("__id"), stratum(F.col(f"row.`{lang}`")).alias("__stratum"), *COUNTS)
-    trials = kept.filter(~base_failed()).join(good, "__id").select("__stratum", *COUNTS).distinct()
+    kept = counted.select(F.col(f"row.`{id_col}`").alias("__id"), stratum(F.col(f"row.`{lang}`")).alias("__stratum"),
+                          "digest", *COUNTS)
+    trials = kept.filter(~base_failed()).join(good, "__id").select("__stratum", "digest", *COUNTS).distinct()
     facts = trials.groupBy("__stratum").agg(
         F.count(F.lit(1)).alias("__n"),
-        *[F.count_if(F.expr(ratio) > cutoff).alias(f"{rule}_{i}")
-          for rule, (ratio, cutoffs) in RULES.items() for i, cutoff in enumerate(cutoffs)])
+        *[F.count_if(F.expr(rejects)).alias(f"{rule}_{i}") for (rule, i), rejects in steps().items()])
     counts = {r["__stratum"]: (r["__n"], {rule: [r[f"{rule}_{i}"] for i in range(len(cutoffs))]
                                          for rule, (_, cutoffs) in RULES.items()}) for r in facts.collect()}
     return safe_cutoffs(counts, alpha, delta)

@@ -156,6 +156,81 @@ def test_cutoffs_are_safe_and_exact():
     assert wrong <= 0.05 * 2000
 
 
+def test_no_stratum_loses_more_than_allowed():
+    """The whole procedure: true loss of all chosen cutoffs together, over many drawn holdouts."""
+    rules, strata = {"r": ("x", (3, 2, 1)), "s": ("y", (3, 2, 1))}, ("a", "b", "c")
+    # chance of a good text to be rejected by the cutoffs up to each step, a little below and above the limit
+    true = {"a": [0.0, 0.002, 0.011, 0.012, 0.02, 0.05], "b": [0.0101] * 6, "c": [0.0, 0.0, 0.001, 0.0105, 0.0105, 0.011]}
+    draw, broken, used = np.random.default_rng(3), 0, 0
+    for _ in range(1500):
+        counts = {}
+        for group, rates in true.items():
+            ks = (draw.random(2500)[:, None] < np.array(rates)).sum(axis=0).tolist()  # nested, as the steps are
+            counts[group] = (2500, {"r": ks[:3], "s": ks[3:]})
+        chosen = quality_rules.safe_cutoffs(counts, 0.01, 0.05, rules, strata)
+        used += ("a", "r") in chosen
+        broken += any(rate_reached(chosen, g, rules, true[g]) > 0.01 for g in strata)
+    assert used == 1500 and broken <= 0.05 * 1500
+
+
+def rate_reached(chosen, group, rules, rates):
+    done = -1
+    for k, (rule, cutoff) in enumerate([(r, c) for r, (_, cutoffs) in rules.items() for c in cutoffs]):
+        if (group, rule) in chosen and chosen[group, rule] <= cutoff:
+            done = k
+    return rates[done] if done >= 0 else 0.0
+
+
+def test_verdicts_where_cutoffs_exist(spark):
+    """700 good texts of one language and 300 of another: only the first has proof, and its verdicts follow."""
+    made, marks = [], []
+    for i in range(1100):
+        words = prose(5000 + i, 40).split()
+        lang = "en" if i < 800 else "de"
+        bad = i % 8 == 7
+        if bad:
+            words[::2] = [w + "#" for w in words[::2]]
+        elif i % 100 == 3:
+            words[5:10] = words[15:20] = words[25:26] * 5
+        made.append((i, " ".join(words), lang))
+        marks.append((i, int(not bad)))
+    made += [(2000 + k, made[0][1], "en") for k in range(900)]  # copies prove nothing
+    marks += [(2000 + k, 1) for k in range(900)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    texts_of = {g: {t for (i, t, lang), (_, q) in zip(made, marks) if q and lang == g} for g in ("en", "de")}
+    assert len(texts_of["en"]) == 700
+
+    def ratios(text):
+        n, _, symbols, lines, repeats = counts_of(text)
+        return {"symbols": symbols / n, "repeats": repeats / n, "lines": lines / n}, n < 10 or 100 * repeats > 20 * n
+
+    own = {}
+    for group, found in texts_of.items():
+        trials = [r for r, fails in map(ratios, found) if not fails]
+        cuts = {}
+        for rule, (_, cutoffs) in quality_rules.RULES.items():
+            for cutoff in cutoffs:
+                k = sum(any(r[x] > c for x, c in {**cuts, rule: cutoff}.items()) for r in trials)
+                p = sum(math.comb(len(trials), i) * 0.01 ** i * 0.99 ** (len(trials) - i) for i in range(k + 1))
+                if p > 0.05 / 5:
+                    break
+                cuts[rule] = cutoff
+            else:
+                continue
+            break
+        own[group] = cuts
+    assert own["en"].get("symbols") == 0.02 and not own["de"]
+    counted = quality_rules.count_texts(docs, ["doc_id", "lang"])
+    chosen = quality_rules.fit_cutoffs(counted, labels, "doc_id", "lang")
+    assert chosen == {("en", rule): cutoff for rule, cutoff in own["en"].items()}
+    kept = {r.row.doc_id: r.kept for r in quality_rules.judge(counted, chosen).collect()}
+    for i, text, lang in made:
+        found, fails = ratios(text)
+        assert kept[i] == (not fails and not any(found[r] > c for r, c in own[lang].items()))
+    assert not any(kept[i] for i in range(800) if i % 8 == 7)
+
+
 def test_grades_learn_and_are_ordered(spark):
     draw = random.Random(2)
     made = []
