@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import encode as enc, features as feat
+from corpusloom.streaming import seeking
 from corpusloom.streaming import streams as ops
 from .e_features import CATEGORICAL, EV_SQL, NUMERIC, _E6, _shape, collapse_sql, sample_events
 from .registry import query, table
@@ -57,6 +58,33 @@ def n3(spark, sf):
     return ops.run_available(stream, *ops.work_paths(spark, "n3"))
 
 
+def seeking_events(spark, sf, label):
+    """Events in order as four files, and the folders of a stream over them."""
+    (source, log), events = ops.work_paths(spark, label), table(spark, sf, "events").select("event_id", "value")
+    return events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), events.schema, source, log
+
+
+@query("n3_skip_and_limit_seeking", """
+select event_id, value, n from (select event_id, value, row_number() over (order by event_id) - 1 as n from events)
+where n >= 100 and n < 100 + 700""")
+def n3_seeking(spark, sf):
+    events, schema, source, log = seeking_events(spark, sf, "n3-seek")
+    events.write.parquet(source)
+    stream = seeking.seeking_source(spark, source, schema, log, skip=100, limit=700, number="n")
+    return ops.run_available(stream, *ops.work_paths(spark, "n3-seek-out"))
+
+
+@query("n6_resume_seeking", "select event_id, value, row_number() over (order by event_id) - 1 as n from events")
+def n6_seeking(spark, sf):
+    events, schema, source, log = seeking_events(spark, sf, "n6")
+    where = ops.work_paths(spark, "n6-out")
+    half = table(spark, sf, "events").agg(F.median("event_id")).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):  # files that come later; a restart each
+        events.filter(part).write.mode("append").parquet(source)
+        out = ops.run_available(seeking.seeking_source(spark, source, schema, log, number="n"), *where)
+    return out
+
+
 @query("n4_buffer_shuffle", """
 with i as (select event_id, value, row_number() over (order by event_id) - 1 as i from events),
 s as (select *, if(i < 1000, i, ('0x' || substr(md5('3:' || i), 1, 13))::bigint % 1000) as slot from i),
