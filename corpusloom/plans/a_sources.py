@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators.prepare import prepare_table
+from corpusloom.operators.shards import ShardTable
 from corpusloom.session import new_run_dir
 from corpusloom.sources import tables as ops
 from .registry import query, table
@@ -89,3 +90,24 @@ def a7(spark, sf):
     as_json = ops.read_json_log(spark, f"{root}/log.jsonl", "event_id string, event_type string, extra string")
     as_tsv = ops.read_tsv_log(spark, f"{root}/log.tsv", ["event_id", "event_type", "extra"])
     return as_json.withColumn("kind", F.lit("json")).unionByName(as_tsv.withColumn("kind", F.lit("tsv")))
+
+
+@query("a5_shard_table", """
+select user_id % 8 as shard_id, event_id, value, event_type from events
+where user_id % 8 >= 2 and event_id >= 1000 and value <= 60""")
+def a5_table(spark, sf):
+    events = table(spark, sf, "events").select((F.col("user_id") % 8).alias("shard_id"), "event_id", "value", "event_type")
+    shards = ShardTable(spark, new_run_dir(spark, "shard-table"), events.schema)
+    for batch in (0, 1, 0):  # the third is a repeat and changes nothing
+        shards.write(events.filter(F.col("event_id") % 2 == batch), batch)
+    return shards.read(events.columns, {"shard_id": (2, None), "event_id": (1000, None), "value": (None, 60.0)})
+
+
+@query("i13_shard_table_manifest", """
+select user_id % 8 as shard_id, count(*) as n_rows, count(distinct event_id % 2) as n_batches, 0 as n_broken from events group by 1""")
+def i13_table(spark, sf):
+    events = table(spark, sf, "events").select((F.col("user_id") % 8).alias("shard_id"), "event_id", "ts", "props")
+    shards = ShardTable(spark, new_run_dir(spark, "shard-manifest"), events.schema)
+    for batch in (0, 1):
+        shards.write(events.filter(F.col("event_id") % 2 == batch), batch)
+    return shards.manifest().withColumn("n_broken", F.lit(shards.broken().count()))
