@@ -47,27 +47,33 @@ def profile_cells(df: DataFrame, columns: Sequence[str], numeric: Sequence[str]
     values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").groupBy("i", "valid", "hash", "check").agg(
         F.count(F.lit(1)).alias("cnt"), F.max("length").alias("length"), F.bool_or("number").alias("number"),
         F.bool_and("whole").alias("whole"), F.bool_or("date").alias("date"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return value_facts(values, ["i"]).withColumn("column", F.get(names, F.col("i"))).drop("i", "least_count")
+
+
+def value_facts(values: DataFrame, keys: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Raw counts and the six ratios per column from its counted values (valid, cnt, length, number, whole,
+    date). `keys` name a column; `rows` holds the rows of its table where cells may be absent."""
     weight, zero = F.col("cnt"), F.lit(0)
-    sums = values.groupBy("i").agg(
-        F.sum(weight).alias("n_rows"),
+    sums = values.groupBy(*keys).agg(
+        F.sum(weight).alias("n_rows") if rows is None else F.first(rows).alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("valid"), weight)), zero).alias("n_valid"),
         F.count_if(F.col("valid")).alias("n_distinct"),
         F.coalesce(F.max(F.when(F.col("valid"), weight)), zero).alias("top_count"),
+        F.coalesce(F.min(F.when(F.col("valid"), weight)), zero).alias("least_count"),
         F.coalesce(F.sum(F.col("length") * weight), zero).alias("n_chars"),
         F.coalesce(F.sum(F.when(F.col("number"), weight)), zero).alias("n_numeric"),
         F.coalesce(F.sum(F.when(F.col("date"), weight)), zero).alias("n_datetime"),
         F.coalesce(F.bool_and("whole"), F.lit(False)).alias("integer_like"))
-    names = F.array(*[F.lit(c) for c in columns])
     n, valid_rows = F.col("n_rows"), F.col("n_valid")
     return sums.withColumns({
-        "column": F.get(names, F.col("i")),
         "missing_ratio": _share(n - valid_rows, n),
         "unique_ratio": _share(F.col("n_distinct"), valid_rows),
         "top_frequency_ratio": _share(F.col("top_count"), valid_rows),
         "avg_string_length": _share(F.col("n_chars"), valid_rows),
         "parse_numeric_ratio": _share(F.col("n_numeric"), valid_rows),
         "parse_datetime_ratio": _share(F.col("n_datetime"), valid_rows),
-    }).drop("i")
+    })
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
