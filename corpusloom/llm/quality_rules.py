@@ -8,7 +8,9 @@ rejections had a probability of at most DELTA / strata at the rate ALPHA (exact
 all rules together is below ALPHA. The first failure ends the list (fixed-sequence testing, so that no
 correction among steps and rules is due), and the division by the number of strata corrects for the other
 lists (Bonferroni). With probability 1 - DELTA no stratum loses more than ALPHA of its good texts to these
-rules. A trial is a text: equal texts of a stratum count once. Near copies count each, so the bound is about
+rules. All proven steps hold at once, so any of them may be taken: it is the one at which the share of
+rejected bad texts exceeds that of good ones the most, the mildest of equals; a cutoff that only costs good
+texts is not used. A trial is a text: equal texts of a stratum count once. Near copies count each, so the bound is about
 texts drawn independently.
 """
 
@@ -134,20 +136,28 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def safe_cutoffs(counts: dict, alpha: float = ALPHA, delta: float = DELTA, rules: dict = RULES,
-                 strata: tuple = (*STRATA, "other")) -> dict:
+                 strata: tuple = (*STRATA, "other"), bad: dict | None = None) -> dict:
     """{(stratum, rule): cutoff}; no entry: the rule does not work there.
 
-    `counts` holds {stratum: (n, {rule: [rejected]})}: good texts, and those rejected by any cutoff up to each step.
+    `counts` holds {stratum: (n, {rule: [rejected]})}: good texts, and those rejected by any cutoff up to each step;
+    `bad` the same of bad texts. Without it the last proven step is taken.
     """
     level = delta / len(strata)
     chosen = {}
     for group in strata:
         n, rejected = counts.get(group, (0, {}))
-        for rule, cutoff, k in [(r, c, k) for r, (_, cutoffs) in rules.items() for c, k in zip(cutoffs, rejected.get(r, ()))]:
+        proven = []
+        for rule, i, cutoff, k in [(r, i, c, k) for r, (_, cutoffs) in rules.items()
+                                   for i, (c, k) in enumerate(zip(cutoffs, rejected.get(r, ())))]:
             # k above the mean can only fail
             if k >= alpha * n or at_most(k, n, alpha) > level:
                 break
-            chosen[group, rule] = cutoff
+            proven.append((rule, i, cutoff, k))
+        if bad is not None:
+            n_bad, caught = bad.get(group, (0, {}))
+            gains = [0.0, *[(caught[rule][i] / n_bad if n_bad else 0.0) - k / n for rule, i, _, k in proven]]
+            proven = proven[:gains.index(max(gains))]
+        chosen.update({(group, rule): cutoff for rule, _, cutoff, _ in proven})
     return chosen
 
 
@@ -163,22 +173,25 @@ def steps(rules: dict = RULES) -> dict:
 
 def fit_cutoffs(counted: DataFrame, labels: DataFrame, id_col: str, lang: str, alpha: float = ALPHA,
                 delta: float = DELTA) -> dict:
-    """Cutoffs from the good documents among the labelled ones that pass the base rules.
+    """Cutoffs from the labelled documents that pass the base rules.
 
     Equal texts in a stratum are one trial: copies are not independent. Labels that contradict each other
-    count as bad. One small row per stratum comes back to the driver.
+    count as bad, for a document and for a text. Two small rows per stratum come back to the driver.
     """
-    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good")) \
-        .filter(F.col("__good") == 1).select(F.col("doc_id").alias("__id"))
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
+        F.min(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("__good")).withColumnRenamed("doc_id", "__id")
     kept = counted.select(F.col(f"row.`{id_col}`").alias("__id"), stratum(F.col(f"row.`{lang}`")).alias("__stratum"),
                           "digest", *COUNTS)
-    trials = kept.filter(~base_failed()).join(good, "__id").select("__stratum", "digest", *COUNTS).distinct()
-    facts = trials.groupBy("__stratum").agg(
+    trials = kept.filter(~base_failed()).join(marks, "__id").groupBy("__stratum", "digest", *COUNTS).agg(
+        F.min("__good").alias("__good"))
+    facts = trials.groupBy("__stratum", "__good").agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.count_if(F.expr(rejects)).alias(f"{rule}_{i}") for (rule, i), rejects in steps().items()])
-    counts = {r["__stratum"]: (r["__n"], {rule: [r[f"{rule}_{i}"] for i in range(len(cutoffs))]
-                                         for rule, (_, cutoffs) in RULES.items()}) for r in facts.collect()}
-    return safe_cutoffs(counts, alpha, delta)
+    counts: dict = {0: {}, 1: {}}
+    for r in facts.collect():
+        counts[r["__good"]][r["__stratum"]] = (r["__n"], {rule: [r[f"{rule}_{i}"] for i in range(len(cutoffs))]
+                                                          for rule, (_, cutoffs) in RULES.items()})
+    return safe_cutoffs(counts[1], alpha, delta, bad=counts[0])
 
 
 def passes(cutoffs: dict, group: Column) -> Column:
