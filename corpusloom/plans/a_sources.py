@@ -94,13 +94,13 @@ def a7(spark, sf):
 
 @query("a5_shard_table", """
 select user_id % 8 as shard_id, event_id, value, event_type from events
-where user_id % 8 >= 2 and event_id >= 1000 and value <= 60""")
+where user_id % 8 >= 2 and event_id >= 100 and value <= 60""")
 def a5_table(spark, sf):
     events = table(spark, sf, "events").select((F.col("user_id") % 8).alias("shard_id"), "event_id", "value", "event_type")
     shards = ShardTable(spark, new_run_dir(spark, "shard-table"), events.schema)
     for batch in (0, 1, 0):  # the third is a repeat and changes nothing
         shards.write(events.filter(F.col("event_id") % 2 == batch), batch)
-    return shards.read(events.columns, {"shard_id": (2, None), "event_id": (1000, None), "value": (None, 60.0)})
+    return shards.read(events.columns, {"shard_id": (2, None), "event_id": (100, None), "value": (None, 60.0)})
 
 
 @query("i13_shard_table_manifest", """
