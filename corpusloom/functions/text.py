@@ -33,6 +33,18 @@ def normalize_label(name: str, empty: str = "column") -> str:
     return re.sub(r"[^0-9a-zA-Z]+", "_", str(name).strip().lower()).strip("_") or empty
 
 
+def fixed_point(c, digits: int) -> Column:
+    """A double with so many digits after the point, rounded by its exact value and halves to even, as
+    Python and C print it; `format_string` rounds the shortest decimals up, 0.825 to 0.83."""
+    x = as_col(c).cast("double")
+    half = float(f"5e-{digits + 1}")
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.call_function("format_number", x, F.lit(f"0.{'0' * digits}"))
+    # the pattern takes some lone halves down
+    return (F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("inf")))
+            .when(F.abs(x) == half, F.concat(sign, F.lit(f"{half:.{digits}f}"))).otherwise(text))
+
+
 def normalize_name(c, empty: str = "column") -> Column:
     joined = F.regexp_replace(F.lower(as_col(c)), "[^0-9a-zA-Z]+", "_")
     return F.coalesce(F.nullif(F.btrim(joined, F.lit("_")), F.lit("")), F.lit(empty))

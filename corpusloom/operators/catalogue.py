@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpusloom.functions.text import datetime_or_null, number_or_null
+from corpusloom.functions.text import datetime_or_null, fixed_point, number_or_null
 from .gates import ingest_verdict
 from .infer import RANKED_TARGET_NAMES, score_targets
 from .profile import value_facts
@@ -75,7 +75,7 @@ def catalogue_targets(profile: DataFrame) -> DataFrame:
     it is undecided. `candidates` are the five best columns in words."""
     scored = score_targets(profile)
     by = Window.partitionBy("dataset").orderBy(F.desc("score"), "position")
-    line = F.format_string("%s<%s> score=%.2f", "column", "task_type", "score")
+    line = F.format_string("%s<%s> score=%s", "column", "task_type", fixed_point("score", 2))
     best = scored.withColumn("__rank", F.row_number().over(by)).filter(F.col("__rank") <= 5).groupBy("dataset").agg(
         F.array_sort(F.collect_list(F.struct("__rank", "column", "task_type", "score", "name_score", line.alias("line")))).alias("top"),
         F.first("n_rows").alias("n_rows"))
@@ -124,8 +124,8 @@ def catalogue_verdicts(facts: DataFrame, profile: DataFrame, targets: DataFrame,
         F.when(F.col("constant").isNotNull(), F.concat(F.lit("gate_fail: constant column "), "constant")),
         F.when(F.col("empty").isNotNull(), F.concat(F.lit("gate_fail: all-null column "), "empty")),
         F.when(classified & (F.col("classes") < 2), F.lit("gate_fail: target has < 2 classes")),
-        F.when(classified & (minority < 0.01), F.format_string("gate_fail: minority_frac=%.4f", minority)),
-        F.when(share >= 0.50, F.format_string("gate_fail: dupe_frac=%.2f", share)),
+        F.when(classified & (minority < 0.01), F.format_string("gate_fail: minority_frac=%s", fixed_point(minority, 4))),
+        F.when(share >= 0.50, F.format_string("gate_fail: dupe_frac=%s", fixed_point(share, 2))),
         F.when(F.col("n_rows") < 100, F.format_string("gate_fail: only %d rows", "n_rows")))
     table = table.withColumns({"reason": reason, "encode_error": F.lit(None).cast("string"),
                                "n_cols": F.coalesce("n_cols", F.lit(0))})

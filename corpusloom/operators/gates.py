@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from corpusloom.functions.hashing import hash_unit, row_hash
+from corpusloom.functions.text import fixed_point
 from .metrics import roc_auc
 from .scale import lookup_join
 
@@ -108,7 +109,7 @@ def max_pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame
     top = pairwise_correlations(df, columns).agg(F.coalesce(F.max(F.abs("correlation")), F.lit(0.0)).alias("max_correlation")) \
         if len(columns) > 1 else df.sparkSession.range(1).select(F.lit(0.0).alias("max_correlation"))
     # Fixed value: the text of the note is read by others.
-    return top.withColumn("note", F.when(F.col("max_correlation") > 0.99, F.format_string("SOFT_WARN: max_corr=%.3f", "max_correlation")).otherwise(""))
+    return top.withColumn("note", F.when(F.col("max_correlation") > 0.99, F.format_string("SOFT_WARN: max_corr=%s", fixed_point("max_correlation", 3))).otherwise(""))
 
 
 def gate_verdict(df: DataFrame, dataset: Sequence[str], target: str, task: str, numeric: Sequence[str],
@@ -132,9 +133,9 @@ def gate_verdict(df: DataFrame, dataset: Sequence[str], target: str, task: str,
     empty = F.when(F.col("null_column").isNotNull(), F.concat(F.lit("gate_fail: all-null column "), "null_column"))
     one_class = F.when(classified & (F.col("n_classes") < 2), F.lit("gate_fail: target has < 2 classes"))
     minority = F.when(classified & (F.col("minority_share") < 0.01),
-                      F.format_string("gate_fail: minority_frac=%.4f", "minority_share"))
+                      F.format_string("gate_fail: minority_frac=%s", fixed_point("minority_share", 4)))
     share = F.col("duplicate_share")
-    repeated = F.when(share >= 0.50 if rule == "pod" else share > 0.50, F.format_string("gate_fail: dupe_frac=%.2f", share))
+    repeated = F.when(share >= 0.50 if rule == "pod" else share > 0.50, F.format_string("gate_fail: dupe_frac=%s", fixed_point(share, 2)))
     chain = ([constant, empty, one_class, minority, repeated, few] if rule == "pod"
              else [few, constant, one_class, minority, repeated])
     reason = F.coalesce(*chain, F.lit(""))
@@ -242,8 +243,8 @@ def utility_notes(scores: DataFrame, task: str = "task_type", score: str = "scor
     """Soft notes, and whether real data is kept (R2 >= -1, AUC >= 0.5)."""
     regression = F.col(task) == "regression"
     weak_r2, weak_auc = regression & (F.col(score) <= 0), ~regression & (F.col(score) < 0.55)
-    note = (F.when(weak_r2, F.format_string("SOFT_WARN: R2=%.3f", score))
-            .when(weak_auc, F.format_string("SOFT_WARN: AUC=%.3f", score)).otherwise(""))
+    note = (F.when(weak_r2, F.format_string("SOFT_WARN: R2=%s", fixed_point(score, 3)))
+            .when(weak_auc, F.format_string("SOFT_WARN: AUC=%s", fixed_point(score, 3))).otherwise(""))
     keep = F.when(regression, F.col(score) >= -1.0).otherwise(F.col(score) >= 0.5)
     return scores.withColumns({"note": note, "keep": keep})
 

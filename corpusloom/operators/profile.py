@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from corpusloom.functions.text import datetime_or_null, name_tokens, number_or_null, value_key
+from corpusloom.functions.text import datetime_or_null, fixed_point, name_tokens, number_or_null, value_key
 
 # Feature types in the order that breaks ties.
 TYPE_NAMES = ("numeric", "categorical", "text", "identifier", "datetime")
@@ -145,8 +145,8 @@ def schema_text(kind: Column | str) -> Column:
     kind = F.col(kind) if isinstance(kind, str) else kind
     labels = ("missing_ratio", "unique_ratio", "top_frequency_ratio", "avg_length",
               "numeric_parse_ratio", "datetime_parse_ratio")
-    pattern = "name %s feature_kind %s dominant_type %s " + " ".join(f"{label} %.3f" for label in labels)
-    return F.format_string(pattern, F.col("column"), kind, dominant_type(), *[F.col(c) for c in RATIO_NAMES])
+    pattern = "name %s feature_kind %s dominant_type %s " + " ".join(f"{label} %s" for label in labels)
+    return F.format_string(pattern, F.col("column"), kind, dominant_type(), *[fixed_point(c, 3) for c in RATIO_NAMES])
 
 
 def is_text_feature() -> Column:
