@@ -4,7 +4,7 @@ A text is cut by the tokenizer's pattern; each piece is merged on its own. The t
 piece's byte positions and hold the rank of the pair that starts there (a live token and its live
 right neighbour); a node holds the smallest rank below it, the leftmost of equals. A merge takes the
 root, joins two neighbours in a linked list and updates at most three leaves, so a piece of n bytes
-takes O(n log n) however long it is.
+takes O(n log n) however long it is. A word of a few bytes needs no tree: its pairs are a short list.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.base import query, table
 from corpusloom.llm.blocks import share, shared_thing, text_bytes
 
-#: Pieces of more bytes are merged in packed arrays.
-LONG_PIECE = 1 << 14
+#: Pieces of up to so many bytes are merged in a list; of more bytes than the second, in packed arrays.
+SHORT_PIECE, LONG_PIECE = 64, 1 << 14
 #: Pieces of up to so many bytes are remembered, twice so many at most at a time.
 REMEMBERED_BYTES, REMEMBERED = 64, 200_000
 
@@ -43,6 +43,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= SHORT_PIECE:
+        return merge_short_piece(piece, ranks)
     if n > LONG_PIECE:
         return merge_long_piece(piece, ranks)
     none = len(ranks) << 32
@@ -96,6 +98,24 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def merge_short_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a piece of few bytes that is no token: the ranks of its pairs are one short list, whose
+    smallest, the leftmost of equals, is found sooner than a tree is built."""
+    get, none = ranks.get, 1 << 32
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+    while (best := min(pairs, default=none)) < none:
+        i = pairs.index(best)
+        token = parts[i] + parts.pop(i + 1)
+        parts[i] = token
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(token + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + token, none)
+    return [ranks[part] for part in parts]
+
+
 def merge_long_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for a piece of many bytes, in about 20 bytes of memory for each: the tree holds ranks
     only, and the leftmost best leaf is found on the way down from the root."""

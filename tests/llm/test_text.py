@@ -81,6 +81,17 @@ def test_long_pieces_in_packed_arrays(monkeypatch):
     assert peak < 60 * 60_000  # with the ids, which are a list
 
 
+def test_bpe_short_pieces():
+    ranks, draw = byte_bpe.load_ranks(PATH), random.Random(9)
+    letters, encoding = " etaoinshrdlu,é漢", library()
+    for size in [*range(1, 20), 63, 64, 65] * 20:
+        piece = "".join(draw.choice(letters) for _ in range(size)).encode()
+        found = byte_bpe.merge_short_piece(piece, ranks)
+        assert found == byte_bpe.merge_long_piece(piece, ranks) and byte_bpe.merge_piece(piece, ranks) == (
+            [ranks[piece]] if piece in ranks else found)
+        assert byte_bpe.merge_piece(piece, ranks) == encoding._encode_single_piece(piece)
+
+
 def test_scores_equal_a_walk_through_the_automaton(spark):
     held = {i for i in range(20) if zlib.crc32(str(i).encode()) % 7 == 2}
     for order, block_bytes in ((2, None), (3, 3000)):
