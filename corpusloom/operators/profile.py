@@ -13,6 +13,15 @@ TYPE_NAMES = ("numeric", "categorical", "text", "identifier", "datetime")
 RATIO_NAMES = ("missing_ratio", "unique_ratio", "top_frequency_ratio", "avg_string_length",
                "parse_numeric_ratio", "parse_datetime_ratio")
 
+# Characters of the shortest date, as in 1/1/2024.
+SHORTEST_DATE = 8
+
+
+def may_be_number(text: Column) -> Column:
+    """Whether the first character can begin a number, which spares most words the pattern."""
+    first = F.ascii(text)
+    return (first <= ord("9")) | first.isin(ord("i"), ord("I"))
+
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, length, cnt) over the string form of every cell; long text is represented
@@ -31,22 +40,41 @@ def _share(part: Column, whole: Column) -> Column:
 
 def profile_cells(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
     """One row per column: raw counts and the six ratios. Cells of the columns named in `numeric` are known
-    to be numbers, so no pattern is tried on them.
+    to be numbers, so no pattern is tried on them, and their texts are written for different values only.
 
     Cells are told apart by two 8-byte hashes of their text, so no text is a key of a shuffle, and equal
     cells meet in the map-side combine: a value that fills a third of the table costs one row per task.
     """
-    cells = []
+    cells, kinds = [], {}
+    none = {"whole_number": F.lit(None).cast("bigint"), "fraction": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
     for i, c in enumerate(columns):
-        text, known = F.col(c).cast("string"), c in numeric
-        number = number_or_null(c, df.schema[c].dataType) if known else number_or_null(text)
-        date = F.lit(False) if known else datetime_or_null(text).isNotNull()
-        cells.append(F.struct(
-            F.lit(i).alias("i"), text.isNotNull().alias("valid"), F.xxhash64(F.lit(1), text).alias("hash"), F.xxhash64(F.lit(2), text).alias("check"),
-            F.length(text).alias("length"), number.isNotNull().alias("number"), (number - F.floor(number) <= 1e-8).alias("whole"), date.alias("date")))
-    values = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").groupBy("i", "valid", "hash", "check").agg(
-        F.count(F.lit(1)).alias("cnt"), F.max("length").alias("length"), F.bool_or("number").alias("number"),
-        F.bool_and("whole").alias("whole"), F.bool_or("date").alias("date"))
+        dtype, x = df.schema[c].dataType, F.col(c)
+        if c in numeric and isinstance(dtype, T.IntegralType):
+            own = {"whole_number": x.cast("bigint")}
+        elif c in numeric and isinstance(dtype, (T.FloatType, T.DoubleType)):
+            own = {"fraction": x.cast("double")}
+            kinds.setdefault(dtype, []).append(i)
+        else:
+            own = {"text": x.cast("string")}
+        cells.append(F.struct(F.lit(i).alias("i"), *[value.alias(name) for name, value in (none | own).items()]))
+    cells = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    text, fraction = F.col("text"), F.col("fraction")
+    # -0.0 is another text than 0.0, but hashes of numbers take them for equal
+    parts = ["whole_number", "fraction", F.when(fraction == 0, fraction.cast("string")), "text"]
+    number = F.when(may_be_number(text), number_or_null(text))
+    values = cells.select(
+        "i", "whole_number", "fraction", (text.isNotNull() | F.col("whole_number").isNotNull() | fraction.isNotNull()).alias("valid"),
+        F.xxhash64(F.lit(1), *parts).alias("hash"), F.xxhash64(F.lit(2), *parts).alias("check"), F.length(text).alias("length"), number.alias("number"),
+        F.when(F.length(text) >= SHORTEST_DATE, datetime_or_null(text).isNotNull()).alias("date"))
+    values = values.groupBy("i", "valid", "hash", "check").agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("length").alias("length"), F.max("whole_number").alias("whole_number"),
+        F.max("fraction").alias("fraction"), F.max("number").alias("number"), F.bool_or("date").alias("date"))
+    # numbers are written as texts once for each value
+    length = F.coalesce("length", F.length(F.col("whole_number").cast("string")))
+    for dtype, own in kinds.items():
+        length = F.when(F.col("i").isin(own), F.length(fraction.cast(dtype).cast("string"))).otherwise(length)
+    number = F.coalesce("number", F.col("whole_number").cast("double"), F.when(~F.isnan(fraction), fraction))
+    values = values.withColumns({"length": length, "number": number.isNotNull(), "whole": number - F.floor(number) <= 1e-8})
     names = F.array(*[F.lit(c) for c in columns])
     return value_facts(values, ["i"]).withColumn("column", F.get(names, F.col("i"))).drop("i", "least_count")
 
