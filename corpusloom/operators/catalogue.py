@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.functions.text import datetime_or_null, fixed_point, number_or_null
 from .gates import ingest_verdict
 from .infer import RANKED_TARGET_NAMES, score_targets
-from .profile import value_facts
-from .scale import lookup_join
+from .profile import SHORTEST_DATE, may_be_number, value_facts
+from .scale import compute_once, lookup_join
 
 
 def json_rows(spark: SparkSession, root: str, name: str = r"/([^/]+)/[^/]+$") -> DataFrame:
@@ -36,38 +36,39 @@ def rows_of(df: DataFrame, dataset: str, columns: Sequence[str] | None = None) -
 
 def table_facts(rows: DataFrame) -> DataFrame:
     """n_rows and duplicate_share per dataset. Rows are told apart by two 8-byte hashes of their cells, sorted
-    by name; a cell that is absent equals a null one."""
+    by name; a cell that is absent equals a null one. The result is kept, as several others are made of it."""
     filled = F.map_filter("cells", lambda k, v: v.isNotNull())
     entries = F.array_sort(F.map_entries(filled))
     hashed = rows.select("dataset", F.xxhash64(F.lit(1), entries).alias("hash"), F.xxhash64(F.lit(2), entries).alias("check"))
     kinds = hashed.groupBy("dataset", "hash", "check").agg(F.count(F.lit(1)).alias("n"))
-    return kinds.groupBy("dataset").agg(F.sum("n").alias("n_rows"), (1 - F.count(F.lit(1)) / F.sum("n")).alias("duplicate_share"))
+    return compute_once(kinds.groupBy("dataset").agg(F.sum("n").alias("n_rows"), (1 - F.count(F.lit(1)) / F.sum("n")).alias("duplicate_share")))
 
 
 def catalogue_profile(rows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """A profile row per dataset and column, with `position` and `prefer_numeric`.
 
     The position is the column's first place in any row of the dataset; columns with equal places are
-    ordered by name. Cells are told apart by two 8-byte hashes.
+    ordered by name. Cells are told apart by two 8-byte hashes. The result is kept, as several others are
+    made of it.
     """
     facts = table_facts(rows) if facts is None else facts
     cells = rows.select("dataset", F.posexplode(F.map_entries("cells")).alias("place", "cell"))
     text = F.col("cell.value")
-    number = number_or_null(text)
+    number = F.when(may_be_number(text), number_or_null(text))
+    date = F.when(F.length(text) >= SHORTEST_DATE, datetime_or_null(text).isNotNull())
     values = cells.groupBy("dataset", F.col("cell.key").alias("column"), text.isNotNull().alias("valid"),
                            F.xxhash64(F.lit(1), text).alias("hash"), F.xxhash64(F.lit(2), text).alias("check")).agg(
         F.count(F.lit(1)).alias("cnt"), F.min("place").alias("place"), F.max(F.length(text)).alias("length"),
         F.bool_or(number.isNotNull()).alias("number"), F.bool_and(number - F.floor(number) <= 1e-8).alias("whole"),
-        F.bool_or(datetime_or_null(text).isNotNull()).alias("date"))
+        F.bool_or(date).alias("date"))
     size = facts.select("dataset", F.col("n_rows").alias("__rows"))
     keys = ["dataset", "column"]
     values = lookup_join(values, size, ["dataset"])
-    places = values.groupBy(*keys).agg(F.min("place").alias("__place"))
-    found = lookup_join(value_facts(values, keys, "__rows"), places, keys)
+    found = value_facts(values, keys, "__rows", [F.min("place").alias("__place")])
     order = Window.partitionBy("dataset").orderBy("__place", "column")  # the columns of one table
-    return found.withColumns({
+    return compute_once(found.withColumns({
         "position": F.row_number().over(order),
-        "prefer_numeric": (F.col("n_valid") > 0) & (F.col("n_numeric") == F.col("n_valid"))}).drop("__place")
+        "prefer_numeric": (F.col("n_valid") > 0) & (F.col("n_numeric") == F.col("n_valid"))}).drop("__place"))
 
 
 def catalogue_targets(profile: DataFrame) -> DataFrame:

@@ -79,9 +79,9 @@ def profile_cells(df: DataFrame, columns: Sequence[str], numeric: Sequence[str]
     return value_facts(values, ["i"]).withColumn("column", F.get(names, F.col("i"))).drop("i", "least_count")
 
 
-def value_facts(values: DataFrame, keys: Sequence[str], rows: str | None = None) -> DataFrame:
+def value_facts(values: DataFrame, keys: Sequence[str], rows: str | None = None, more: Sequence[Column] = ()) -> DataFrame:
     """Raw counts and the six ratios per column from its counted values (valid, cnt, length, number, whole,
-    date). `keys` name a column; `rows` holds the rows of its table where cells may be absent."""
+    date). `keys` name a column; `rows` holds the rows of its table where cells may be absent, and `more` further aggregates."""
     weight, zero = F.col("cnt"), F.lit(0)
     sums = values.groupBy(*keys).agg(
         F.sum(weight).alias("n_rows") if rows is None else F.first(rows).alias("n_rows"),
@@ -92,7 +92,7 @@ def value_facts(values: DataFrame, keys: Sequence[str], rows: str | None = None)
         F.coalesce(F.sum(F.col("length") * weight), zero).alias("n_chars"),
         F.coalesce(F.sum(F.when(F.col("number"), weight)), zero).alias("n_numeric"),
         F.coalesce(F.sum(F.when(F.col("date"), weight)), zero).alias("n_datetime"),
-        F.coalesce(F.bool_and("whole"), F.lit(False)).alias("integer_like"))
+        F.coalesce(F.bool_and("whole"), F.lit(False)).alias("integer_like"), *more)
     n, valid_rows = F.col("n_rows"), F.col("n_valid")
     return sums.withColumns({
         "missing_ratio": _share(n - valid_rows, n),

@@ -111,3 +111,22 @@ def test_wide_table_of_many_datasets(spark):
     got = {(r.dataset, r.column): (r.n_rows, r.n_valid, r.n_distinct, r.position) for r in cat.catalogue_profile(cat.rows_of(df, "d")).collect()}
     assert got == {(k, c): (9, 0 if (k, c) == (1, "y") else 9, {"x": 9, "y": 0 if k == 1 else 3}[c], {"x": 1, "y": 2}[c])
                    for k in (0, 1, None) for c in ("x", "y")}
+
+
+def test_verdicts_read_the_cells_twice(spark):
+    """Facts and profile are worked out once, whatever is made of them."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("d"), "id", (F.col("id") % 5).alias("x"), (F.col("id") % 2).alias("target"))
+    rows = cat.rows_of(df, "d")
+    rows = rows.mapInArrow(counted, rows.schema)
+    facts = cat.table_facts(rows)
+    profile = cat.catalogue_profile(rows, facts)
+    verdicts = cat.catalogue_verdicts(facts, profile, cat.catalogue_targets(profile)).collect()
+    assert [(r.status, r.n_rows) for r in verdicts] == [("ok", 100)] * 3
+    assert reads.value == 2 * 300
