@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from corpusloom.functions.text import datetime_or_null
+from corpusloom.session import stable
 from .infer import temporal_columns
 from .scale import (compute_once, exact_quantiles, hot_rows, largest_group, lookup_join, ordered_windows, positions,
                     running, small_side)
@@ -116,8 +119,9 @@ def panel_features(df: DataFrame, value: str, entity: str, prefix: str | None =
 
 
 def _spectrum_rows(entity: str, value: str, order: Sequence[str], k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(list(order))[value].to_numpy(dtype=float)
+    def run(rows: pa.Table) -> pa.Table:
+        ranks = pc.sort_indices(rows.select(list(order)), sort_keys=[(c, "ascending") for c in order])
+        x = rows.column(value).cast(pa.float64()).take(ranks).to_numpy()
         x = x[~np.isnan(x)]
         bins = np.zeros(k)
         if len(x) >= 4:
@@ -125,7 +129,7 @@ def _spectrum_rows(entity: str, value: str, order: Sequence[str], k: int):
             top = size.max()
             head = (size / top if top > 0 else size)[1:k + 1]
             bins[:len(head)] = head
-        return pd.DataFrame([[pdf[entity].iloc[0], *bins]], columns=[entity, *[f"fft_{i}" for i in range(k)]])
+        return pa.table([rows.column(entity).slice(0, 1), *[pa.array([x]) for x in bins]], names=[entity, *[f"fft_{i}" for i in range(k)]])
     return run
 
 
@@ -214,20 +218,21 @@ def fft_table(df: DataFrame, value: str, entity: str, order: Sequence[str], k: i
     out = f"`{entity}` {kind}, " + ", ".join(f"fft_{i} double" for i in range(k))
     run = _spectrum_rows(entity, value, order, k)
     if largest_group(slim, [entity]) <= limit:
-        return slim.groupBy(entity).applyInPandas(run, out)
+        return slim.groupBy(entity).applyInArrow(run, out)
     names = compute_once(slim.groupBy(entity).count().filter(F.col("count") > limit).select(entity))
     heavy = small_side(names)
     short = lookup_join(slim, heavy, [entity], how="left_anti", checked=True)
     long = lookup_join(slim, heavy, [entity], how="left_semi", checked=True)
     found = lookup_join(names, _long_series_spectrum(long, value, entity, order, k, limit), [entity])
-    return short.groupBy(entity).applyInPandas(run, out).unionByName(found.fillna(0.0, [f"fft_{i}" for i in range(k)]))
+    return short.groupBy(entity).applyInArrow(run, out).unionByName(found.fillna(0.0, [f"fft_{i}" for i in range(k)]))
 
 
 def fft_features(df: DataFrame, value: str, entity: str | None, order: Sequence[str], k: int = 10) -> DataFrame:
     """Join each series' spectrum back to its rows; without an entity the table is one series."""
     key = entity or "__all"
     work = df if entity else df.withColumn("__all", F.lit(0))
-    out = lookup_join(work, fft_table(work, value, key, order, k), [key])
+    # the spectra are worked out once, and not again for the check of their size
+    out = lookup_join(work, stable(fft_table(work, value, key, order, k)), [key])
     return out if entity else out.drop("__all")
 
 

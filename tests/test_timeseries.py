@@ -89,3 +89,19 @@ def test_auto_without_time_is_unchanged(spark):
 def test_auto_picks_columns(series):
     out = ops.auto_timeseries(series.drop("user"), ["id"], value="x", lags=[1], windows=[2], fft_components=2)
     assert "ts" not in out.columns and {"x_lag1", "x_roll2_std", "fft_1", "ts_month"} <= set(out.columns)
+
+
+def test_spectra_are_worked_out_once(spark, series, monkeypatch):
+    runs, plain = spark.sparkContext.accumulator(0), ops._spectrum_rows
+
+    def counted(*args):
+        run = plain(*args)
+
+        def one(rows):
+            runs.add(1)
+            return run(rows)
+        return one
+
+    monkeypatch.setattr(ops, "_spectrum_rows", counted)
+    ops.fft_features(series, "x", "user", ["id"], k=4).collect()
+    assert runs.value == series.select("user").distinct().count()
