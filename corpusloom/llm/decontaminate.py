@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval with order and answer checks.
 
-1. Document frequencies of hashed words are counted over the passages of all documents.
+1. The benchmark's words in each passage of all documents are counted and stored once, as a sparse
+   matrix A. Words are hashed; document frequencies are counted over all of its rows.
 2. Passages are TF-IDF vectors over the benchmark's words (others cannot add to a product with a
-   benchmark item). A randomised SVD of the items and of a bounded,
-   documented sample of corpus passages gives the latent space: random directions, then rounds of
-   A'A applied by Spark over the passages, and an orthonormal basis after each.
+   benchmark item). A randomised SVD of the items and of all passages gives the latent space: random
+   directions, then rounds of A'A applied by Spark over the stored rows, and an orthonormal basis after each.
+   The items together weigh as much as all passages together, or a large corpus would leave them no direction.
 3. The rarest words of each item are looked up in every document. Stretches with too few of them to
    hold the item in order are left out; this is an exact test, so no match is lost by it.
 4. The windows in what is left are projected and compared with the item by cosine, the nearest first.
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import arrays as A
 from corpusloom.llm.base import query, table
-from corpusloom.llm.blocks import share, shared_thing, text_bytes
-from corpusloom.session import stable
+from corpusloom.llm.blocks import share, shared_thing, stored, text_bytes
 
 #: Hashed words, words of a passage, and words in a step of a window.
 FEATURES, PASSAGE, STEP = 1 << 17, 64, 4
-#: Dimensions of the latent space, extra random directions, rounds; corpus passages that shape it.
-RANK, EXTRA, ROUNDS, SAMPLE = 128, 8, 2, 1024
+#: Dimensions of the latent space, extra random directions, rounds; passages that are multiplied at once, and words of
+#: a packed part of the product.
+RANK, EXTRA, ROUNDS, ROWS, PART = 128, 8, 2, 16, 32
 #: Sizes in words: an item is searched in passages of twice the smallest that holds it, a longer one in twice its length.
 SIZES = (8, 12, 16, 24, 32, 48, 64)
 #: Least cosine of a paraphrase; least share of the item in order for a copy and for a paraphrase, and
@@ -63,39 +64,17 @@ _MARKS = np.zeros(256, bool)
 _MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def frequency_counter(batches):
-    """Passages of PASSAGE words in which each hashed word occurs, summed over the partition."""
-    total = np.zeros(FEATURES + 1, np.int64)  # the last entry counts the passages
-    for batch in batches:
-        data, offsets = A.buffer_of(batch.column("data"))
-        hashes, first = normal_words(data, offsets)
-        if not len(hashes):
-            continue
-        place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-        passage = np.cumsum(place % PASSAGE == 0) - 1
-        keys = np.sort(passage * FEATURES + (hashes % np.uint64(FEATURES)).astype(np.int64))
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        total[:-1] += np.bincount(keys % FEATURES, minlength=FEATURES)
-        total[-1] += passage[-1] + 1
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"feature": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
-
-
-def idf_weights(rows: DataFrame) -> np.ndarray:
-    """Squared inverse document frequency of every hashed word; FEATURES + 1 numbers come to the driver.
-
-    The square keeps the space for the items' rare words, not for those of every text.
-    """
-    counts = np.zeros(FEATURES + 1)
-    for r in rows.mapInArrow(frequency_counter, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        counts[r["feature"]] = r["n"]
-    return np.maximum(np.log((counts[-1] + 1.0) / (counts[:-1] + 0.5)), 0.0) ** 2
+def text_parts(data: np.ndarray, offsets: np.ndarray):
+    """Ranges of texts of some megabytes, so that memory follows the longest text and not the batch."""
+    parts = np.unique(np.searchsorted(offsets[:-1], np.arange(0, len(data), 4 << 20)))
+    parts = parts[parts < len(offsets) - 1]
+    return zip(parts, [*parts[1:], len(offsets) - 1])
 
 
 class Items:
     """Benchmark items: word hashes, answers, and the compact numbers of their hashed words."""
 
-    def __init__(self, ids: list, texts: list[bytes], idf: np.ndarray):
+    def __init__(self, ids: list, texts: list[bytes], idf: np.ndarray | None = None):
         self.ids, self.words, self.answers = [], [], []
         for item, text in zip(ids, texts):
             hashes, _ = normal_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
@@ -110,7 +89,8 @@ class Items:
         used = np.unique(np.concatenate(self.words) % np.uint64(FEATURES)).astype(np.int64) if self.ids else np.zeros(0, np.int64)
         self.code = np.zeros(FEATURES, np.int32)  # 0: no word of the benchmark
         self.code[used] = np.arange(1, len(used) + 1)
-        self.weight = np.concatenate([[0.0], idf[used]])
+        # by code; without document frequencies the weights are set when they are known
+        self.weight = np.zeros(len(used) + 1) if idf is None else np.concatenate([[0.0], idf[used]])
 
     def size(self, item: int) -> int:
         """The size in which an item is searched; above SIZES its own length in whole steps."""
@@ -123,58 +103,113 @@ class Items:
         return np.bincount(codes, minlength=len(self.weight)) * self.weight
 
 
-def sampled_passages(code: np.ndarray, size: float):
-    """Passages that a hash of their words selects, as codes of the benchmark's words."""
-    limit = int(min(1.0, size) * float(1 << 63)) * 2
-
+def passage_words(code: np.ndarray):
+    """The benchmark's words of every passage as numbers code * PASSAGE + occurrences - 1; none: an empty row."""
     def run(batches):
         for batch in batches:
             data, offsets = A.buffer_of(batch.column("data"))
-            hashes, first = normal_words(data, offsets)
-            place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-            starts = np.flatnonzero(place % PASSAGE == 0)
-            if not len(starts):
-                continue
-            draw = A.mix(np.add.reduceat(hashes, starts))
-            codes = code[(hashes % np.uint64(FEATURES)).astype(np.int64)]
-            stops = np.append(starts[1:], len(hashes))
-            chosen = np.flatnonzero(draw < np.uint64(min(limit, (1 << 64) - 1)))
-            yield pa.RecordBatch.from_pydict({
-                "draw": pa.array(draw[chosen].view(np.int64)),
-                "codes": A.binary(codes[starts[i]:stops[i]].astype(np.int32) for i in chosen)})
+            for a, z in text_parts(data, offsets):
+                hashes, first = normal_words(data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
+                if not len(hashes):
+                    continue
+                place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
+                passage = np.cumsum(place % PASSAGE == 0) - 1
+                codes = code[(hashes % np.uint64(FEATURES)).astype(np.int64)]
+                own = np.flatnonzero(codes)
+                keys = np.sort(passage[own] * (FEATURES + 1) + codes[own])
+                new = np.flatnonzero(np.diff(keys, prepend=-1))
+                row, codes = np.divmod(keys[new], FEATURES + 1)
+                packed = (codes * PASSAGE + np.diff(new, append=len(keys)) - 1).astype(np.int32)
+                ends = 4 * np.searchsorted(row, np.arange(passage[-1] + 2)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(
+                    pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(packed)])], ["words"])
+    return run
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and occurrences of all passages one after the other, and where each begins (one more entry)."""
+    data, offsets = A.buffer_of(batch.column("words"))
+    packed = data.view(np.int32)
+    return packed // PASSAGE, packed % PASSAGE + 1, offsets // 4
+
+
+def word_counter(words: int):
+    """Passages that hold each of the benchmark's words, and squared occurrences, over the partition; code 0: all passages."""
+    def run(batches):
+        total, squares = np.zeros(words, np.int64), np.zeros(words, np.int64)
+        for batch in batches:
+            codes, counts, _ = unpacked(batch)
+            total += np.bincount(codes, minlength=words)
+            total[0] += batch.num_rows
+            squares += np.bincount(codes, counts * counts, minlength=words).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(some.astype(np.int32)), "n": pa.array(total[some]),
+                                          "squares": pa.array(squares[some])})
     return run
 
 
+def idf_weights(matrix: DataFrame, words: int) -> tuple[np.ndarray, float]:
+    """Squared inverse document frequency of the benchmark's words by code, and the squared length of all passages.
+
+    The square keeps the space for the items' rare words, not for those of every text. Two numbers a word come to the driver.
+    """
+    counts, squares = np.zeros(words), np.zeros(words)
+    for r in matrix.mapInArrow(word_counter(words), "code int, n long, squares long") \
+            .groupBy("code").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).collect():
+        counts[r["code"]], squares[r["code"]] = r["n"], r["squares"]
+    weight = np.concatenate([[0.0], np.maximum(np.log((counts[0] + 1.0) / (counts[1:] + 0.5)), 0.0) ** 2])
+    return weight, float(squares @ weight ** 2)
+
+
 def applied(basis: np.ndarray, weight: np.ndarray):
-    """A'A times the basis, summed over the passages of a partition."""
+    """A'A times the basis, summed over the passages of a partition, in parts of PART words."""
     def run(batches):
         total = np.zeros(basis.shape)
+        near = basis.astype(np.float32)
         for batch in batches:
-            for raw in batch.column("codes").to_pylist():
-                codes = np.frombuffer(raw, np.int32)
-                codes, counts = np.unique(codes[codes > 0], return_counts=True)
-                x = counts * weight[codes]
-                total[codes] += np.outer(x, x @ basis[codes])
-        yield pa.RecordBatch.from_pydict({"part": A.binary([total])})
+            codes, counts, offsets = unpacked(batch)
+            x = (counts * weight[codes]).astype(np.float32)
+            place = np.repeat(np.arange(batch.num_rows) % ROWS, np.diff(offsets))
+            for at in range(0, batch.num_rows, ROWS):
+                lo, hi = offsets[at], offsets[min(at + ROWS, batch.num_rows)]
+                some, column = np.unique(codes[lo:hi], return_inverse=True)
+                rows = np.zeros((ROWS, len(some)), np.float32)  # the passages, over the words that they have
+                rows[place[lo:hi], column] = x[lo:hi]
+                total[some] += rows.T @ (rows @ near[some])
+        firsts = range(0, len(total), PART)
+        yield pa.RecordBatch.from_pydict({"first": pa.array(firsts, pa.int32()),
+                                          "part": A.binary(total[i:i + PART] for i in firsts)})
     return run
 
 
-def latent_space(rows: DataFrame, items: Items, passages: float, rank: int = RANK, sample: int = SAMPLE) -> np.ndarray:
-    """Orthonormal basis (words of the benchmark by rank) of a randomised SVD."""
-    spark = rows.sparkSession
-    drawn = rows.mapInArrow(sampled_passages(items.code, 1.2 * sample / max(passages, 1.0)), "draw long, codes binary") \
-        .orderBy("draw", "codes").limit(sample).drop("draw")
-    own = spark.createDataFrame([(items.code[(w % np.uint64(FEATURES)).astype(np.int64)].astype(np.int32).tobytes(),)
-                                 for w in items.words], "codes binary")
-    matrix = stable(own.unionByName(drawn).repartition(4))
+def added(group: pa.Table) -> pa.Table:
+    """The sum of the parts for some words, in an order that does not depend on the tasks."""
+    total = sum(np.frombuffer(raw, np.float64) for raw in sorted(group.column("part").to_pylist()))
+    return pa.table({"first": group.column("first").slice(0, 1), "part": A.binary([total])})
+
+
+def latent_space(matrix: DataFrame, items: Items, length: float, rank: int = RANK) -> np.ndarray:
+    """Orthonormal basis (words of the benchmark by rank) of a randomised SVD of the items and all passages.
+
+    The items are scaled to the squared length of all passages.
+    """
     words = len(items.weight)
+    own = [items.vector(w) for w in items.words]
+    scale = (length or 1.0) / (sum(x @ x for x in own) or 1.0)
     basis = np.random.default_rng(7).standard_normal((words, min(rank + EXTRA, words)))
-    for _ in range(ROUNDS):
-        parts = matrix.mapInArrow(applied(basis, items.weight), "part binary").collect()  # four matrices
-        basis, _ = np.linalg.qr(sum(np.frombuffer(r["part"], np.float64).reshape(basis.shape) for r in parts))
+    for turn in range(ROUNDS + 1):
+        # one sum comes to the driver, which is as large as the basis
+        parts = matrix.mapInArrow(applied(basis, items.weight), "first int, part binary") \
+            .groupBy("first").applyInArrow(added, "first int, part binary").collect()
+        product = np.zeros(basis.shape)
+        for r in parts:
+            product[r["first"]:r["first"] + PART] = np.frombuffer(r["part"], np.float64).reshape(-1, basis.shape[1])
+        for x in own:
+            some = np.flatnonzero(x)
+            product[some] += np.outer(scale * x[some], x[some] @ basis[some])
+        if turn < ROUNDS:
+            basis, _ = np.linalg.qr(product)
     # rotate to the singular directions of the last product, best first
-    parts = matrix.mapInArrow(applied(basis, items.weight), "part binary").collect()
-    product = sum(np.frombuffer(r["part"], np.float64).reshape(basis.shape) for r in parts)
     small, values, _ = np.linalg.svd(product, full_matrices=False)
     return small[:, :rank]
 
@@ -298,10 +333,7 @@ def verify(item: np.ndarray, answer: np.ndarray, passage: np.ndarray) -> tuple[f
 def search_texts(searcher: Searcher, data: np.ndarray, offsets: np.ndarray) -> dict:
     """{(text, item): (cosine, share, answer share)} of accepted matches."""
     found: dict = {}
-    # some texts at a time, so that memory follows the longest text and not the batch
-    parts = np.unique(np.searchsorted(offsets[:-1], np.arange(0, len(data), 4 << 20)))
-    parts = parts[parts < len(offsets) - 1]
-    for a, z in zip(parts, [*parts[1:], len(offsets) - 1]):
+    for a, z in text_parts(data, offsets):
         here = search_some(searcher, data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a])
         found.update({(int(text + a), item): match for (text, item), match in here.items()})
     return found
@@ -373,19 +405,18 @@ def marker(shared):
 def searchers(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str) -> list:
     """Broadcast searchers, one for each block of items."""
     spark = rows.sparkSession
-    idf = idf_weights(rows)
     own = benchmark.select(F.col(item_id).cast("long").alias("id"), text_bytes(F.lower(F.col(item_text))).alias("data"))
     count = own.count()
     blocks = max(1, -(-count // ITEM_BLOCK))
     out = []
-    passages = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     for k in range(blocks):
         part = own.filter(F.pmod(F.xxhash64("id", "data"), F.lit(blocks)) == k) if blocks > 1 else own
         some = sorted(((r["id"], bytes(r["data"])) for r in part.distinct().collect()), key=lambda r: (r[0] is None, r))
-        items = Items([i for i, _ in some], [t for _, t in some], idf)
+        items = Items([i for i, _ in some], [t for _, t in some])
         if items.ids:
-            space = latent_space(rows, items, passages / (6.0 * PASSAGE))
-            out.append(share(spark, Searcher(items, space)))
+            matrix = stored(rows.select("data").mapInArrow(passage_words(items.code), "words binary"), "passages")
+            items.weight, length = idf_weights(matrix, len(items.weight))
+            out.append(share(spark, Searcher(items, latent_space(matrix, items, length))))
     return out
 
 

@@ -10,6 +10,7 @@ from odd import no_docs, odd_docs, prose
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, preference_format, token_rollups, url_filter
+from corpusloom.llm.blocks import shared_thing
 from corpusloom.session import new_run_dir
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -227,6 +228,36 @@ def test_long_items_are_held_as_a_whole():
     assert set(search(items, texts, 70_000, 10)) == truth
 
 
+def test_latent_space_is_fitted_on_all_passages(spark):
+    items = [" ".join(f"w{k}" for k in range(i * 6, i * 6 + 12)) for i in range(40)] + [" ".join(["w5"] * 150)]
+    draw = random.Random(2)
+    texts = [None, "", "x y z"] + [" ".join(f"w{int(draw.paretovariate(0.4)) % 400}" for _ in range(draw.randrange(1, 300))) for _ in range(900)]
+    rows = spark.createDataFrame([(t and t.encode() or b"",) for t in texts], "data binary").repartition(3)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    shared, = decontaminate.searchers(rows, benchmark, "item_id", "text")
+    searcher = shared_thing(shared)
+    # the same space from a dense matrix of all passages and of the items
+    code = {w: searcher.items.code[int(decontaminate.normal_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
+                                   % decontaminate.FEATURES] for w in {w for t in [*items, *texts] if t for w in t.split()}}
+    words = [t.split() for t in texts if t]
+    passages = [p[k:k + decontaminate.PASSAGE] for p in words for k in range(0, len(p), decontaminate.PASSAGE)]
+    assert len(passages) > 2000
+    counts = np.array([np.bincount([code[w] for w in p], minlength=len(searcher.items.weight)) for p in passages + [t.split() for t in items]])
+    often = (counts[:len(passages)] > 0).sum(axis=0)
+    weight = np.maximum(np.log((len(passages) + 1.0) / (often + 0.5)), 0.0) ** 2
+    weight[0] = 0.0
+    assert np.allclose(searcher.items.weight, weight)
+    matrix = counts * weight
+    # the items weigh as much as all passages
+    matrix[len(passages):] *= np.linalg.norm(matrix[:len(passages)]) / np.linalg.norm(matrix[len(passages):])
+    basis = np.random.default_rng(7).standard_normal((len(weight), decontaminate.RANK + decontaminate.EXTRA))
+    for _ in range(decontaminate.ROUNDS):
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+    space = np.linalg.svd(matrix.T @ (matrix @ basis), full_matrices=False)[0][:, :decontaminate.RANK]
+    wanted = (space * weight[:, None]) @ (space * weight[:, None]).T
+    assert np.abs(searcher.embed @ searcher.embed.T - wanted).max() < 1e-3 * np.abs(wanted).max()
+
+
 def test_leaks_of_odd_documents(spark):
     benchmark = spark.createDataFrame([(1, prose(3, 80)), (1, prose(3, 80)), (None, prose(8, 40)), (2, None)], "item_id bigint, text string")
     found = Counter((r.row.doc_id, r.item_id) for r in decontaminate.find_leaks(odd_docs(spark), benchmark).collect())
