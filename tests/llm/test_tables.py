@@ -10,7 +10,6 @@ from odd import no_docs, odd_docs, prose
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, preference_format, token_rollups, url_filter
-from corpusloom.llm.blocks import shared_thing
 from corpusloom.session import new_run_dir
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -228,14 +227,17 @@ def test_long_items_are_held_as_a_whole():
     assert set(search(items, texts, 70_000, 10)) == truth
 
 
-def test_latent_space_is_fitted_on_all_passages(spark):
+@pytest.mark.parametrize("search_all", [decontaminate.find_leaks, decontaminate.drop_leaks])  # of op5, of the pipeline
+def test_latent_space_is_fitted_on_all_passages(spark, monkeypatch, search_all):
+    made = []
+    monkeypatch.setattr(decontaminate, "share", lambda spark, thing: made.append(thing))
     items = [" ".join(f"w{k}" for k in range(i * 6, i * 6 + 12)) for i in range(40)] + [" ".join(["w5"] * 150)]
     draw = random.Random(2)
     texts = [None, "", "x y z"] + [" ".join(f"w{int(draw.paretovariate(0.4)) % 400}" for _ in range(draw.randrange(1, 300))) for _ in range(900)]
-    rows = spark.createDataFrame([(t and t.encode() or b"",) for t in texts], "data binary").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    shared, = decontaminate.searchers(rows, benchmark, "item_id", "text")
-    searcher = shared_thing(shared)
+    search_all(docs, benchmark)
+    searcher, = made
     # the same space from a dense matrix of all passages and of the items
     code = {w: searcher.items.code[int(decontaminate.normal_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0][0])
                                    % decontaminate.FEATURES] for w in {w for t in [*items, *texts] if t for w in t.split()}}
