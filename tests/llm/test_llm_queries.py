@@ -4,12 +4,14 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from compare import compare_query, duck
 from conftest import SF
 from odd import no_docs, odd_docs
 from pyspark.sql import functions as F
 
+from corpusloom.llm import decontaminate
 from corpusloom.llm.queries import ORACLE, QUERIES
 
 
@@ -64,3 +66,35 @@ def test_stages_on_odd_tables(spark):
                 assert out.columns == docs.columns and out.count() <= table.count()
                 assert out.filter("block <> 'own block' OR __first <> 'own'").count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, no_docs(spark), SF).count() == 0
+
+
+def test_pipeline_fits_its_latent_space_on_all_passages(spark, monkeypatch):
+    more = SF.replace("sf0.001", "sf0.01")  # some 1,100 passages of sf0.001 reach the stage
+    made, share = [], decontaminate.share
+    monkeypatch.setattr(decontaminate, "share", lambda spark, thing: made.append(thing) or share(spark, thing))
+    corpus_pipeline.run(spark, more)
+    searcher, = made
+    # the same space from a dense matrix of all passages that the three stages before leave
+    docs = spark.read.parquet(f"{more}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, more)
+    codes = []
+    for r in docs.select("text").collect():
+        data = np.frombuffer(r.text.lower().encode(), np.uint8)
+        words, _ = decontaminate.normal_words(data, np.array([0, len(data)]))
+        words = searcher.items.code[(words % np.uint64(decontaminate.FEATURES)).astype(np.int64)]
+        codes += [words[k:k + decontaminate.PASSAGE] for k in range(0, len(words), decontaminate.PASSAGE)]
+    assert len(codes) > 3000
+    matrix = np.array([np.bincount(c, minlength=len(searcher.items.weight)) for c in codes], np.float32)
+    weight = np.maximum(np.log((len(codes) + 1.0) / ((matrix > 0).sum(axis=0) + 0.5)), 0.0) ** 2
+    weight[0] = 0.0
+    assert np.allclose(searcher.items.weight, weight)
+    matrix *= weight
+    own = np.array([searcher.items.vector(w) for w in searcher.items.words])
+    own *= np.linalg.norm(matrix) / np.linalg.norm(own)  # the items weigh as much as all passages
+    basis = np.random.default_rng(7).standard_normal((len(weight), decontaminate.RANK + decontaminate.EXTRA))
+    for _ in range(decontaminate.ROUNDS):
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis) + own.T @ (own @ basis))
+    space = np.linalg.svd(matrix.T @ (matrix @ basis) + own.T @ (own @ basis), full_matrices=False)[0][:, :decontaminate.RANK]
+    wanted = (space * weight[:, None]) @ (space * weight[:, None]).T
+    assert np.abs(searcher.embed @ searcher.embed.T - wanted).max() < 1e-3 * np.abs(wanted).max()
